@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vacantia import rules
 from vacantia.functions.text import (
-    clean_text, decode_entities, html_to_text, let, strip, tags_to_nothing, tags_to_spaces,
+    clean_text, decode_entities, html_to_text, let, sql_text, strip, tags_to_nothing, tags_to_spaces,
 )
 from vacantia.functions.urls import any_of, by_board
 
@@ -165,10 +165,10 @@ def first_element(html: Column, tag: Column, pattern: Column) -> Column:
     return let(F.regexp_instr(html, pattern), cut)
 
 
-def _selector_array(selectors) -> Column:
-    return F.array(*[
-        F.struct(F.lit(tag).alias("tag"), F.lit(open_tag_pattern(tag, attr, value)).alias("pattern"))
-        for tag, attr, value in selectors])
+def _selectors_sql(selectors) -> str:
+    return "array(" + ", ".join(
+        f"struct({sql_text(tag)} AS tag, {sql_text(open_tag_pattern(tag, attr, value))} AS pattern)"
+        for tag, attr, value in selectors) + ")"
 
 
 def first_text(html: Column, selectors: Column, read, accept) -> Column:
@@ -182,44 +182,54 @@ def first_text(html: Column, selectors: Column, read, accept) -> Column:
     return F.aggregate(selectors, F.lit(None).cast("string"), step)
 
 
-def _short_text(element: Column) -> Column:
-    return tags_to_nothing(element["inner"])
+def _long_text(element: Column) -> Column:
+    return tags_to_spaces(element["inner"])
 
 
-def _content_or_text(element: Column) -> Column:
-    return F.coalesce(F.nullif(clean_text(_attribute(element["opening"], "content")), F.lit("")),
-                      tags_to_nothing(element["inner"]))
+# Fields read by selectors, in the order of the array that holds them.
+FIELDS = ("title", "company", "location", "region", "date_posted", "employment_type", "description",
+          "main")
+_NO_LIMIT = 2**31 - 1
 
 
-def _date_text(element: Column) -> Column:
-    return F.coalesce(F.nullif(clean_text(_attribute(element["opening"], "datetime")), F.lit("")),
-                      _content_or_text(element))
+def _field_sql(board: str, field: str) -> str:
+    """How a board reads a field: the way to take the text, its limit and the selectors."""
+    if field in ("description", "main"):
+        way = "long"
+    elif field == "title" or board in rules.TEXT_ONLY.get(field, ()):
+        way = "short"
+    else:
+        way = "date" if field == "date_posted" else "content"
+    longest = rules.TOO_LONG.get(field, {}).get(board, _NO_LIMIT)
+    selectors = rules.SELECTORS[board].get(field, ())
+    listed = _selectors_sql(selectors) if selectors else f"slice({_selectors_sql((('h1', '', ''),))}, 1, 0)"
+    return f"struct('{way}' AS way, {longest} AS longest, {listed} AS selectors)"
 
 
-def _long_text(element: Column) -> Column:
-    return tags_to_spaces(element["inner"])
+def selector_fields(html: Column, board: Column) -> Column:
+    """Texts of ``FIELDS`` by the board's selectors on noise-free markup; null where none fits.
 
+    The selectors are one constant map from board to fields, so all boards share one plan.
+    """
+    table = F.expr("map(" + ", ".join(
+        f"'{b}', array(" + ", ".join(_field_sql(b, f) for f in FIELDS) + ")"
+        for b in rules.SELECTORS) + ")")
 
-def selector_field(html: Column, board: Column, field: str) -> Column:
-    """Text of ``field`` by its board's selectors on noise-free markup, null if none fits."""
-    tables = {b: s[field] for b, s in rules.SELECTORS.items() if field in s}
-    selectors = by_board(board, tables, _selector_array)
-    if field in ("description", "main"):
-        # The first element present is taken, even when it is empty.
-        return first_text(html, selectors, _long_text, lambda t: t.isNotNull())
-    text_only = board.isin(*rules.TEXT_ONLY[field]) if field in rules.TEXT_ONLY else F.lit(False)
-    limits = rules.TOO_LONG.get(field, {})
-    longest = by_board(board, limits, F.lit, 2**31 - 1) if limits else F.lit(2**31 - 1)
+    def read(field: Column) -> Column:
+        def text(element: Column) -> Column:
+            content = F.nullif(clean_text(_attribute(element["opening"], "content")), F.lit(""))
+            moment = F.nullif(clean_text(_attribute(element["opening"], "datetime")), F.lit(""))
+            way = field["way"]
+            return F.when(way == "long", _long_text(element)).otherwise(F.coalesce(
+                F.when(way == "date", moment), F.when(way != "short", content),
+                tags_to_nothing(element["inner"])))
 
-    def read(element: Column) -> Column:
-        if field == "title":
-            return _short_text(element)
-        if field == "date_posted":
-            return _date_text(element)
-        return F.when(text_only, _short_text(element)).otherwise(_content_or_text(element))
+        # Of a long text the first element present is taken, even when it is empty.
+        return first_text(html, field["selectors"], text, lambda t: F.when(
+            field["way"] == "long", t.isNotNull()).otherwise(
+            (F.length(t) > 0) & (F.length(t) < field["longest"])))
 
-    return first_text(html, selectors, read,
-                      lambda t: (F.length(t) > 0) & (F.length(t) < longest))
+    return F.transform(F.try_element_at(table, board), read)
 
 
 # --- descriptions for the backfill ---------------------------------------------------
@@ -267,7 +277,7 @@ def page_description(html: Column, noise_free: Column) -> Column:
     blocks = F.array_join(F.transform(
         F.filter(pieces, lambda p: p.rlike("^" + opening)),
         lambda p: tags_to_spaces(_balanced(F.regexp_replace(p, "^<[^>]*>", ""), F.lit("div")))), " ")
-    by_selector = first_text(noise_free, _selector_array(rules.BACKFILL_SELECTORS), _long_text,
+    by_selector = first_text(noise_free, F.expr(_selectors_sql(rules.BACKFILL_SELECTORS)), _long_text,
                              lambda t: F.length(t) > rules.BACKFILL_MIN_CHARS)
     return F.coalesce(
         F.nullif(jsonld_description(html), F.lit("")), long_enough(container),

@@ -65,10 +65,15 @@ def _decode_numeric(text: Column) -> Column:
     ).otherwise(text)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def decode_entities(text: Column) -> Column:
-    named = text
-    for name, char in ENTITIES:
-        named = F.replace(named, F.lit(name), F.lit(char))
+    listed = F.expr("array(" + ", ".join(
+        f"struct({sql_text(name)} AS name, {sql_text(char)} AS char)" for name, char in ENTITIES) + ")")
+    named = F.aggregate(listed, text, lambda acc, e: F.replace(acc, e["name"], e["char"]))
     decoded = let(_decode_numeric(named), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
     return F.when(text.contains("&"), decoded).otherwise(text)
 
@@ -114,7 +119,7 @@ def split_location(text: Column) -> dict[str, Column]:
 
 # Date layouts tried in order; a text none of them reads becomes null.
 DATE_FORMATS = ("yyyyMMddHHmmss", "yyyyMMdd", "d.M.yyyy", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-                "d MMM yyyy", "d MMMM yyyy", "EEE, d MMM yyyy HH:mm:ss z")
+                "d MMM yyyy", "d MMMM yyyy")
 
 
 def parse_date(text: Column) -> Column:

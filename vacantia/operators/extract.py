@@ -35,11 +35,10 @@ def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: boo
         P.jsonld_fields(html, F.lit("")).alias("ld"))
     untitled = F.col("ld.title") == ""
     staged = staged.withColumn("plain", F.when(untitled, T.drop_noise(html)))
-    fields = ("title", "company", "location", "region", "date_posted", "employment_type",
-              "description")
-    found = {f: F.when(untitled, P.selector_field(F.col("plain"), board, f)).alias(f"at_{f}")
-             for f in fields}
-    staged = staged.select(*keep, "board", "original_url", "timestamp", "ld", "plain", *found.values())
+    found = F.when(untitled, P.selector_fields(F.col("plain"), board))
+    staged = staged.withColumn("found", found).select(
+        *keep, "board", "original_url", "timestamp", "ld",
+        *[F.get("found", F.lit(i)).alias(f"at_{field}") for i, field in enumerate(P.FIELDS)])
 
     def pick(field: str) -> Column:
         return F.coalesce(F.col(f"at_{field}"), F.col(f"ld.{field}"))
@@ -47,9 +46,8 @@ def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: boo
     place = T.split_location(F.col("at_location"))
     located = F.col("at_location").isNotNull()
     second = F.size(F.split("at_location", ",")) > 1
-    main = F.substring(P.selector_field(F.col("plain"), board, "main"), 1, rules.MAIN_CONTENT_CHARS)
-    description = F.when((board == "jobs_cz") & untitled & (pick("description") == ""),
-                         F.coalesce(main, F.lit(""))).otherwise(pick("description"))
+    main = F.substring("at_main", 1, rules.MAIN_CONTENT_CHARS)
+    description = F.coalesce(F.nullif(pick("description"), F.lit("")), main, F.lit(""))
     country = F.when((board == "stackoverflow") & located & second, place["country"]).otherwise(
         _country(board, F.col("ld.country"), url))
     region = (F.when((board == "dice") & located & second, place["region"])

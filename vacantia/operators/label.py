@@ -78,7 +78,7 @@ def train_val_split(rows: DataFrame, label: str, key: str, labels: Sequence[str]
                     share: float = 0.2, seed: int = rules.SAMPLE_SEED) -> DataFrame:
     """Rows with ``split``: in each label round(share * n) rows are ``val``, the rest ``train``."""
     flagged = _in_smallest(rows, label, key, seed, labels, lambda _, pool: F.round(pool * share))
-    return flagged.withColumn("split", F.when("chosen", "val").otherwise("train")).drop("chosen")
+    return flagged.withColumn("split", F.when(F.col("chosen"), "val").otherwise("train")).drop("chosen")
 
 
 def label_pools(corpus: DataFrame) -> DataFrame:
