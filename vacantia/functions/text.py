@@ -13,6 +13,8 @@ from vacantia import rules
 # U+001C..U+001F.
 SPACE = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
+# What is not yet a single space; single spaces are the most frequent and stay untouched.
+_UNEVEN = rf"(?U)[\x1c-\x1f[\s&&[^ ]]]{SPACE}*| {SPACE}+"
 
 # --- fixed values: named character references ---
 ENTITIES = (
@@ -33,13 +35,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(*columns: Column) -> Column:
+    """Columns computed once, whatever is filtered later.
+
+    A filter on a computed column is pushed below its projection and computes it again; it
+    is not pushed below a generator.  Use as the only generator of a ``select``.
+    """
+    return F.inline_outer(F.array(F.struct(*columns)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
 
 def clean_text(text: Column) -> Column:
     """Runs of white space become one space, edges are cut, null becomes ''."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN, " "))
 
 
 def is_blank(text: Column) -> Column:
@@ -71,10 +82,13 @@ def sql_text(value: str) -> str:
 
 
 def decode_entities(text: Column) -> Column:
-    listed = F.expr("array(" + ", ".join(
-        f"struct({sql_text(name)} AS name, {sql_text(char)} AS char)" for name, char in ENTITIES) + ")")
-    named = F.aggregate(listed, text, lambda acc, e: F.replace(acc, e["name"], e["char"]))
-    decoded = let(_decode_numeric(named), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&")))
+    """Character references become characters; only those a text holds are looked up."""
+    listed = F.expr("map(" + ", ".join(
+        f"{sql_text(name)}, {sql_text(char)}" for name, char in ENTITIES) + ")")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(?!amp;)[a-zA-Z]+;"), F.lit(0)))
+    named = F.aggregate(found, text, lambda acc, name: F.replace(
+        acc, name, F.coalesce(F.try_element_at(listed, name), name)))
+    decoded = let(named, lambda t: F.replace(_decode_numeric(t), F.lit("&amp;"), F.lit("&")))
     return F.when(text.contains("&"), decoded).otherwise(text)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import rules
+from vacantia.functions.text import let, sql_text
+from vacantia.sources.tables import stored
 
 WORDS = r"[\p{L}\p{N}_]+"
 NO_TEXT = "No description provided"
@@ -42,7 +44,9 @@ def train_naive_bayes(rows: DataFrame, label: str = "label", text: str = "descri
     """
     used = rows.filter(F.col(text).isNotNull() & F.col(label).isin(*labels))
     long = used.select(label, F.explode(words(F.col(text))).alias("word"))
-    counts = long.groupBy("word").agg(*[F.count_if(F.col(label) == c).alias(_n(c)) for c in labels])
+    # Stored: the sums, the scores and the hot words are all read from it.
+    counts = stored(long.groupBy("word").agg(
+        *[F.count_if(F.col(label) == c).alias(_n(c)) for c in labels]), "word-counts")
     sums = counts.agg(F.struct(F.count("*").alias("words"),
                                *[F.sum(_n(c)).alias(_n(c)) for c in labels]).alias("s")).scalar()
     scores = [F.log((F.col(_n(c)) + 1) / (F.coalesce(sums[_n(c)], F.lit(0)) + sums["words"])).alias(_score(c))
@@ -97,7 +101,9 @@ def train_logistic(rows: DataFrame, label: str = "label", text: str = "descripti
         LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=iterations,
                            regParam=0.01, predictionCol="predicted_id"),
     ]
-    used = rows.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
+    # The training set is a capped sample; every iteration reads it, so it is spread evenly.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    used = rows.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label, text).repartition(cores)
     model = Pipeline(stages=stages).fit(used)
     back = IndexToString(inputCol="predicted_id", outputCol="predicted_label",
                          labels=model.stages[0].labels)
@@ -110,18 +116,23 @@ def predict_logistic(docs: DataFrame, model: PipelineModel, key: str = "doc_id",
     return model.transform(filled).select(key, "predicted_label")
 
 
+def _words_literal(listed: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(map(sql_text, listed)) + ")")
+
+
 def detect_language(text: Column, stopwords: Mapping[str, Sequence[str]] = rules.STOPWORDS) -> Column:
     """Language with the most distinct stop words in the text; ties go to the one listed first.
 
     ``Unknown`` when there is none.  Works within the row.
     """
-    from vacantia.functions.text import let
+    everything = sorted({word for listed in stopwords.values() for word in listed})
 
     def pick(found: Column) -> Column:
-        hits = [F.size(F.array_intersect(F.array(*map(F.lit, listed)), found)) for listed in stopwords.values()]
+        hits = [F.size(F.array_intersect(found, _words_literal(listed))) for listed in stopwords.values()]
         scored = F.array(*[
             F.struct(hit.alias("hits"), F.lit(-i).alias("rank"), F.lit(name).alias("language"))
             for i, (name, hit) in enumerate(zip(stopwords, hits))])
         return let(F.array_max(scored), lambda best: F.when(best["hits"] > 0, best["language"]).otherwise("Unknown"))
 
-    return let(words(F.coalesce(text, F.lit(""))), pick)
+    known = F.array_intersect(words(F.coalesce(text, F.lit(""))), _words_literal(everything))
+    return let(known, pick)

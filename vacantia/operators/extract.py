@@ -52,7 +52,7 @@ def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: boo
         _country(board, F.col("ld.country"), url))
     region = (F.when((board == "dice") & located & second, place["region"])
               .when(board == "monster", pick("region")).otherwise(F.col("ld.region")))
-    out = staged.select(
+    posting = F.struct(
         *keep, "board",
         U.job_id_from_url(url, board).alias("job_id"),
         pick("title").alias("title"),
@@ -65,7 +65,11 @@ def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: boo
         description.alias("description"),
         U.capture_url(F.col("timestamp"), url).alias("wayback_url"),
         "original_url", "timestamp")
-    return out.filter((F.col("title") != "") | (F.col("description") != "")) if drop_empty else out
+    made = F.array(posting)
+    if drop_empty:
+        made = F.filter(made, lambda p: (p["title"] != "") | (p["description"] != ""))
+    # A generator, so that later filters on the fields do not extract them again.
+    return staged.select(F.inline(made) if drop_empty else F.inline_outer(made))
 
 
 def page_outcomes(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -87,8 +91,8 @@ def extract_archive_postings(pages: DataFrame, keep: Sequence[str] = ()) -> Data
 
     A list of locations counts for its first entry.
     """
-    node = F.get(P.posting_nodes(F.col("html")), F.lit(0))
-    staged = pages.select(*keep, "archive_url", node.alias("node")).filter("node is not null")
+    first = F.slice(P.posting_nodes(F.col("html")), 1, 1)
+    staged = pages.select(*keep, "archive_url", F.explode_outer(first).alias("node")).filter("node is not null")
 
     def at(path: str) -> Column:
         return F.try_variant_get("node", path, "string")
@@ -122,7 +126,8 @@ def backfill_descriptions(postings: DataFrame, pages: DataFrame) -> DataFrame:
     found = (
         pages.filter(~P.is_junk(F.col("html")) & F.col("wayback_url").isNotNull())
         .withColumn("plain", T.drop_noise(F.col("html")))
-        .select("wayback_url", P.page_description(F.col("html"), F.col("plain")).alias("found"))
+        .select(T.settled(F.col("wayback_url"),
+                          P.page_description(F.col("html"), F.col("plain")).alias("found")))
         .filter("found <> ''")
         .groupBy("wayback_url").agg(F.max(F.struct(F.length("found"), "found")).alias("best"))
         .select("wayback_url", F.col("best.found").alias("found")))

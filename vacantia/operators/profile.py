@@ -67,7 +67,7 @@ def null_rates(table: DataFrame, columns: Sequence[str], by: str = "source") ->
 def yearly_counts(corpus: DataFrame, date: str = "date_posted") -> DataFrame:
     """Postings per source and year; undated ones do not count."""
     return (corpus.select("source", F.year(parse_date(F.col(date))).alias("year"))
-            .filter("year is not null").groupBy("source", "year").agg(F.count("*").alias("n")))
+            .groupBy("source", "year").agg(F.count("*").alias("n")).filter("year is not null"))
 
 
 def yearly_matrix(counts: DataFrame, sources: Sequence[str], first: int = 2010, last: int = 2025) -> DataFrame:

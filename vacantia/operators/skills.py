@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import rules
-from vacantia.functions.text import strip
+from vacantia.functions.text import settled, strip
 from vacantia.operators import joins
 
 TOKENS = "[a-z0-9_]+|[^a-z0-9_]"
@@ -67,7 +67,9 @@ def _matches(docs: DataFrame, key: str, text: str, words: DataFrame, limit: int)
     small = (size["bytes"] or 0) <= limit
     firsts = words.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
     spread = docs.filter(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("parts"))
-    placed = spread.select(key, "parts", F.posexplode("parts").alias("start", "first"))
+    # Outer generators: for inner ones Spark would filter on the size of the array first and
+    # compute it twice.
+    placed = spread.select(key, "parts", F.posexplode_outer("parts").alias("start", "first"))
     if not small:
         # Tokens travel, so each carries its neighbourhood instead of the whole text.
         reach = F.lit((size["longest"] or 0) + 2)
@@ -75,12 +77,13 @@ def _matches(docs: DataFrame, key: str, text: str, words: DataFrame, limit: int)
             "parts", F.greatest(F.col("start"), F.lit(1)), reach)).withColumn(
             "at", F.when(F.col("start") == 0, 1).otherwise(2))
     salt = F.concat_ws(":", F.col(key), F.col("start"))
-    tried = joins.lookup_join(placed, firsts, ["first"], small, salt)
+    begun = joins.lookup_join(placed, firsts, ["first"], small, salt)
     at = F.col("start") + 1 if small else F.col("at")
-    tried = tried.withColumn("n", F.explode("lengths")).select(
-        key, "start", "n",
-        F.array_join(F.slice("parts", at, F.col("n")), "").alias("gram"),
-        F.get("parts", at - 2).alias("before"), F.get("parts", at - 1 + F.col("n")).alias("after"))
+
+    n = F.col("n")
+    tried = begun.withColumn("n", F.explode_outer("lengths")).select(key, "start", settled(
+        n.alias("n"), F.array_join(F.slice("parts", at, n), "").alias("gram"),
+        F.get("parts", at - 2).alias("before"), F.get("parts", at - 1 + n).alias("after")))
     hits = joins.lookup_join(tried, words.drop("first"), ["gram", "n"], small, salt)
 
     def free(side: str) -> Column:

@@ -147,6 +147,13 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts.  One in fewer splits than cores is spread over the cores, as
+        its cost is computing; a large one has far more splits and is read as it is."""
+        table = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 
@@ -154,7 +161,8 @@ class Inputs:
         full = with_views(text)
         for name in TABLES:
             if re.search(rf"\b{name}\b", full):
-                self.table(name).createOrReplaceTempView(name)
+                table = self.texts(name) if name in ("documents", "pages") else self.table(name)
+                table.createOrReplaceTempView(name)
         return self.spark.sql(full)
 
     def postings(self) -> DataFrame:

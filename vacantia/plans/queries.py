@@ -162,13 +162,13 @@ PADDED_SQL = f"'{PADDED[0]}' || text || '{PADDED[1]}'"
 
 @query("clean_text", f"SELECT doc_id, trim(regexp_replace({PADDED_SQL}, '{checks.WS}+', ' ', 'g')) AS cleaned FROM documents")
 def clean_text(data):
-    return data.table("documents").select(
+    return data.texts("documents").select(
         "doc_id", T.clean_text(F.concat(F.lit(PADDED[0]), "text", F.lit(PADDED[1]))).alias("cleaned"))
 
 
 @query("html_to_text", f"SELECT page_id, {checks.html_text('html')} AS body FROM pages")
 def html_to_text(data):
-    return data.table("pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
+    return data.texts("pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
 
 
 @query("parse_dates", """SELECT doc_id, strftime(coalesce(try_strptime(trim(raw), '%Y-%m-%d'), try_strptime(raw, '%Y%m%d%H%M%S'),
@@ -553,12 +553,12 @@ def lr_domain(data):
 
 @query("detect_language", f"SELECT doc_id, {checks.language('text')} AS language FROM documents")
 def detect_language(data):
-    return data.table("documents").select("doc_id", classify.detect_language(F.col("text")).alias("language"))
+    return data.texts("documents").select("doc_id", classify.detect_language(F.col("text")).alias("language"))
 
 
 @query("language_counts", f"SELECT language, count(*) AS n FROM (SELECT {checks.language('text')} AS language FROM documents) l GROUP BY language")
 def language_counts(data):
-    found = data.table("documents").select(classify.detect_language(F.col("text")).alias("language"))
+    found = data.texts("documents").select(classify.detect_language(F.col("text")).alias("language"))
     return found.groupBy("language").agg(F.count("*").alias("n"))
 
 
