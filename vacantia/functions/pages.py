@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vacantia import rules
 from vacantia.functions.text import (
-    clean_text, decode_entities, html_to_text, let, sql_text, strip, tags_to_nothing, tags_to_spaces,
+    clean_text, decode_entities, html_to_text, let, sql_text, tags_to_nothing, tags_to_spaces,
 )
 from vacantia.functions.urls import any_of, by_board
 
@@ -25,14 +25,20 @@ LD_FIELDS = ("title", "date_posted", "employment_type", "company", "city", "regi
 
 
 def is_junk(html: Column, board: Column | None = None) -> Column:
-    """Too short once stripped, or holding a marker of its board."""
-    def hit(markers) -> Column:
-        return any_of(F.lower(html).contains(m) for m in markers)
-
-    marked = (hit(rules.BACKFILL_JUNK_MARKERS) if board is None
-              else by_board(board, rules.JUNK_MARKERS, hit, False))
-    short = F.length(strip(html)) < rules.MIN_PAGE_CHARS
-    return html.isNull() | F.coalesce(short, F.lit(True)) | F.coalesce(marked, F.lit(False))
+    """Missing, too short once stripped, or holding a marker of its board."""
+    inner = rules.MIN_PAGE_CHARS - 2
+    long_enough = html.rlike(rf"(?Us)[^\s\x1c-\x1f].{{{inner},}}[^\s\x1c-\x1f]")
+
+    def marked(low: Column) -> Column:
+        def hit(markers) -> Column:
+            return any_of(low.contains(m) for m in markers)
+
+        if board is None:
+            return hit(rules.BACKFILL_JUNK_MARKERS)
+        return by_board(board, rules.JUNK_MARKERS, hit, False)
+
+    clean = long_enough & ~F.coalesce(let(F.lower(html), marked), F.lit(False))
+    return ~F.coalesce(clean, F.lit(False))
 
 
 # --- JSON-LD -----------------------------------------------------------------

@@ -18,7 +18,7 @@ _UNEVEN = rf"(?U)[\x1c-\x1f[\s&&[^ ]]]{SPACE}*| {SPACE}+"
 
 # --- fixed values: named character references ---
 ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
     ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"),
     ("&ccedil;", "ç"), ("&oacute;", "ó"), ("&euro;", "€"), ("&copy;", "©"), ("&reg;", "®"),
@@ -28,6 +28,8 @@ ENTITIES = (
 )
 NOISE = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
 TAG = r"</?[a-zA-Z!?][^>]*>"
+# Possessive, so that long runs of tags are matched in a loop and not by recursion.
+PIECE_GAP = rf"(?U){SPACE}*+(?:{TAG}{SPACE}*+)++"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,7 +56,8 @@ def clean_text(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    """Null or white space only; stops at the first other character."""
+    return ~F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def _decode_numeric(text: Column) -> Column:
@@ -104,16 +107,16 @@ def tags_to_spaces(markup: Column) -> Column:
 
 def tags_to_nothing(markup: Column) -> Column:
     """Text of noise-free markup, each piece stripped and the pieces run together."""
-    spaced = F.replace(markup, F.lit("&nbsp;"), F.lit(" "))
-    joined = F.regexp_replace(spaced, rf"(?U){SPACE}*(?:{TAG}{SPACE}*)+", "")
+    spaced = F.replace(markup, F.lit("&nbsp;"), F.lit("\u00a0"))
+    joined = F.regexp_replace(spaced, PIECE_GAP, "")
     return clean_text(decode_entities(joined))
 
 
 def tags_to_pieces(markup: Column) -> Column:
     """Text of noise-free markup, each piece stripped and the pieces joined by a space."""
-    spaced = F.replace(markup, F.lit("&nbsp;"), F.lit(" "))
+    spaced = F.replace(markup, F.lit("&nbsp;"), F.lit("\u00a0"))
     return strip(decode_entities(
-        F.regexp_replace(spaced, rf"(?U){SPACE}*(?:{TAG}{SPACE}*)+", " ")))
+        F.regexp_replace(spaced, PIECE_GAP, " ")))
 
 
 def html_to_text(html: Column) -> Column:
@@ -131,18 +134,29 @@ def split_location(text: Column) -> dict[str, Column]:
     }
 
 
-# Date layouts tried in order; a text none of them reads becomes null.
-DATE_FORMATS = ("yyyyMMddHHmmss", "yyyyMMdd", "d.M.yyyy", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-                "d MMM yyyy", "d MMMM yyyy")
+# Date layouts by the look of the text; text of no such look is no date.  The look is tested
+# first because a failing parse costs far more than a pattern.
+DATE_LAYOUTS = (
+    (r"^\d{4}(-.*)?$", None),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+)
 
 
 def parse_date(text: Column) -> Column:
     """Lenient time stamp (session time zone UTC); text that is no date gives null."""
     trimmed = strip(text)
-    # A bare run of digits would otherwise be read as a year.
-    digits = trimmed.rlike(r"^\d+$")
-    general = F.when(~digits, F.try_to_timestamp(trimmed))
-    return F.coalesce(general, *[F.try_to_timestamp(trimmed, F.lit(f)) for f in DATE_FORMATS])
+    out = F
+    for look, layout in DATE_LAYOUTS:
+        read = F.try_to_timestamp(trimmed, F.lit(layout)) if layout else F.try_to_timestamp(trimmed)
+        out = out.when(trimmed.rlike(look), read)
+    return out
 
 
 def year_month(date_posted: Column, capture: Column) -> Column:

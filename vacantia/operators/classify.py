@@ -27,6 +27,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
+def _words_of(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    # An outer generator: for an inner one Spark would first filter on the size of the array
+    # and so split each text twice.
+    return rows.select(key, F.explode_outer(words(text)).alias("word")).filter("word is not null")
+
+
 def _n(label: str) -> str:
     return f"n_{label}"
 
@@ -43,7 +49,7 @@ def train_naive_bayes(rows: DataFrame, label: str = "label", text: str = "descri
     1/10,000 of some label's words: there are at most ``10,000 * len(labels)`` of them.
     """
     used = rows.filter(F.col(text).isNotNull() & F.col(label).isin(*labels))
-    long = used.select(label, F.explode(words(F.col(text))).alias("word"))
+    long = _words_of(used, label, F.col(text))
     # Stored: the sums, the scores and the hot words are all read from it.
     counts = stored(long.groupBy("word").agg(
         *[F.count_if(F.col(label) == c).alias(_n(c)) for c in labels]), "word-counts")
@@ -74,8 +80,7 @@ def predict_naive_bayes(docs: DataFrame, model: DataFrame, priors: DataFrame, ke
     no heavy key and meets the rest of the model in a shuffled join.  Both parts are summed
     per text map-side.  Ties go to the label named first; labels not in training never win.
     """
-    given = docs.select(key, F.coalesce(text, F.lit(NO_TEXT)).alias("body"))
-    long = given.select(key, F.explode(words(F.col("body"))).alias("word"))
+    long = _words_of(docs, key, F.coalesce(text, F.lit(NO_TEXT)))
     scores = [_score(c) for c in labels]
     hot, rest = model.filter("hot"), model.filter("not hot").select("word", *scores)
     common = long.join(F.broadcast(hot.select("word", *scores)), "word")

@@ -162,10 +162,10 @@ def cooccurrence(postings: DataFrame, skills: str, theta: float, key: str = "pos
         kept = (joins.lookup_join(long, frequent.select(*by, "skill", "total_jobs"), [*by, "skill"],
                                   False, F.col(key))
                 .groupBy(key, *by, "total_jobs").agg(F.array_sort(F.collect_set("skill")).alias("items")))
-    pairs = (kept.filter(F.size("items") > 1)
-             .select(*by, "total_jobs", "items", F.posexplode("items").alias("at", "skill_a"))
+    pairs = (kept.select(*by, "total_jobs", "items", F.posexplode_outer("items").alias("at", "skill_a"))
              .select(*by, "total_jobs", "skill_a",
-                     F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("skill_b")))
+                     F.explode_outer(F.slice("items", F.col("at") + 2, F.size("items"))).alias("skill_b"))
+             .filter("skill_b is not null"))
     return (pairs.groupBy(*by, "total_jobs", "skill_a", "skill_b").agg(F.count("*").alias("pair_count"))
             .withColumn("support", F.col("pair_count") / F.col("total_jobs"))
             .filter(F.col("support") >= theta))

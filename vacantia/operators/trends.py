@@ -23,7 +23,7 @@ def skill_counts(postings: DataFrame, skills: str, keys: Sequence[str]) -> DataF
     present = postings
     for key in keys:
         present = present.filter(F.col(key).isNotNull())
-    return (present.select(*keys, F.explode(marked).alias("skill"))
+    return (present.select(*keys, F.explode_outer(marked).alias("skill"))
             .groupBy(*keys, "skill").agg(F.count("*").alias("skill_count")))
 
 

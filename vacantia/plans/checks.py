@@ -134,7 +134,7 @@ def null_rates(columns) -> str:
         "FROM v_postings GROUP BY source" for c in columns)
 
 
-YEARS = """SELECT source, year(try_cast(date_posted AS DATE)) AS year FROM v_postings
+YEARS = """SELECT source, CAST(year(try_cast(date_posted AS DATE)) AS INT) AS year FROM v_postings
   WHERE year(try_cast(date_posted AS DATE)) BETWEEN 2010 AND 2025"""
 
 

@@ -29,7 +29,7 @@ VIEWS = {
   replace(CAST(d AS STRING), '-', '') || '120000' AS timestamp,
   substr(CAST(d AS STRING), 1, 7) AS year_month
 FROM (SELECT *, DATE '2010-01-01' + CAST((doc_id * 7919) % 5479 AS INT) AS d FROM documents) x""",
-    "v_baskets": """SELECT DISTINCT o.o_orderkey AS posting_id, year(o.o_orderdate) AS year,
+    "v_baskets": """SELECT DISTINCT o.o_orderkey AS posting_id, CAST(year(o.o_orderdate) AS INT) AS year,
   CASE c.c_nationkey % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'PL' WHEN 2 THEN 'DE' WHEN 3 THEN 'US' ELSE 'CZ' END AS country,
   CASE substr(o.o_orderpriority,1,1) WHEN '1' THEN 'IT' WHEN '2' THEN 'Finance' ELSE 'HR' END AS domain_label,
   p.p_name AS hard_skill, p.p_type AS soft_skill

@@ -27,7 +27,7 @@ SOURCES = ("stackoverflow", "efinancialcareers", "stepstone", "pracuj", "ch", "d
 SMALL_CAPS = {"IT": 60, "Finance": 40, "HR": 100, "Other": 80}
 KINDS = {"hard": "hard_skills", "soft": "soft_skills"}
 THETA = 0.004
-EARLY, LATE = (1992, 1994), (1996, 1998)
+EARLY, LATE = (1995, 1997), (1999, 2001)
 # Thresholds fitting the size of the test corpus; the defaults are in ``rules``.
 FEW_JOBS, SMALL_SIZE = 5, 143
 
@@ -423,7 +423,7 @@ def null_rates(data):
     return profile.null_rates(data.postings(), ("title", "job_id", "country", "date_posted", "description"))
 
 
-@query("yearly_counts", """SELECT source, year(try_cast(date_posted AS DATE)) AS year, count(*) AS n FROM v_postings
+@query("yearly_counts", """SELECT source, CAST(year(try_cast(date_posted AS DATE)) AS INT) AS year, count(*) AS n FROM v_postings
 WHERE try_cast(date_posted AS DATE) IS NOT NULL GROUP BY ALL""")
 def yearly_counts(data):
     return profile.yearly_counts(data.postings())
