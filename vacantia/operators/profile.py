@@ -86,7 +86,8 @@ def coverage(matrix: DataFrame, sources: Sequence[str]) -> DataFrame:
 def totals_by(profile: DataFrame, key: str) -> DataFrame:
     """Postings per country or sector of the sources, with shares."""
     sums = profile.groupBy(key).agg(F.sum("total_vacancies").alias("total_vacancies"))
-    everything = profile.agg(F.sum("total_vacancies")).scalar()
+    # A handful of rows: one per country or sector.
+    everything = F.sum("total_vacancies").over(W.partitionBy(F.lit(0)))
     return sums.withColumn("share_pct", F.round(F.col("total_vacancies") / everything * 100, 1))
 
 

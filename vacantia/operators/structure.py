@@ -34,15 +34,18 @@ def skill_growth(postings: DataFrame, skills: str, by: Sequence[str] = ("domain_
     never built.
     """
     by = list(by)
-    counts = skill_counts(postings, skills, [*by, "year"])
-    enough = shares(counts, [*by, "year"]).filter(F.col("total_jobs") >= min_jobs)
+    keys = [*by, "year"]
+    enough = shares(skill_counts(postings, skills, keys), keys, keep_totals=True).filter(
+        F.col("total_jobs") >= min_jobs)
     x, y = (F.col("year") - YEAR_ZERO).cast("double"), F.col("percentage")
-    years = (counts.filter("skill is null").filter(F.col("skill_count") >= min_jobs)
-             .groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
     sums = enough.groupBy(*by, "skill").agg(
+        F.count("*").alias("k"), F.sum(x).alias("kx"), F.sum(x * x).alias("kxx"),
         F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
+    # The group of totals has a row for every year with enough postings.
+    for column, part in (("n", "k"), ("sx", "kx"), ("sxx", "kxx")):
+        sums = sums.withColumn(column, F.max(F.when(F.col("skill").isNull(), F.col(part))).over(W.partitionBy(*by)))
     n = F.col("n")
-    joined = sums.join(years, by).filter(n >= 3).select(
+    joined = sums.filter("skill is not null").filter(n >= 3).select(
         *by, "skill", "n",
         (F.col("sxx") - F.col("sx") * F.col("sx") / n).alias("dxx"),
         (F.col("sxy") - F.col("sx") * F.col("sy") / n).alias("dxy"),

@@ -27,11 +27,16 @@ def skill_counts(postings: DataFrame, skills: str, keys: Sequence[str]) -> DataF
             .groupBy(*keys, "skill").agg(F.count("*").alias("skill_count")))
 
 
-def shares(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts joined with the totals among them, with the share in percent."""
-    totals = counts.filter("skill is null").select(*keys, F.col("skill_count").alias("total_jobs"))
-    return counts.filter("skill is not null").join(totals, list(keys)).withColumn(
+def shares(counts: DataFrame, keys: Sequence[str], keep_totals: bool = False) -> DataFrame:
+    """Counts with the total of their group and the share in percent.
+
+    The totals are rows among the counts, so a window finds them (a join would read the
+    postings again).  A group has one row per skill of the dictionary.
+    """
+    total = F.max(F.when(F.col("skill").isNull(), F.col("skill_count"))).over(W.partitionBy(*keys))
+    out = counts.withColumn("total_jobs", total).withColumn(
         "percentage", F.col("skill_count") / F.col("total_jobs") * 100)
+    return out if keep_totals else out.filter("skill is not null")
 
 
 def top_skills(trends: DataFrame, keys: Sequence[str], top_k: int = rules.TOP_SKILLS) -> DataFrame:
