@@ -42,34 +42,33 @@ def _score(label: str) -> str:
 
 
 def train_naive_bayes(rows: DataFrame, label: str = "label", text: str = "description",
-                      labels: Sequence[str] = rules.LABELS) -> DataFrame:
-    """Word table ``(word, n_<label>, score_<label>)``: counts and smoothed log probabilities.
+                      labels: Sequence[str] = rules.LABELS) -> tuple[DataFrame, DataFrame]:
+    """The model: a word table and one row of label priors.
 
-    Counted map-side, one row per word and task.  Column ``hot`` marks words with at least
-    1/10,000 of some label's words: there are at most ``10,000 * len(labels)`` of them.
+    Words ``(word, n_<label>, score_<label>, hot)``: counts and smoothed log probabilities.
+    ``hot`` marks words with at least 1/10,000 of some label's words: there are at most
+    ``10,000 * len(labels)`` of them.  Priors ``(score_<label>)``: log shares of the texts, null
+    for an absent label.
+
+    Texts are read once: each adds a null word, whose counts are the texts per label.  Counts
+    are formed map-side, one row per word and task, and stored; all else is read from them.
     """
     used = rows.filter(F.col(text).isNotNull() & F.col(label).isin(*labels))
-    long = _words_of(used, label, F.col(text))
-    # Stored: the sums, the scores and the hot words are all read from it.
-    counts = stored(long.groupBy("word").agg(
-        *[F.count_if(F.col(label) == c).alias(_n(c)) for c in labels]), "word-counts")
-    sums = counts.agg(F.struct(F.count("*").alias("words"),
-                               *[F.sum(_n(c)).alias(_n(c)) for c in labels]).alias("s")).scalar()
+    marked = F.concat(F.array(F.lit(None).cast("string")), words(F.col(text)))
+    counts = stored(
+        used.select(label, F.explode_outer(marked).alias("word")).groupBy("word").agg(
+            *[F.count_if(F.col(label) == c).alias(_n(c)) for c in labels]), "word-counts")
+    texts, known = counts.filter("word is null"), counts.filter("word is not null")
+    total = sum((F.col(_n(c)) for c in labels), F.lit(0))
+    priors = texts.select(*[F.log(F.nullif(F.col(_n(c)), F.lit(0)) / total).alias(_score(c)) for c in labels])
+    sums = known.agg(F.struct(F.count("*").alias("words"),
+                              *[F.sum(_n(c)).alias(_n(c)) for c in labels]).alias("s")).scalar()
     scores = [F.log((F.col(_n(c)) + 1) / (F.coalesce(sums[_n(c)], F.lit(0)) + sums["words"])).alias(_score(c))
               for c in labels]
     hot = F.lit(False)
     for c in labels:
         hot = hot | ((F.col(_n(c)) > 0) & (F.col(_n(c)) >= sums[_n(c)] * HOT_SHARE))
-    return counts.select("word", *[_n(c) for c in labels], *scores, hot.alias("hot"))
-
-
-def label_priors(rows: DataFrame, label: str = "label", text: str = "description",
-                 labels: Sequence[str] = rules.LABELS) -> DataFrame:
-    """One row: the log share of each label among the training rows, null for an absent label."""
-    used = rows.filter(F.col(text).isNotNull() & F.col(label).isin(*labels))
-    return used.agg(*[
-        F.log(F.nullif(F.count_if(F.col(label) == c), F.lit(0)) / F.count("*")).alias(_score(c))
-        for c in labels])
+    return known.select("word", *[_n(c) for c in labels], *scores, hot.alias("hot")), priors
 
 
 def predict_naive_bayes(docs: DataFrame, model: DataFrame, priors: DataFrame, key: str = "doc_id",

@@ -526,7 +526,7 @@ def label_index(data):
 
 def naive_bayes(data):
     rows = label.train_val_split(data.postings(), "domain_label", "doc_id").filter("split = 'train'")
-    return (classify.train_naive_bayes(rows, "domain_label"), classify.label_priors(rows, "domain_label"))
+    return classify.train_naive_bayes(rows, "domain_label")
 
 
 @query("nb_train", checks.NB_MODEL + """ SELECT word, CAST(n_IT AS BIGINT) AS n_IT, CAST(n_Finance AS BIGINT) AS n_Finance,
@@ -540,6 +540,7 @@ def nb_train(data):
 @query("nb_predict", checks.NB_MODEL + checks.NB_PREDICT)
 def nb_predict(data):
     model, priors = naive_bayes(data)
+    model = tables.stored(model, "word-model")
     out = classify.predict_naive_bayes(data.postings(), model, priors)
     return rounded(out, *[f"score_{c}" for c in rules.LABELS], digits=4)
 
