@@ -6,8 +6,9 @@ Naive Bayes in DataFrame steps is the model whose arithmetic can be checked; the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
@@ -120,6 +121,22 @@ def predict_logistic(docs: DataFrame, model: PipelineModel, key: str = "doc_id",
     return model.transform(filled).select(key, "predicted_label")
 
 
+def predict_with(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]],
+                 key: str = "doc_id", text: str = "description", batch: int = 32) -> DataFrame:
+    """Labels by a model of the caller's: ``load`` runs once per task and gives a function from
+    texts to labels, which is called with ``batch`` texts at a time."""
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            texts = frame["body"].tolist()
+            labels = [x for i in range(0, len(texts), batch) for x in model(texts[i:i + batch])]
+            yield pd.DataFrame({key: frame[key], "predicted_label": labels})
+
+    given = docs.select(key, F.coalesce(text, F.lit(NO_TEXT)).alias("body"))
+    kind = given.schema[key].dataType.simpleString()
+    return given.mapInPandas(score, f"`{key}` {kind}, predicted_label string")
+
+
 def _words_literal(listed: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(map(sql_text, listed)) + ")")
 

@@ -103,17 +103,30 @@ SELECT {names}, skill, skill_count, total_jobs, round(percentage, 6) AS percenta
 
 
 def all_trends() -> str:
+    return "WITH " + _all_trends("""SELECT domain_label, 'hard' AS kind, country, year, posting_id, hard_skill AS skill FROM v_baskets
+  UNION ALL SELECT domain_label, 'soft', country, year, posting_id, soft_skill FROM v_baskets""", 30)
+
+
+def domain_trends(min_jobs: int) -> str:
+    listed = " UNION ALL ".join(
+        f"SELECT domain_label, '{kind}' AS kind, country, year, doc_id AS posting_id, unnest(CASE WHEN len(s) = 0 THEN [NULL] ELSE s END) AS skill "
+        f"FROM (SELECT *, {taxonomy_list('description', kind)} AS s FROM d) e" for kind in ("hard", "soft"))
+    return f"""WITH d AS (SELECT doc_id, domain_label, description, CASE WHEN source = 'ch' THEN coalesce(country, 'CH') ELSE country END AS country,
+  CAST(coalesce(strftime(try_cast(date_posted AS DATE), '%Y'), substr(timestamp, 1, 4)) AS INT) AS year FROM v_postings WHERE domain_label <> 'Other'),
+""" + _all_trends(listed, min_jobs)
+
+
+def _all_trends(long: str, min_jobs: int) -> str:
     keys = ("domain_label", "kind", "country", "year")
     names = ", ".join(keys)
-    return f"""WITH k AS (SELECT domain_label, 'hard' AS kind, country, year, posting_id, hard_skill AS skill FROM v_baskets
-  UNION ALL SELECT domain_label, 'soft', country, year, posting_id, soft_skill FROM v_baskets),
+    return f"""k AS ({long}),
 b AS (SELECT domain_label, kind, '*' AS country, year, posting_id, skill FROM k
   UNION ALL SELECT domain_label, kind, country, year, posting_id, skill FROM k WHERE country IN ('CH','PL','DE','US')),
 t AS (SELECT {names}, count(DISTINCT posting_id) AS total_jobs FROM b GROUP BY {names}),
 c AS (SELECT {names}, skill, count(DISTINCT posting_id) AS skill_count FROM b WHERE skill IS NOT NULL GROUP BY {names}, skill),
 r AS (SELECT c.*, t.total_jobs, c.skill_count / t.total_jobs * 100 AS percentage,
   row_number() OVER (PARTITION BY c.domain_label, c.kind, c.country, c.year ORDER BY c.skill_count / t.total_jobs * 100 DESC, c.skill) AS rn
-  FROM c JOIN t ON {_using(keys, "c", "t")} WHERE t.total_jobs >= 30)
+  FROM c JOIN t ON {_using(keys, "c", "t")} WHERE t.total_jobs >= {min_jobs})
 SELECT {names}, skill, skill_count, total_jobs, round(percentage, 6) AS percentage FROM r WHERE rn <= 30"""
 
 

@@ -14,7 +14,7 @@ from vacantia.functions import urls as U
 from vacantia.operators import (
     classify, dedup, evaluate, extract, label, merge, profile, skills, structure, trends,
 )
-from vacantia.plans import checks
+from vacantia.plans import checks, flows
 from vacantia.plans.fixtures import Inputs, with_views
 from vacantia.session import shared_path
 from vacantia.sources import tables
@@ -392,6 +392,21 @@ def corpus_skill_trends(data):
     return rounded(out, "percentage")
 
 
+@query("target_postings", """SELECT doc_id, domain_label, source, CASE WHEN source = 'ch' THEN coalesce(country, 'CH') ELSE country END AS country,
+  ym AS year_month, CAST(substr(ym, 1, 4) AS INT) AS year FROM (SELECT *, coalesce(strftime(try_cast(date_posted AS DATE), '%Y-%m'),
+  substr(timestamp, 1, 4) || '-' || substr(timestamp, 5, 2)) AS ym FROM v_postings WHERE domain_label <> 'Other') p""")
+def target_postings(data):
+    return flows.target_postings(data.postings()).select(
+        "doc_id", "domain_label", "source", "country", "year_month", "year")
+
+
+@query("domain_skill_trends", checks.domain_trends(FEW_JOBS))
+def domain_skill_trends(data):
+    """The whole way from labelled postings to all trend tables."""
+    out = flows.domain_trends(flows.target_postings(data.postings()), data.view("v_taxonomy"), "doc_id", FEW_JOBS)
+    return rounded(out, "percentage")
+
+
 @query("skill_trends_global", checks.trends("hard_skill", ["year"], "TRUE"))
 def skill_trends_global(data):
     return rounded(trends.skill_trends(data.baskets(), "hard_skills", ["year"]), "percentage")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vacantia import rules
 from vacantia.functions.text import file_name
@@ -56,6 +58,24 @@ def write_by(table: DataFrame, path: str, *keys: str, mode: str = "error") -> No
     table.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
+def write_version(table: DataFrame, path: str) -> None:
+    """Add a whole new version of a table.
+
+    Readers see a version only once its job has committed, and a table may be rewritten from
+    itself because the version being read is never touched.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    table.write.parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest version written by ``write_version``."""
+    with_version = StructType([*schema.fields, StructField("version", StringType())])
+    versions = spark.read.schema(with_version).parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def stored(table: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: computed once, known size,
     short lineage, and safe against lost executors."""
