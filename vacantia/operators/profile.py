@@ -22,8 +22,7 @@ def source_metadata(spark: SparkSession, rows=rules.SOURCE_META) -> DataFrame:
 
 def with_metadata(table: DataFrame, meta: DataFrame) -> DataFrame:
     """Country, sector and region of the source, ``?`` when it is not listed."""
-    # The metadata is a handful of literal rows.
-    joined = table.join(F.broadcast(meta), "source", "left")
+    joined = table.join(meta, "source", "left")
     for column in ("country", "sector", "region"):
         joined = joined.withColumn(column, F.coalesce(column, F.lit("?")))
     return joined

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import rules
-from vacantia.functions.text import settled, strip
+from vacantia.functions.text import settled, sql_text, strip
 from vacantia.operators import joins
 
 TOKENS = r"\w+|\W"  # on lower-cased text; these classes are ASCII only and far faster than spelled-out ones
 WORD = r"^\w"
+SET_SIZE = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -60,16 +61,28 @@ def vocabulary(entries: DataFrame) -> DataFrame:
                 F.rlike("variant", F.lit(r"\w$")).alias("ends_word")))
 
 
+def _begins(firsts: DataFrame) -> Column | None:
+    """Test whether a token starts an entry, as a constant set: far cheaper per token than a
+    join, which then sees few rows.  None when the dictionary has too many first tokens."""
+    found = [r["first"] for r in firsts.select("first").limit(SET_SIZE + 1).collect()]
+    if len(found) > SET_SIZE:
+        return None
+    return F.expr(f"first IN ({', '.join(map(sql_text, found))})") if found else F.lit(False)
+
+
 def _matches(docs: DataFrame, key: str, text: str, words: DataFrame, limit: int) -> DataFrame:
     """All occurrences ``(key, kind, start, n, skill)``, overlapping ones included."""
     size = words.agg(F.sum(F.octet_length("gram") + F.octet_length("skill") + 64).alias("bytes"),
                      F.max("n").alias("longest")).first()
     small = (size["bytes"] or 0) <= limit
     firsts = words.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    begins = _begins(firsts) if small else None
     spread = docs.filter(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("parts"))
     # Outer generators: for inner ones Spark would filter on the size of the array first and
     # compute it twice.
     placed = spread.select(key, "parts", F.posexplode_outer("parts").alias("start", "first"))
+    if begins is not None:
+        placed = placed.filter(begins)
     if not small:
         # Tokens travel, so each carries its neighbourhood instead of the whole text.
         reach = F.lit((size["longest"] or 0) + 2)
