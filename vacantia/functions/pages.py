@@ -9,6 +9,8 @@ Elements of the same name nested in each other are balanced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,7 +150,12 @@ def _balanced(rest: Column, tag: Column) -> Column:
         kept = F.aggregate(F.transform(parts, delta), start, step)["kept"]
         return F.array_join(F.slice(parts, F.lit(1), kept), "")
 
-    return let(F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))), inner)
+    nested = let(F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))), inner)
+    # Mostly the first closing tag is the right one, and the rest of the page is not looked at.
+    opens = F.concat(F.lit("(?i)<"), tag, F.lit(r"\b"))
+    closes = F.regexp_instr(rest, F.concat(F.lit("(?i)</"), tag, F.lit(r"\b")))
+    return let(closes, lambda at: let(F.substring(rest, F.lit(1), at - 1), lambda head: F.when(
+        (at > 0) & ~F.rlike(head, opens), head).otherwise(nested)))
 
 
 def _attribute(opening: Column, name: str) -> Column:
@@ -171,19 +178,43 @@ def first_element(html: Column, tag: Column, pattern: Column) -> Column:
     return let(F.regexp_instr(html, pattern), cut)
 
 
+def _must_hold(attribute: str, value: str) -> list[list[str]]:
+    """Lower-case texts the opening tags must hold for a selector to fit: one of each list."""
+    if not attribute:
+        return []
+    words = [re.split(r"[.]", part)[0].lower() for part in value.split("|")]
+    return [[attribute.rstrip("~*^").lower()], words]
+
+
 def _selectors_sql(selectors) -> str:
-    return "array(" + ", ".join(
-        f"struct({sql_text(tag)} AS tag, {sql_text(open_tag_pattern(tag, attr, value))} AS pattern)"
-        for tag, attr, value in selectors) + ")"
+    def texts(listed: list[str]) -> str:
+        return "array(" + ", ".join(map(sql_text, listed)) + ")"
+
+    def one(tag: str, attribute: str, value: str) -> str:
+        needs = ", ".join(texts(words) for words in _must_hold(attribute, value))
+        needs = f"array({needs})" if needs else "cast(array() AS array<array<string>>)"
+        return (f"struct({sql_text(tag)} AS tag, {sql_text(open_tag_pattern(tag, attribute, value))} AS pattern, "
+                f"{needs} AS needs)")
 
+    return "array(" + ", ".join(one(*selector) for selector in selectors) + ")"
 
-def first_text(html: Column, selectors: Column, read, accept) -> Column:
-    """Try selectors in order and stop at the first whose text is accepted, else null."""
+
+def opening_tags(html: Column) -> Column:
+    """The page's opening tags alone, lower-cased."""
+    return F.lower(F.array_join(F.regexp_extract_all(html, F.lit("<[a-zA-Z][^>]*>"), F.lit(0)), ""))
+
+
+def first_text(html: Column, low: Column, selectors: Column, read, accept) -> Column:
+    """Try selectors in order and stop at the first whose text is accepted, else null.
+
+    ``low`` holds the page's opening tags: a selector whose words are in none of them is passed
+    over without running its pattern, which would read the whole page.
+    """
     def step(acc: Column, selector: Column) -> Column:
+        possible = F.forall(selector["needs"], lambda words: F.exists(words, lambda w: low.contains(w)))
         element = first_element(html, selector["tag"], selector["pattern"])
         text = let(element, lambda e: F.when(e.isNotNull(), read(e)))
-        return F.when(acc.isNotNull(), acc).otherwise(
-            let(text, lambda t: F.when(accept(t), t)))
+        return F.when(acc.isNotNull(), acc).when(possible, let(text, lambda t: F.when(accept(t), t)))
 
     return F.aggregate(selectors, F.lit(None).cast("string"), step)
 
@@ -221,7 +252,7 @@ def selector_fields(html: Column, board: Column) -> Column:
         f"'{b}', array(" + ", ".join(_field_sql(b, f) for f in FIELDS) + ")"
         for b in rules.SELECTORS) + ")")
 
-    def read(field: Column) -> Column:
+    def read(field: Column, low: Column) -> Column:
         def text(element: Column) -> Column:
             content = F.nullif(clean_text(_attribute(element["opening"], "content")), F.lit(""))
             moment = F.nullif(clean_text(_attribute(element["opening"], "datetime")), F.lit(""))
@@ -231,11 +262,12 @@ def selector_fields(html: Column, board: Column) -> Column:
                 tags_to_nothing(element["inner"])))
 
         # Of a long text the first element present is taken, even when it is empty.
-        return first_text(html, field["selectors"], text, lambda t: F.when(
+        return first_text(html, low, field["selectors"], text, lambda t: F.when(
             field["way"] == "long", t.isNotNull()).otherwise(
             (F.length(t) > 0) & (F.length(t) < field["longest"])))
 
-    return F.transform(F.try_element_at(table, board), read)
+    return let(opening_tags(html), lambda low: F.transform(
+        F.try_element_at(table, board), lambda field: read(field, low)))
 
 
 # --- descriptions for the backfill ---------------------------------------------------
@@ -283,8 +315,9 @@ def page_description(html: Column, noise_free: Column) -> Column:
     blocks = F.array_join(F.transform(
         F.filter(pieces, lambda p: p.rlike("^" + opening)),
         lambda p: tags_to_spaces(_balanced(F.regexp_replace(p, "^<[^>]*>", ""), F.lit("div")))), " ")
-    by_selector = first_text(noise_free, F.expr(_selectors_sql(rules.BACKFILL_SELECTORS)), _long_text,
-                             lambda t: F.length(t) > rules.BACKFILL_MIN_CHARS)
+    by_selector = let(opening_tags(noise_free), lambda low: first_text(
+        noise_free, low, F.expr(_selectors_sql(rules.BACKFILL_SELECTORS)), _long_text,
+        lambda t: F.length(t) > rules.BACKFILL_MIN_CHARS))
     return F.coalesce(
         F.nullif(jsonld_description(html), F.lit("")), long_enough(container),
         long_enough(clean_text(blocks)), by_selector, F.lit(""))
