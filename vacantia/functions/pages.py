@@ -150,12 +150,38 @@ def _balanced(rest: Column, tag: Column) -> Column:
         kept = F.aggregate(F.transform(parts, delta), start, step)["kept"]
         return F.array_join(F.slice(parts, F.lit(1), kept), "")
 
-    nested = let(F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))), inner)
-    # Mostly the first closing tag is the right one, and the rest of the page is not looked at.
-    opens = F.concat(F.lit("(?i)<"), tag, F.lit(r"\b"))
-    closes = F.regexp_instr(rest, F.concat(F.lit("(?i)</"), tag, F.lit(r"\b")))
-    return let(closes, lambda at: let(F.substring(rest, F.lit(1), at - 1), lambda head: F.when(
-        (at > 0) & ~F.rlike(head, opens), head).otherwise(nested)))
+    return let(F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)"))), inner)
+
+
+def first_element(html: Column, tag: Column, pattern: Column) -> Column:
+    """Struct (opening tag, inner markup) of the first element found, else null.
+
+    Most elements end at the first closing tag of their name; then one pattern cuts them out
+    and the rest of the page is not copied.  Nested and unclosed ones are balanced.
+    """
+    def after_opening(markup: Column, opening: Column) -> Column:
+        return F.substring(markup, F.length(opening) + 1, F.length(markup))
+
+    def balanced_from(position: Column) -> Column:
+        tail = F.substring(html, position, F.length(html))
+        return F.when(position > 0, let(tail, lambda t: let(_opening(t), lambda opening: F.struct(
+            opening.alias("opening"), _balanced(after_opening(t, opening), tag).alias("inner")))))
+
+    def cut(found: Column) -> Column:
+        return let(_opening(found), lambda opening: let(
+            F.regexp_replace(after_opening(found, opening), "</[^<]*$", ""),
+            lambda head: F.when(~F.rlike(head, F.concat(F.lit("(?i)<"), tag, F.lit(r"\b"))), F.struct(
+                opening.alias("opening"), head.alias("inner")))))
+
+    closing = F.when(tag == "meta", F.lit("")).otherwise(F.concat(F.lit("(?s:.*?)</(?i:"), tag, F.lit(r")\b")))
+    quick = F.regexp_extract(html, F.concat(pattern, closing), 0)
+    return F.coalesce(
+        let(quick, lambda found: F.when(found != "", cut(found))),
+        let(F.regexp_instr(html, pattern), balanced_from))
+
+
+def _opening(markup: Column) -> Column:
+    return F.regexp_extract(markup, "^<[^>]*>", 0)
 
 
 def _attribute(opening: Column, name: str) -> Column:

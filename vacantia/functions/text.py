@@ -88,11 +88,15 @@ def decode_entities(text: Column) -> Column:
     """Character references become characters; only those a text holds are looked up."""
     listed = F.expr("map(" + ", ".join(
         f"{sql_text(name)}, {sql_text(char)}" for name, char in ENTITIES) + ")")
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(?!amp;)[a-zA-Z]+;"), F.lit(0)))
-    named = F.aggregate(found, text, lambda acc, name: F.replace(
-        acc, name, F.coalesce(F.try_element_at(listed, name), name)))
-    decoded = let(named, lambda t: F.replace(_decode_numeric(t), F.lit("&amp;"), F.lit("&")))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+
+    def decode(given: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(given, F.lit("&(?!amp;)[a-zA-Z]+;"), F.lit(0)))
+        named = F.aggregate(found, given, lambda acc, name: F.replace(
+            acc, name, F.coalesce(F.try_element_at(listed, name), name)))
+        decoded = let(named, lambda t: F.replace(_decode_numeric(t), F.lit("&amp;"), F.lit("&")))
+        return F.when(given.contains("&"), decoded).otherwise(given)
+
+    return let(text, decode)
 
 
 def drop_noise(html: Column) -> Column:
