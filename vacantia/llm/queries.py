@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import mixing, quality
+from vacantia.llm import leaks, mixing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +39,16 @@ def op1_pareto_mix(spark, folder):
     found = mixing.sample(table(spark, folder, "documents"))
     return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target",
                         (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op4_benchmark_leaks")
+def op4_benchmark_leaks(spark, folder):
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.leaked_items(found).select(
+        F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "edits")
+
+
+@query("op5_token_files")
+def op5_token_files(spark, folder):
+    found = token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
