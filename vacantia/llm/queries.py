@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import leaks, mixing, quality, token_files
+from vacantia.llm import checks, leaks, mixing, quality, secret_scan, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,14 +27,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op9_host_quality")
+@query("op9_host_quality", checks.QUALITY)
 def op9_host_quality(spark, folder):
     found = quality.assess(table(spark, folder, "documents"))
     return found.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-@query("op1_pareto_mix")
+@query("op1_pareto_mix", checks.MIX)
 def op1_pareto_mix(spark, folder):
     found = mixing.sample(table(spark, folder, "documents"))
     return found.select(F.col("key").alias("doc_id"), "size", "source_size", "target",
@@ -52,3 +52,12 @@ def op4_benchmark_leaks(spark, folder):
 def op5_token_files(spark, folder):
     found = token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_secret_index", checks.SECRETS)
+def op2_secret_index(spark, folder):
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["kind_no"] < len(secret_scan.BASE))
+    return found.select(
+        F.col("key").alias("doc_id"), *[secret_scan.number_of(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
