@@ -278,7 +278,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     Documents are known by a hash of their text, so that keys may be null or repeated; the hashes
     of leaking texts are stored, and the planner broadcasts them if they are few.
     """
-    named = docs.withColumn("leak_key", F.xxhash64(text))
-    found = leaks(named, benchmark, "leak_key", text, item, item_text, **settings)
-    bad = stored(found.select(F.col("key").alias("leak_key")).distinct(), "leaks")
-    return named.join(bad, "leak_key", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("document"), F.xxhash64(text).alias("key"),
+                         F.col(text).alias("text"))
+    found = leaks(packed, benchmark, "key", "text", item, item_text, **settings)
+    bad = stored(found.select("key").distinct(), "leaks")
+    return packed.join(bad, "key", "left_anti").select("document.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import checks, leaks, mixing, quality, secret_scan, token_files
+from vacantia.llm import checks, leaks, mixing, quality, secret_scan, similar, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op2_secret_index(spark, folder):
     return found.select(
         F.col("key").alias("doc_id"), *[secret_scan.number_of(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans"))
+
+
+@query("op6_jaccard_groups", checks.GROUPS)
+def op6_jaccard_groups(spark, folder):
+    found = similar.shingle_groups(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
