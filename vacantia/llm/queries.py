@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import checks, leaks, mixing, quality, secret_scan, similar, token_files
+from vacantia.llm import checks, leaks, lm, mixing, quality, secret_scan, similar, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op2_secret_index(spark, folder):
 def op6_jaccard_groups(spark, folder):
     found = similar.shingle_groups(table(spark, folder, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op10_interpolated_scores")
+def op10_interpolated_scores(spark, folder):
+    return lm.score(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
