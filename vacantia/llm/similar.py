@@ -18,9 +18,10 @@ band below, with its subsets and, in deletable segments, their one-deletion neig
 
 *Lists.*  Equal signatures meet by a shuffle and a sort; a sorted list is passed through as a
 stream, however long, and signatures of one set alone go no further.  First every list links its
-sets to its smallest ones only (a star), which after verification joins most groups of near
-copies without forming their pairs.  Then only lists that still hold different components are
-paired, across components, without the signatures that the surplus pays for.
+sets to its smallest ones only (a star); pairs with enough such lists are verified, which joins
+most groups of near copies without forming their pairs.  Then only lists that still hold
+different components are paired, across components, without the signatures that the surplus
+pays for.
 
 *Verification* is exact, on the sets themselves (64-bit hashes).  Texts that are equal are one set
 from the start; texts are read again for the sets that take part in a pair.  Components are those
@@ -56,6 +57,9 @@ DELETABLE = 8  # segments with deletions in bands of large sets; in bands of sma
 SMALL_BAND = 5  # bands below this are of small sets
 WORDS_KEPT = 1_000_000  # word hashes that a worker remembers
 FEW = 500_000  # keys or digests that may be broadcast
+STAR_ROUNDS = 2
+STAR = 4  # a pair of a star has more than this part of the surplus in lists
+COSTLY = 16  # rows of a list that is worth ignoring
 BLOCK = 500  # sets without a valuation in one pass
 
 PLAIN, RAISED, DELETED, OFFERED, BELOW = 1, 2, 4, 8, 16  # roles of a signature
@@ -215,52 +219,32 @@ def has(meta: Column, roles: int) -> Column:
     return meta.bitwiseAND(F.lit(roles)) != 0
 
 
-LISTS = pa.schema([*SIGNATURES, ("star", pa.int64())])
-
-
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature and size: those that share a signature with another row, each with
-    the node its list's star links it to, and the rows of role 0.
+    """Of rows sorted by signature, those that share theirs with another row, and those of role 0.
 
-    The star's middle is the list's smallest set; a set more than 4/3 its size begins the next.
-    Only the middle and the last row are carried from batch to batch.
+    Only the last row is carried from batch to batch, so a list may have any length.
     """
-    carried = [np.zeros(0, np.int64)] * 3
-    done = np.zeros(0, bool)
-
-    def passed(sig, node, meta, done, last):
-        n = len(sig)
-        same = np.concatenate([[False], sig[1:] == sig[:-1], [False]])
-        size = meta >> 21
-        start = np.maximum.accumulate(np.where(~same[:-1], np.arange(n), 0))
-        middle = start.copy()
-        while True:
-            far = 3 * size > 4 * size[middle]
-            if not far.any():
-                break
-            # The first such row of each list becomes the middle of it and of those behind it.
-            place = np.flatnonzero(far)
-            fresh = np.ones(len(place), bool)
-            fresh[1:] = (start[place[1:]] != start[place[:-1]]) | (middle[place[1:]] != middle[place[:-1]])
-            middle[place] = place[np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))]
-        role = meta & 31
-        out = (same[:-1] | same[1:] | (role == 0)) & ~done
+    held = [np.zeros(0, np.int64)] * 3
+    before = None  # the signature of the row before the held one
+
+    def passed(columns, last):
+        sig = columns[0]
+        same = np.concatenate([[before is not None and before == sig[0]], sig[1:] == sig[:-1], [False]])
+        out = same[:-1] | same[1:] | (columns[2] & 31 == 0)
         if not last:
             out[-1] = False
-        star = np.where(role == 0, node, node[middle])
-        keep = [middle[-1], n - 1] if middle[-1] != n - 1 else [n - 1]
-        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, node, meta, star)], schema=LISTS), keep
+        return pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], schema=SIGNATURES)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carried)]
-        done = np.concatenate([done, np.zeros(batch.num_rows, bool)])
-        result, keep = passed(*columns, done, False)
-        yield result
-        carried, done = [c[keep] for c in columns], np.array([True] * (len(keep) - 1) + [False])
-    if len(done):
-        yield passed(*carried, done, True)[0]
+        columns = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        yield passed(columns, False)
+        if len(columns[0]) > 1:
+            before = columns[0][-2]
+        held = [c[-1:] for c in columns]
+    if len(held[0]):
+        yield passed(held, True)
 
 
 # --- join --------------------------------------------------------------------------
@@ -324,25 +308,63 @@ def check(pairs: DataFrame, first_rows: DataFrame, name: str) -> DataFrame:
     return stored(verified(pairs, stored(sets_of(first_rows, pairs), f"{name}-sets")), f"{name}-links")
 
 
-def across(listed: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs in lists that hold several components, less what the surplus pays for."""
-    own = F.coalesce("component", "node").alias("component")
-    rows = listed.filter(has(F.col("meta"), 31)).join(component, "node", "left").select("sig", "node", "meta", own)
-    mixed_lists = (rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                           F.count("*").alias("cost")).filter("low < high").select("sig", "cost"))
-    rows = stored(rows.join(mixed_lists, "sig").withColumn("size", size_of(F.col("meta"))), "mixed-lists")
+def mixed_lists(listed: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Rows of the lists that hold several components (at first every node is one), with the
+    list's ``cost``, its number of rows.  Stored."""
+    rows = listed.filter(has(F.col("meta"), 31)).select("sig", "node", "meta", size_of(F.col("meta")).alias("size"))
+    if component is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        rows = rows.join(small(component, FEW), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = Window.partitionBy("sig")
+    counted = rows.select("*", F.count("*").over(whole).alias("cost"), F.min("component").over(whole).alias("low"),
+                          F.max("component").over(whole).alias("high"))
+    return stored(counted.filter("low < high").drop("low", "high"), "mixed-lists")
+
+
+def stars(rows: DataFrame, surplus: DataFrame) -> DataFrame:
+    """Pairs of a node with the most popular node of its lists.
+
+    A node's popularity is the number of rows in all its lists.  The text that others were copied
+    from shares lists with each of them, more than they do among themselves, and so becomes the
+    middle of their lists.  A pair counts if it meets in enough lists; being a short cut only, it
+    may miss links.
+    """
+    popular = stored(rows.groupBy("node").agg(F.sum("cost").alias("popularity")), "popularity")
+    known = rows.join(small(popular, FEW), "node")
+    middle = F.max(F.struct("popularity", "node", "size", "component")).over(Window.partitionBy("sig"))
+    met = (known.withColumn("m", middle).filter(
+        (F.col("m.component") != F.col("component")) & (3 * F.col("size") <= 4 * F.col("m.size"))
+        & (3 * F.col("m.size") <= 4 * F.col("size"))))
+    return (met.groupBy(F.col("m.node").alias("b"), F.col("node").alias("a")).agg(F.count("*").alias("n"))
+            .join(small(surplus, FEW), "a").filter(F.col("n") * STAR > F.col("surplus")).select("a", "b"))
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """Pairs in mixed lists, across components, less what the surplus pays for.
+
+    Linked sets differ in at most as many segments as the values allow for, so they share at least
+    one list more than the smaller set's surplus; a set gives up its costliest lists for as much
+    of the surplus as it has costly ones, and the rest of the surplus asks for that many shared
+    lists more.
+    """
     plain = has(F.col("meta"), PLAIN) & ~has(F.col("meta"), RAISED)
-    by_cost = Window.partitionBy("node", plain).orderBy(F.desc("cost"), "sig")
-    indexed = (rows.filter(has(F.col("meta"), PLAIN | DELETED)).withColumn("rank", F.row_number().over(by_cost))
-               .filter(~plain | (F.col("rank") > surplus_of(F.col("meta"))))
-               .select("sig", *[F.col(c).alias(f"i_{c}") for c in ("node", "meta", "size", "component")]))
+    costly = plain & (F.col("cost") >= COSTLY)
+    by_cost = Window.partitionBy("node", costly).orderBy(F.desc("cost"), "sig")
+    surplus = surplus_of(F.col("meta"))
+    indexed = rows.filter(has(F.col("meta"), PLAIN | DELETED)).withColumn("rank", F.row_number().over(by_cost))
+    own = Window.partitionBy("node")
+    ignored = F.sum((costly & (F.col("rank") <= surplus)).cast("long")).over(own)
+    indexed = (indexed.withColumn("shared", surplus - ignored + 1).filter(~costly | (F.col("rank") > surplus))
+               .select("sig", *[F.col(c).alias(f"i_{c}") for c in ("node", "meta", "size", "component", "shared")]))
     agrees = has(F.col("meta"), PLAIN | BELOW)
     fits = ((has(F.col("i_meta"), PLAIN | DELETED) & agrees)
             | (has(F.col("i_meta"), RAISED) & has(F.col("meta"), OFFERED)))
     order = F.struct("i_size", "i_node") < F.struct("size", "node")
     return (indexed.join(rows, "sig")
             .filter((F.col("i_component") != F.col("component")) & order & (3 * F.col("size") <= 4 * F.col("i_size")) & fits)
-            .select(F.col("i_node").alias("a"), F.col("node").alias("b")).distinct())
+            .groupBy(F.col("i_node").alias("a"), F.col("node").alias("b"))
+            .agg(F.count("*").alias("n"), F.max("i_shared").alias("shared")).filter("n >= shared").select("a", "b"))
 
 
 def without_valuation(sizes: DataFrame, first_rows: DataFrame) -> DataFrame:
@@ -381,13 +403,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     first_rows = with_node(rows, copies).filter("is_first")
     spread = (first_rows.select("node", "text").mapInArrow(sign, "sig long, node long, meta long")
               .repartition("sig").sortWithinPartitions("sig", "meta", "node"))
-    listed = stored(spread.mapInArrow(lists, "sig long, node long, meta long, star long"), "lists")
+    listed = stored(spread.mapInArrow(lists, "sig long, node long, meta long"), "lists")
     sizes = listed.filter(~has(F.col("meta"), 31)).select("node", "meta")
-    star = (listed.filter(has(F.col("meta"), 31) & (F.col("star") != F.col("node")))
-            .select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
-    links = check(star, first_rows, "star").unionByName(without_valuation(sizes, first_rows))
-    first = components(links)
-    links = links.unionByName(check(across(listed, first), first_rows, "across"))
+    surplus = stored(sizes.groupBy(F.col("node").alias("a")).agg(F.max(surplus_of(F.col("meta"))).alias("surplus")), "surplus")
+    links, joined = without_valuation(sizes, first_rows), None
+    for _ in range(STAR_ROUNDS):
+        rows = mixed_lists(listed, joined)
+        links = links.unionByName(check(stars(rows, surplus), first_rows, "star"))
+        joined = components(links)
+    links = links.unionByName(check(across(mixed_lists(listed, joined)), first_rows, "across"))
     joined = components(links)
     per_node = (sizes.groupBy("node").agg(F.max(size_of(F.col("meta"))).alias("size"))
                 .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
