@@ -20,8 +20,9 @@ band below, with its subsets and, in deletable segments, their one-deletion neig
 stream, however long, and signatures of one set alone go no further.  First every list links its
 sets to its smallest ones only (a star); pairs with enough such lists are verified, which joins
 most groups of near copies without forming their pairs.  Then only lists that still hold
-different components are paired, across components, without the signatures that the surplus
-pays for.
+different components are looked at, without the signatures that the surplus pays for: short ones
+by pairs across components, those that stay long by blocks of sets, whose pairs are counted
+within a task and never become rows.
 
 *Verification* is exact, on the sets themselves (64-bit hashes).  Texts that are equal are one set
 from the start; texts are read again for the sets that take part in a pair.  Components are those
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import components, small, text_of
+from vacantia.llm.common import components, running, small, text_of
 from vacantia.sources.tables import stored
 
 SHINGLE = 5
@@ -57,9 +58,11 @@ DELETABLE = 8  # segments with deletions in bands of large sets; in bands of sma
 SMALL_BAND = 5  # bands below this are of small sets
 WORDS_KEPT = 1_000_000  # word hashes that a worker remembers
 FEW = 500_000  # keys or digests that may be broadcast
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 STAR = 4  # a pair of a star has more than this part of the surplus in lists
 COSTLY = 16  # rows of a list that is worth ignoring
+BLOCK_SETS = 256
+COLUMNS = 1024
 BLOCK = 500  # sets without a valuation in one pass
 
 PLAIN, RAISED, DELETED, OFFERED, BELOW = 1, 2, 4, 8, 16  # roles of a signature
@@ -291,16 +294,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def sets_of(first_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(node, elements binary)`` of the nodes in pairs."""
+def made_sets(rows: DataFrame) -> DataFrame:
+    """``(node, elements binary)`` of rows with ``node`` and ``text``."""
     def make(batches):
         for batch in batches:
             made = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "elements"])
 
+    return rows.select("node", "text").mapInArrow(make, "node long, elements binary")
+
+
+def sets_of(first_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the nodes in pairs."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
-    return first_rows.select("node", "text").join(small(wanted, FEW), "node", "left_semi").mapInArrow(
-        make, "node long, elements binary")
+    return made_sets(first_rows.join(small(wanted, FEW), "node", "left_semi"))
 
 
 def check(pairs: DataFrame, first_rows: DataFrame, name: str) -> DataFrame:
@@ -340,8 +347,9 @@ def stars(rows: DataFrame, surplus: DataFrame) -> DataFrame:
             .join(small(surplus, FEW), "a").filter(F.col("n") * STAR > F.col("surplus")).select("a", "b"))
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """Pairs in mixed lists, across components, less what the surplus pays for.
+def allocated(rows: DataFrame) -> DataFrame:
+    """The index side of mixed lists after the surplus is spent, with ``shared``, the number of
+    these lists that a pair must share, and ``costly``.
 
     Linked sets differ in at most as many segments as the values allow for, so they share at least
     one list more than the smaller set's surplus; a set gives up its costliest lists for as much
@@ -349,24 +357,106 @@ def across(rows: DataFrame) -> DataFrame:
     lists more.
     """
     plain = has(F.col("meta"), PLAIN) & ~has(F.col("meta"), RAISED)
-    costly = plain & (F.col("cost") >= COSTLY)
-    by_cost = Window.partitionBy("node", costly).orderBy(F.desc("cost"), "sig")
+    costly = F.col("cost") >= COSTLY
+    by_cost = Window.partitionBy("node", plain & costly).orderBy(F.desc("cost"), "sig")
     surplus = surplus_of(F.col("meta"))
-    indexed = rows.filter(has(F.col("meta"), PLAIN | DELETED)).withColumn("rank", F.row_number().over(by_cost))
-    own = Window.partitionBy("node")
-    ignored = F.sum((costly & (F.col("rank") <= surplus)).cast("long")).over(own)
-    indexed = (indexed.withColumn("shared", surplus - ignored + 1).filter(~costly | (F.col("rank") > surplus))
-               .select("sig", *[F.col(c).alias(f"i_{c}") for c in ("node", "meta", "size", "component", "shared")]))
+    ranked = (rows.filter(has(F.col("meta"), PLAIN | DELETED)).withColumn("rank", F.row_number().over(by_cost))
+              .withColumn("ignored", plain & costly & (F.col("rank") <= surplus)))
+    ignored = F.sum(F.col("ignored").cast("long")).over(Window.partitionBy("node"))
+    return (ranked.withColumn("shared", surplus - ignored + 1).filter(~F.col("ignored"))
+            .select("sig", costly.alias("costly"), *[F.col(c).alias(f"i_{c}") for c in ("node", "meta", "size", "component", "shared")]))
+
+
+def fits() -> Column:
     agrees = has(F.col("meta"), PLAIN | BELOW)
-    fits = ((has(F.col("i_meta"), PLAIN | DELETED) & agrees)
-            | (has(F.col("i_meta"), RAISED) & has(F.col("meta"), OFFERED)))
     order = F.struct("i_size", "i_node") < F.struct("size", "node")
-    return (indexed.join(rows, "sig")
-            .filter((F.col("i_component") != F.col("component")) & order & (3 * F.col("size") <= 4 * F.col("i_size")) & fits)
+    return ((F.col("i_component") != F.col("component")) & order & (3 * F.col("size") <= 4 * F.col("i_size"))
+            & ((has(F.col("i_meta"), PLAIN | DELETED) & agrees)
+               | (has(F.col("i_meta"), RAISED) & has(F.col("meta"), OFFERED))))
+
+
+def across(indexed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs in lists that are not costly, across components."""
+    cheap = rows.filter(F.col("cost") < COSTLY)
+    return (indexed.filter("not costly").join(cheap, "sig").filter(fits())
             .groupBy(F.col("i_node").alias("a"), F.col("node").alias("b"))
             .agg(F.count("*").alias("n"), F.max("i_shared").alias("shared")).filter("n >= shared").select("a", "b"))
 
 
+def in_blocks(indexed: DataFrame, rows: DataFrame, first_rows: DataFrame) -> DataFrame:
+    """Links in the costly lists that no surplus paid for, without forming their pairs.
+
+    The sets in such lists are laid out by their most popular partner, so that similar ones lie
+    together, and cut into blocks of bounded size.  Blocks that meet in a list are held against
+    each other in one task, which returns no more links than it takes to join what is linked.
+    """
+    stuck = stored(indexed.filter("costly").select("sig", F.col("i_node").alias("node")), "stuck")
+    met = stored(rows.join(stuck.select("sig").distinct(), "sig", "left_semi").select("sig", "node", "component", "cost"), "met")
+    popular = met.groupBy("node").agg(F.sum("cost").alias("popularity"), F.min("component").alias("component"))
+    middle = F.max(F.struct("popularity", "m")).over(Window.partitionBy("sig"))
+    family = (met.select("sig", "node").join(popular.withColumnRenamed("node", "m"), F.col("node") == F.col("m"))
+              .withColumn("middle", middle["m"]).groupBy("node", "component", "middle").agg(F.count("*").alias("n"))
+              .groupBy("node", "component").agg(F.max(F.struct("n", "middle"))["middle"].alias("family")))
+    placed = running(family, [F.col("family"), F.col("node")], "families", place=F.lit(1))
+    placed = stored(placed.select("node", "component", F.floor(F.col("place") / BLOCK_SETS).alias("block")), "blocks")
+    of_list = lambda table: table.join(placed.select("node", "block"), "node").select("sig", "block").distinct()
+    pairs = (of_list(stuck).withColumnRenamed("block", "c").join(of_list(met), "sig")
+             .select(F.least("c", "block").alias("x"), F.greatest("c", "block").alias("y")).distinct())
+    pairs = stored(pairs, "block-pairs")
+    wanted = stored(placed.select("node"), "stuck-nodes")
+    sets = made_sets(first_rows.join(small(wanted, FEW), "node", "left_semi"))
+    members = stored(sets.join(placed, "node"), "block-sets")
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return (sides.join(members, "block").groupBy("x", "y")
+            .applyInArrow(block_links, "a long, b long"))
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links between the sets of two blocks (or within one) of different components, enough of
+    them to join all that are linked."""
+    x = table.column("x")[0].as_py()
+    block = table.column("block").to_numpy()
+    nodes, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+    sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in table.column("elements")]
+    size = np.array([len(s) for s in sets], np.int64)
+    first = np.flatnonzero(block == x)
+    second = np.flatnonzero(block != x) if (block != x).any() else first
+    owner = np.repeat(np.arange(len(sets)), size)
+    elements, column = np.unique(np.concatenate(sets), return_inverse=True)
+    # Only elements on both sides count; they are taken some columns at a time.
+    on_first, on_second = np.zeros(len(elements), np.int64), np.zeros(len(elements), np.int64)
+    np.add.at(on_first, column[np.isin(owner, first)], 1)
+    np.add.at(on_second, column[np.isin(owner, second)], 1)
+    both = (on_first > 0) & (on_second > 0) & (on_first + on_second > (2 if first is second else 1))
+    number = np.cumsum(both) - 1
+    owner, column = owner[both[column]], number[column[both[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(first), len(second)), np.float32)
+    for start in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - start] = 1
+        common += dense[first] @ dense[second].T
+    union = size[first][:, None] + size[second][None, :] - common
+    hits = np.argwhere((100 * common >= 75 * union) & (component[first][:, None] != component[second][None, :]))
+    root = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    a, b = [], []
+    for i, j in hits.tolist():
+        p, q = find(component[first[i]]), find(component[second[j]])
+        if p != q:
+            root[p] = q
+            a.append(nodes[first[i]])
+            b.append(nodes[second[j]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def without_valuation(sizes: DataFrame, first_rows: DataFrame) -> DataFrame:
     """Links of the sets without a valuation, each block held against all texts."""
     hard = stored(sizes.filter(surplus_of(F.col("meta")) == HARD).select("node"), "hard")
@@ -411,7 +501,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
         rows = mixed_lists(listed, joined)
         links = links.unionByName(check(stars(rows, surplus), first_rows, "star"))
         joined = components(links)
-    links = links.unionByName(check(across(mixed_lists(listed, joined)), first_rows, "across"))
+    rows = mixed_lists(listed, joined)
+    indexed = stored(allocated(rows), "allocated")
+    links = links.unionByName(check(across(indexed, rows), first_rows, "across"))
+    links = links.unionByName(stored(in_blocks(indexed, rows, first_rows), "block-links"))
     joined = components(links)
     per_node = (sizes.groupBy("node").agg(F.max(size_of(F.col("meta"))).alias("size"))
                 .join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
