@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vacantia.llm import secret_scan
+from vacantia.llm import licences, secret_scan
 
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '')"
@@ -105,3 +105,49 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.t = b.t AND a.d
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT g.doc_id, len(sh) AS n_shingles, c.component_id FROM g
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
+
+
+def _licence_id() -> str:
+    cases = " ".join(f"WHEN contains(s, ' {text} ') THEN '{name}'" for name, text in licences.SENTENCES.items())
+    return f"CASE {cases} END"
+
+
+def _licence_steps() -> str:
+    """Rules one after the other, each on what the one before left."""
+    steps = ["r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda s: '<' || s || '>'), 'string_agg', '') AS rest,"
+             " []::VARCHAR[] AS found FROM i)"]
+    for n, rule in enumerate(licences.RULES):
+        row = "".join(f"<{s}>" for s in rule.sentences)
+        steps.append(f"r{n + 1} AS (SELECT doc_id, ids, replace(rest, '{row}', '|') AS rest, CASE WHEN contains(rest, '{row}')"
+                     f" AND NOT list_contains(found, '{rule.licence}') THEN list_append(found, '{rule.licence}') ELSE found END"
+                     f" AS found FROM r{n})")
+    return ",\n".join(steps)
+
+
+LICENCES = rf"""WITH s AS (SELECT doc_id, list_transform(string_split_regex(lower(coalesce(text, '')), '{licences.BREAK}'),
+  lambda x: ' ' || regexp_replace(x, '[^a-z0-9]+', ' ', 'g') || ' ') AS ss FROM documents),
+i AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: {_licence_id()}), lambda x: x IS NOT NULL) AS ids FROM s),
+{_licence_steps()}
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(found, ','), '') AS licences
+FROM r{len(licences.RULES)}"""
+
+URLS = r"""WITH c AS (SELECT page_id, url, DATE '2021-01-01' + (page_id * 37 % 1461)::INT AS day,
+  regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS (SELECT DISTINCT unnest([host, array_to_string(string_split(host, '.')[-2:], '.'),
+  host || '/' || regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1)]) AS pattern FROM c),
+n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS n FROM p WHERE pattern <> ''),
+l AS (SELECT pattern, n, unnest(list_filter([CASE WHEN n % 4 = 0 THEN 'spam' END, CASE WHEN n % 5 = 0 THEN 'adult' END,
+  CASE WHEN n % 7 = 0 THEN 'trusted' END], lambda x: x IS NOT NULL)) AS list FROM n),
+v AS (SELECT pattern, list, b + (a * (n % 300 + 1))::INT AS valid_from,
+  CASE WHEN a = 0 THEN b + (n % 300 + 1)::INT ELSE b + (4 * (n % 300 + 1))::INT END AS valid_to
+  FROM (SELECT *, DATE '2020-06-01' + (n % 1200)::INT AS b, unnest([0, 2]) AS a FROM l)),
+k AS (SELECT page_id, day, host AS key FROM c UNION SELECT page_id, day, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+    lambda i: array_to_string(string_split(host, '.')[i:], '.'))) FROM c
+  UNION SELECT page_id, day, unnest(list_transform(range(1, len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1),
+    lambda i: host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:i], '/'))) FROM c),
+a AS (SELECT page_id, k.day, pattern, list FROM k JOIN v ON k.key = v.pattern AND v.valid_from <= k.day AND k.day < v.valid_to),
+d AS (SELECT page_id, day, count(*) AS n_active, max({'n': length(pattern), 'b': list IN ('spam', 'adult'), 'p': pattern, 'l': list}) AS m
+  FROM a GROUP BY page_id, day)
+SELECT c.page_id, c.day, coalesce(n_active, 0) AS n_active, m.p AS pattern, m.l AS list, coalesce(m.b, false) AS blocked
+FROM c LEFT JOIN d ON c.page_id = d.page_id"""

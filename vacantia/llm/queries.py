@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import checks, leaks, lm, mixing, quality, secret_scan, similar, token_files
+from vacantia.llm import (
+    checks, leaks, licences, lm, mixing, quality, secret_scan, similar, token_files, toxicity, url_lists,
+)
+from vacantia.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +75,56 @@ def op6_jaccard_groups(spark, folder):
 @query("op10_interpolated_scores")
 def op10_interpolated_scores(spark, folder):
     return lm.score(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op7_licence_sentences", checks.LICENCES)
+def op7_licence_sentences(spark, folder):
+    found = licences.scan(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.array_join("sentences", ",").alias("sentences"),
+                        F.array_join("licences", ",").alias("licences"))
+
+
+def number(column, digits: int = 7):
+    """A number made of a text, the same in every engine."""
+    return F.conv(F.substring(F.md5(column), 1, digits), 16, 10).cast("long")
+
+
+def dated_captures(pages: DataFrame) -> DataFrame:
+    day = F.date_add(F.lit("2021-01-01").cast("date"), (F.col("page_id") * 37 % 1461).cast("int"))
+    return pages.select("page_id", "url", day.alias("day"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """Lists made of the pages' own hosts: which patterns enter a list, and the days they enter,
+    leave and come back, follow from the pattern's hash."""
+    host = url_lists.host_of(F.col("url"))
+    labels = F.split(host, r"\.")
+    parent = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
+    first = F.concat(host, F.lit("/"), F.regexp_extract("url", r"^[a-z]+://[^/]+/([^/?#]+)", 1))
+    patterns = pages.select(F.explode(F.array(host, parent, first)).alias("pattern")).distinct().filter("pattern != ''")
+    n = number(F.col("pattern"))
+    start = F.date_add(F.lit("2020-06-01").cast("date"), (n % 1200).cast("int"))
+    lists = F.array(F.when(n % 4 == 0, F.lit("spam")), F.when(n % 5 == 0, F.lit("adult")), F.when(n % 7 == 0, F.lit("trusted")))
+    days = F.array(*[F.date_add(start, (gap * (n % 300 + 1)).cast("int")) for gap in (0, 1, 2, 4)])
+    added = F.array(*map(F.lit, (True, False, True, False)))
+    listed = patterns.select("pattern", F.explode(F.array_compact(lists)).alias("list"), days.alias("day"), added.alias("added"))
+    return (listed.select("list", "pattern", F.explode(F.arrays_zip("day", "added")).alias("s"))
+            .select("list", "pattern", "s.day", "s.added"))
+
+
+@query("op8_dated_url_lists", checks.URLS)
+def op8_dated_url_lists(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    entries = stored(dated_entries(pages), "url-entries")
+    return url_lists.judged(dated_captures(pages), entries, ["spam", "adult"]).select(
+        "page_id", "day", "n_active", "pattern", "list", "blocked")
+
+
+@query("op3_toxicity_grades")
+def op3_toxicity_grades(spark, folder):
+    documents = table(spark, folder, "documents")
+    labelled = toxicity.graded(documents, table(spark, folder, "labels"), "doc_id", "text", "toxic")
+    chosen = toxicity.choose(labelled)
+    model = toxicity.train(toxicity.split_severe(labelled, chosen), chosen, 3)
+    found = toxicity.predict(documents, model)
+    return found.select(F.col("key").alias("doc_id"), "expected_severity", "grade", (F.col("grade") > 0).alias("toxic"))
