@@ -12,6 +12,7 @@ from vacantia.sources.tables import stored
 #: White space is the six ASCII characters; a word is a longest run of others.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+FEW_EDGES = 200_000
 
 
 def text_of(column: str = "text") -> Column:
@@ -85,7 +86,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     current = stored(edges.filter("a != b").select(larger.alias("a"), smaller.alias("b")).distinct(), name)
     seen = fingerprint(current)
     while seen[0]:
-        current = stored(small_star(large_star(current)), name)
+        # A few edges are not worth a shuffle: in one partition the steps need none.
+        compact = current.coalesce(1) if seen[0] <= FEW_EDGES else current
+        current = stored(small_star(large_star(compact)), name)
         now = fingerprint(current)
         if now == seen:
             break

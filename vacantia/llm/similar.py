@@ -52,7 +52,7 @@ from vacantia.llm.common import components, running, small, text_of
 from vacantia.sources.tables import stored
 
 SHINGLE = 5
-SEGMENT_SHARE = 0.40  # segments of a band per element of its largest set
+SEGMENT_SHARE = 0.45  # segments of a band per element of its largest set
 LEAST_SEGMENTS = 16
 DELETABLE = 8  # segments with deletions in bands of large sets; in bands of small ones all
 SMALL_BAND = 5  # bands below this are of small sets
@@ -60,8 +60,9 @@ WORDS_KEPT = 1_000_000  # word hashes that a worker remembers
 FEW = 500_000  # keys or digests that may be broadcast
 STAR_ROUNDS = 1
 STAR = 4  # a pair of a star has more than this part of the surplus in lists
-COSTLY = 16  # rows of a list that is worth ignoring
-BLOCK_SETS = 256
+COSTLY = 32  # rows of a list that is worth ignoring
+BLOCK_ELEMENTS = 1 << 19  # of a block of sets, and
+BLOCK_SETS = 1 << 12  # sets of it at most
 COLUMNS = 1024
 BLOCK = 500  # sets without a valuation in one pass
 
@@ -391,14 +392,16 @@ def in_blocks(indexed: DataFrame, rows: DataFrame, first_rows: DataFrame) -> Dat
     each other in one task, which returns no more links than it takes to join what is linked.
     """
     stuck = stored(indexed.filter("costly").select("sig", F.col("i_node").alias("node")), "stuck")
-    met = stored(rows.join(stuck.select("sig").distinct(), "sig", "left_semi").select("sig", "node", "component", "cost"), "met")
-    popular = met.groupBy("node").agg(F.sum("cost").alias("popularity"), F.min("component").alias("component"))
+    met = stored(rows.join(stuck.select("sig").distinct(), "sig", "left_semi").select("sig", "node", "component", "cost", "size"), "met")
+    popular = met.groupBy("node").agg(F.sum("cost").alias("popularity"), F.min("component").alias("component"),
+                                      F.max("size").alias("size"))
     middle = F.max(F.struct("popularity", "m")).over(Window.partitionBy("sig"))
     family = (met.select("sig", "node").join(popular.withColumnRenamed("node", "m"), F.col("node") == F.col("m"))
-              .withColumn("middle", middle["m"]).groupBy("node", "component", "middle").agg(F.count("*").alias("n"))
-              .groupBy("node", "component").agg(F.max(F.struct("n", "middle"))["middle"].alias("family")))
-    placed = running(family, [F.col("family"), F.col("node")], "families", place=F.lit(1))
-    placed = stored(placed.select("node", "component", F.floor(F.col("place") / BLOCK_SETS).alias("block")), "blocks")
+              .withColumn("middle", middle["m"]).groupBy("node", "component", "size", "middle").agg(F.count("*").alias("n"))
+              .groupBy("node", "component", "size").agg(F.max(F.struct("n", "middle"))["middle"].alias("family")))
+    room = F.greatest("size", F.lit(BLOCK_ELEMENTS // BLOCK_SETS))
+    placed = running(family, [F.col("family"), F.col("node")], "families", place=room)
+    placed = stored(placed.select("node", "component", F.floor(F.col("place") / BLOCK_ELEMENTS).alias("block")), "blocks")
     of_list = lambda table: table.join(placed.select("node", "block"), "node").select("sig", "block").distinct()
     pairs = (of_list(stuck).withColumnRenamed("block", "c").join(of_list(met), "sig")
              .select(F.least("c", "block").alias("x"), F.greatest("c", "block").alias("y")).distinct())
