@@ -37,7 +37,7 @@ from vacantia.sources.tables import stored
 
 Q = 16
 WINDOW = 100
-STEP = 50
+STEP = 20  # so any stretch of 119 characters of an item holds a window
 BUDGET = 0.05  # edits per character of a window
 BLOCK = 1_000_000  # characters of the benchmark in one pass
 BATCH_CHARS = 1 << 21

@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import text_of
 from vacantia.sources.tables import stored
 
-CHUNK_CHARS = 24_000_000
-PART_KEYS = 2_000_000
+CHUNK_CHARS = 8_000_000
+PART_KEYS = 1_500_000
 END = b" "  # no word holds a space
 ROUNDS = 60
 PER_OCTAVE = 2
@@ -282,6 +282,8 @@ def learn(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.nda
     bucket, pair, word = cells // GRID ** 2, cells // GRID % GRID, cells % GRID
     value = lambda q: np.where(q > 0, 2.0 ** ((q + LOW) / PER_OCTAVE), 0.0)
     estimates = np.stack([value(pair), value(word), np.ones(len(cells))], axis=1)
+    if not len(cells):
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     weights = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
     weights[0] = [0.0, 0.8, 0.2]
     for _ in range(rounds):
