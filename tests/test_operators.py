@@ -144,9 +144,9 @@ def test_csv_dialect(spark, tmp_path):
     (tmp_path / "a_jobs.csv").write_text('x,y\n"say ""hi""\nthere",NA\n"",  \nnull,z\n', encoding="utf-8")
     (tmp_path / "MASTER_x.csv").write_text("x,y\nq,q\n", encoding="utf-8")
     schema = text_schema("x", "y")
-    rows = tables.read_csv(spark, str(tmp_path / "a_jobs.csv"), schema).collect()
+    rows = tables.read_csv(spark, str(tmp_path / "a_jobs.csv"), schema, multi_line=True).collect()
     assert [tuple(r) for r in rows] == [('say "hi"\nthere', None), (None, "  "), (None, "z")]
-    files = {r["file_name"] for r in tables.read_board_files(spark, str(tmp_path / "*.csv"), schema).collect()}
+    files = {r["file_name"] for r in tables.read_board_files(spark, str(tmp_path / "*.csv"), schema, multi_line=True).collect()}
     assert files == {"a_jobs.csv"}
 
 
@@ -154,3 +154,26 @@ def test_partitioned_sink(spark, tmp_path):
     table = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(90)], "n int, source string")
     tables.write_by(table, str(tmp_path / "out"), "source")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 90
+
+
+def test_split_keeps_rows_of_other_labels(spark):
+    rows = spark.createDataFrame([(i, ["IT", "Chef", None][i % 3]) for i in range(60)], "doc_id long, label string")
+    out = label.train_val_split(rows, "label", "doc_id").collect()
+    assert len(out) == 60
+    assert {r["split"] for r in out if r["label"] == "IT"} == {"train", "val"}
+    assert {r["split"] for r in out if r["label"] != "IT"} == {None}
+
+
+def test_versions_count_once_finished(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), spark.range(1).schema
+    tables.write_version(spark.range(1), path)
+    tables.write_version(spark.range(2), path)
+    spark.range(9).write.parquet(f"{path}/version=99999999999999999999-dead")  # a job that died before its list row
+    assert tables.read_latest(spark, path, schema).count() == 2
+
+
+def test_sorted_report(spark, tmp_path):
+    tables.write_sorted(spark.range(100).selectExpr("id * 37 % 100 AS id"), str(tmp_path / "r"), "id")
+    files = sorted((tmp_path / "r").glob("*.csv"))
+    lines = [int(x) for f in files for x in f.read_text().split()[1:]]
+    assert lines == sorted(lines) and len(lines) == 100

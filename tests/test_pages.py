@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
 """Pages to postings on hand-made markup."""
 
+from vacantia import rules
 from vacantia.operators.extract import (
     backfill_descriptions, extract_archive_postings, extract_postings, page_outcomes,
 )
@@ -8,10 +10,10 @@ LD = '<script type="application/ld+json">{}</script>'
 FILL = "<p>" + "filler " * 100 + "</p>"
 
 
-def posting(spark, board, html, url="https://x/1"):
+def posting(spark, board, html, url="https://x/1", **settings):
     pages = spark.createDataFrame([(board, url, "20200101000000", html)],
                                   "board string, original_url string, timestamp string, html string")
-    rows = extract_postings(pages).collect()
+    rows = extract_postings(pages, **settings).collect()
     return rows[0].asDict() if rows else None
 
 
@@ -57,7 +59,10 @@ def test_class_words_match_in_any_class_and_comments_do_not_count(spark):
 
 
 def test_main_content_of_one_board(spark):
-    row = posting(spark, "jobs_cz", "<h1>T</h1><main>" + "ab " * 2000 + "</main>", "https://www.jobs.cz/rpd/1234567/")
+    html = "<h1>T</h1><main>" + "ab " * 2000 + "</main>"
+    row = posting(spark, "jobs_cz", html, "https://www.jobs.cz/rpd/1234567/")
+    assert len(row["description"]) == 5999, "whole by default"
+    row = posting(spark, "jobs_cz", html, "https://www.jobs.cz/rpd/1234567/", main_chars=rules.MAIN_CONTENT_CHARS)
     assert len(row["description"]) == 3000 and row["job_id"] == "1234567" and row["country"] == "CZ"
     assert posting(spark, "dice", "<h1>T</h1><main>ab</main>")["description"] == ""
 
@@ -94,3 +99,14 @@ def test_backfill_keeps_everything_else(spark):
         "wayback_url string, html string")
     found = {r["n"]: r["description"] for r in backfill_descriptions(postings, pages).collect()}
     assert found == {1: "own", 2: text + "more", 3: None, 4: None, 5: None, 6: ""}
+
+
+def test_attribute_quoting(one):
+    """Values in double, single and no quotes are read alike."""
+    from vacantia.functions import pages as P
+    for quote in ('"', "'", ""):
+        html = f"<div itemprop={quote}description{quote} id=x>Body</div><time datetime={quote}2018-03-01{quote}>x days</time>"
+        found = one(lambda h: P.first_element(h, F.lit("div"), F.lit(P.open_tag_pattern("div", "itemprop", "description")))["inner"], html)
+        assert found == ["Body"]
+        assert one(lambda h: P._attribute(F.regexp_extract(h, "<time[^>]*>", 0), "datetime"), html) == ["2018-03-01"]
+    assert one(lambda h: P._attribute(h, "content"), "<meta name=a>") == [""]

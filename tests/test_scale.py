@@ -1,12 +1,16 @@
 """What plans must and must not hold, and heavy keys."""
 
+import time
+
 import pytest
 from conftest import FOLDER
+from pyspark.sql import functions as F
 
+from vacantia.functions import pages
 from vacantia.operators import dedup, skills, trends
 from vacantia.plans.queries import QUERIES, corpus_skills
 
-BUILDS = sorted(set(QUERIES) - {"lr_domain", "incremental_ingest", "scan_csv_roundtrip"})
+BUILDS = sorted(set(QUERIES) - {"lr_domain", "lr_eval", "nb_eval", "incremental_ingest", "scan_csv_roundtrip"})
 
 
 def plan(table):
@@ -50,3 +54,42 @@ def test_one_key_with_a_third_of_the_rows(spark):
     out = dedup.dedup_postings(rows.repartition(16))
     assert out.count() == 501
     assert "partial_min" in plan(out)  # each task sends one row per key
+
+
+def seconds(run):
+    start = time.perf_counter()
+    run()
+    return time.perf_counter() - start
+
+
+def in_proportion(run, small, large):
+    """Time grows no faster than about the size (the fixed part of a query helps)."""
+    run(small)
+    return seconds(lambda: run(large)) <= 2.5 * large / small * max(0.4, seconds(lambda: run(small)))
+
+
+def test_pages_of_many_elements(spark):
+    def run(n):
+        body = "".join(f"<p>w{i}</p>" for i in range(n)) + '<div class="similar-jobs">x<div>y</div></div>' + "<i>end</i>"
+        page = f'<div class="listing-content">{body}</div>'
+        out = spark.createDataFrame([(page,)], "html string").select(pages.page_description(F.col("html"), F.col("html")).alias("d"))
+        text = out.first()["d"]
+        assert text.startswith("w0 w1") and text.endswith("end") and "x y" not in text
+    assert in_proportion(run, 10000, 40000)
+
+
+def test_texts_of_many_matches(spark):
+    def run(n):
+        text = " ".join(["sql", "in", "python"][i % 3] for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, description string")
+        assert skills.extract_synonyms(docs).first()["extracted_skills"] == ["Python", "SQL"]
+    assert in_proportion(run, 25000, 100000)
+
+
+def test_first_element_costs_no_more_with_a_long_rest(spark):
+    def run(n):
+        html = "<h1>Title <b>x</b></h1>" + "<p>text</p>" * n
+        out = spark.createDataFrame([(html,)], "html string").select(
+            pages.first_element(F.col("html"), F.lit("h1"), F.lit(pages.open_tag_pattern("h1", "", ""))).alias("e"))
+        assert out.first()["e"]["inner"] == "Title <b>x</b>"
+    assert in_proportion(run, 25000, 100000)

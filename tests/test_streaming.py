@@ -44,3 +44,13 @@ def test_new_progress_folder_adds_nothing(spark, tmp_path):
     assert len(run(spark, folder, target, str(tmp_path / "p1"))) == 2
     spark.createDataFrame([page(3, "C")], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     assert len(run(spark, folder, target, str(tmp_path / "p2"))) == 3
+
+
+def test_good_copy_beats_junk_and_missing(spark, tmp_path):
+    """One batch, one capture, three copies: the good page is stored."""
+    good = page(1, "A")
+    copies = [good, (*good[:3], "short"), (*good[:3], None), (*good[:3], "<p>" + "captcha " * 100)]
+    for n, order in enumerate((copies, copies[::-1])):
+        target = str(tmp_path / f"store{n}")
+        ingest.ingest_batch(spark.createDataFrame(order, SCHEMA), 0, target)
+        assert [r["title"] for r in ingest.stored_postings(spark, target).collect()] == ["A"]

@@ -89,3 +89,8 @@ def test_job_urls(one):
 def test_country_of_url(one):
     rows = ("https://x/jobs-USA-London", "https://x/Zurich", "https://x/rome", None)
     assert one(U.country_from_url, *rows) == ["US", "CH", "", ""]
+
+
+def test_named_references_of_all_alphabets(one):
+    texts = ["Pr&aacute;ce", "&Scaron;koda", "&lstrok;&oacute;d&zacute;", "&frac12; &there4;", "&nosuch; &amp;lstrok;", "a & b &"]
+    assert one(T.decode_entities, *texts) == ["Práce", "Škoda", "łódź", "½ ∴", "&nosuch; &lstrok;", "a & b &"]

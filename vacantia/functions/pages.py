@@ -3,8 +3,9 @@
 Pages stay in their row from markup to posting: blocks and elements are arrays folded
 inside the row, so extraction needs no shuffle and keeps no state between rows.
 
-Limits of reading markup by pattern: an attribute value holding ``>`` ends its tag early.
-Elements of the same name nested in each other are balanced.
+Attribute values may stand in double, single or no quotes.  Limits of reading markup by pattern:
+an attribute value holding ``>`` ends its tag early.  Elements of the same name nested in each
+other are balanced.
 """
 
 from __future__ import annotations
@@ -123,11 +124,12 @@ def open_tag_pattern(tag: str, attribute: str, value: str) -> str:
     name = attribute.rstrip("~*^")
     if kind == "~":
         value = value.replace(".", "[^\"'>]")
+    bare = r"""[^\s"'>=<`]*"""
     body = {
-        "=": rf"""["']{value}["']""",
-        "~": rf"""["'][^"'>]*(?i:{value})[^"'>]*["']""",
-        "*": rf"""["'][^"'>]*{value}[^"'>]*["']""",
-        "^": rf"""(?:["']|["'][^"'>]*\s)(?i:{value})[^"'>]*["']""",
+        "=": rf"""(?:["']{value}["']|{value}(?=[\s/>]))""",
+        "~": rf"""(?:["'][^"'>]*(?i:{value})[^"'>]*["']|{bare}(?i:{value}){bare}(?=[\s>]))""",
+        "*": rf"""(?:["'][^"'>]*{value}[^"'>]*["']|{bare}{value}{bare}(?=[\s>]))""",
+        "^": rf"""(?:(?:["']|["'][^"'>]*\s)(?i:{value})[^"'>]*["']|(?i:{value}){bare}(?=[\s>]))""",
     }[kind]
     return rf"<(?i:{tag})\b[^>]*\s(?i:{name})\s*=\s*{body}[^>]*>"
 
@@ -174,7 +176,7 @@ def first_element(html: Column, tag: Column, pattern: Column) -> Column:
                 opening.alias("opening"), head.alias("inner")))))
 
     closing = F.when(tag == "meta", F.lit("")).otherwise(F.concat(F.lit("(?s:.*?)</(?i:"), tag, F.lit(r")\b")))
-    quick = F.regexp_extract(html, F.concat(pattern, closing), 0)
+    quick = F.call_function("regexp_extract", html, F.concat(pattern, closing), F.lit(0))
     return F.coalesce(
         let(quick, lambda found: F.when(found != "", cut(found))),
         let(F.regexp_instr(html, pattern), balanced_from))
@@ -185,23 +187,9 @@ def _opening(markup: Column) -> Column:
 
 
 def _attribute(opening: Column, name: str) -> Column:
-    return decode_entities(F.regexp_extract(
-        opening, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1))
-
-
-def first_element(html: Column, tag: Column, pattern: Column) -> Column:
-    """Struct (opening tag, inner markup) of the first element found, else null."""
-    def cut(position: Column) -> Column:
-        tail = F.substring(html, position, F.length(html))
-        return F.when(position > 0, let(tail, split_tail))
-
-    def split_tail(tail: Column) -> Column:
-        opening = F.regexp_extract(tail, "^<[^>]*>", 0)
-        rest = F.substring(tail, F.length(opening) + 1, F.length(tail))
-        inner = F.when(tag == "meta", F.lit("")).otherwise(_balanced(rest, tag))
-        return F.struct(opening.alias("opening"), inner.alias("inner"))
-
-    return let(F.regexp_instr(html, pattern), cut)
+    """An attribute's value, in double, single or no quotes; '' without it."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>=<`]+))"""
+    return decode_entities(F.concat(*[F.regexp_extract(opening, pattern, i) for i in (1, 2, 3)]))
 
 
 def _must_hold(attribute: str, value: str) -> list[list[str]]:
@@ -303,24 +291,42 @@ def _without(markup: Column, unwanted: str) -> Column:
     void = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
             "track", "wbr")
     bad = rf"""(?is)^<[a-z][^>]*\sclass\s*=\s*["'][^"'>]*(?:{unwanted})"""
-    start = F.struct(F.lit("").alias("skip"), F.lit(0).alias("depth"),
-                     F.array().cast("array<string>").alias("kept"))
+    start = F.struct(F.lit("").alias("skip"), F.lit(0).alias("depth"), F.lit(0).alias("at"),
+                         F.lit(0).alias("from"), F.array().cast("array<struct<b:int,e:int>>").alias("runs"))
 
     def step(acc: Column, token: Column) -> Column:
+        """Only places are carried: where the token begins, where the dropped run began, and the
+        dropped runs.  A run is added when its element closes."""
         name = F.lower(F.regexp_extract(token, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-        change = (F.when(name != acc["skip"], 0).when(token.startswith("</"), -1).otherwise(1))
-        inside = F.struct(
-            F.when(acc["depth"] + change > 0, acc["skip"]).otherwise("").alias("skip"),
-            (acc["depth"] + change).alias("depth"), acc["kept"].alias("kept"))
-        entered = F.struct(
-            F.when(name.isin(*void), "").otherwise(name).alias("skip"),
-            F.when(name.isin(*void), 0).otherwise(1).alias("depth"), acc["kept"].alias("kept"))
-        kept = F.struct(F.lit("").alias("skip"), F.lit(0).alias("depth"),
-                        F.concat(acc["kept"], F.array(token)).alias("kept"))
-        return (F.when(acc["depth"] > 0, inside).when(token.rlike(bad), entered).otherwise(kept))
+        after = acc["at"] + F.length(token)
+        change = F.when(name != acc["skip"], 0).when(token.startswith("</"), -1).otherwise(1)
+        depth = acc["depth"] + change
+
+        def state(skip, depth, begin, runs):
+            return F.struct(skip.alias("skip"), depth.alias("depth"), after.alias("at"), begin.alias("from"), runs.alias("runs"))
+
+        def run(begin):
+            return F.concat(acc["runs"], F.array(F.struct(begin.alias("b"), after.alias("e"))))
+
+        nothing, zero = F.lit(""), F.lit(0)
+        inside = F.when(depth > 0, state(acc["skip"], depth, acc["from"], acc["runs"])).otherwise(
+            state(nothing, zero, zero, run(acc["from"])))
+        entered = F.when(name.isin(*void), state(nothing, zero, zero, run(acc["at"]))).otherwise(
+            state(name, F.lit(1), acc["at"], acc["runs"]))
+        outside = state(nothing, zero, zero, acc["runs"])
+        return F.when(acc["depth"] > 0, inside).when(token.rlike(bad), entered).otherwise(outside)
+
+    def kept(markup: Column, end: Column) -> Column:
+        """What lies between the dropped runs; an element left open drops the rest."""
+        length = F.length(markup)
+        runs = F.when(end["depth"] > 0, F.concat(end["runs"], F.array(
+            F.struct(end["from"].alias("b"), length.alias("e"))))).otherwise(end["runs"])
+        begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["e"]))
+        ends = F.concat(F.transform(runs, lambda r: r["b"]), F.array(length))
+        return F.array_join(F.zip_with(begins, ends, lambda b, e: F.substring(markup, b + 1, e - b)), "")
 
     tokens = F.regexp_extract_all(markup, F.lit(r"(?s)</?[a-zA-Z!?][^>]*>|[^<]+|<"), F.lit(0))
-    cleaned = F.array_join(F.aggregate(tokens, start, step)["kept"], "")
+    cleaned = let(F.aggregate(tokens, start, step), lambda end: kept(markup, end))
     return F.when(markup.rlike(rf"(?i){unwanted}"), cleaned).otherwise(markup)
 
 

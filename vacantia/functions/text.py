@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,16 +17,11 @@ _EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
 # What is not yet a single space; single spaces are the most frequent and stay untouched.
 _UNEVEN = rf"(?U)[\x1c-\x1f[\s&&[^ ]]]{SPACE}*| {SPACE}+"
 
-# --- fixed values: named character references ---
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"),
-    ("&ccedil;", "ç"), ("&oacute;", "ó"), ("&euro;", "€"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&deg;", "°"), ("&sect;", "§"),
-)
+# Named character references: the public table of the HTML standard, as the standard library has
+# it, as one text of entries ``\x01&name;\x02character`` (a map literal of that size would weigh
+# on every plan).
+ENTITIES = "".join(f"\x01&{name}\x02{char}" for name, char in sorted(html5.items())
+                   if name.endswith(";") and name != "amp;") + "\x01"
 NOISE = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
 TAG = r"</?[a-zA-Z!?][^>]*>"
 # Possessive, so that long runs of tags are matched in a loop and not by recursion.
@@ -86,13 +82,14 @@ def sql_text(value: str) -> str:
 
 def decode_entities(text: Column) -> Column:
     """Character references become characters; only those a text holds are looked up."""
-    listed = F.expr("map(" + ", ".join(
-        f"{sql_text(name)}, {sql_text(char)}" for name, char in ENTITIES) + ")")
+    def character(name: Column) -> Column:
+        entry, table = F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(ENTITIES)
+        after = F.call_function("substring_index", table, entry, F.lit(-1))
+        return F.when(table.contains(entry), F.substring_index(after, "\x01", 1)).otherwise(name)
 
     def decode(given: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(given, F.lit("&(?!amp;)[a-zA-Z]+;"), F.lit(0)))
-        named = F.aggregate(found, given, lambda acc, name: F.replace(
-            acc, name, F.coalesce(F.try_element_at(listed, name), name)))
+        found = F.array_distinct(F.regexp_extract_all(given, F.lit("&(?!amp;)[a-zA-Z][a-zA-Z0-9]*;"), F.lit(0)))
+        named = F.aggregate(found, given, lambda acc, name: F.replace(acc, name, character(name)))
         decoded = let(named, lambda t: F.replace(_decode_numeric(t), F.lit("&amp;"), F.lit("&")))
         return F.when(given.contains("&"), decoded).otherwise(given)
 

@@ -76,16 +76,22 @@ def predict_naive_bayes(docs: DataFrame, model: DataFrame, priors: DataFrame, ke
                         text: str = "description", labels: Sequence[str] = rules.LABELS) -> DataFrame:
     """``(key, score_<label>..., predicted_label)``; words the model lacks are passed over.
 
-    Hot words, a bounded list, are looked up by broadcast and never shuffled; what is left has
-    no heavy key and meets the rest of the model in a shuffled join.  Both parts are summed
-    per text map-side.  Ties go to the label named first; labels not in training never win.
+    Texts are split into words once, map-side into counts per text and word.  Hot words, a bounded
+    list, are looked up by broadcast first: they drop to one partial sum per text, and only the
+    rare words, which hold no heavy key, go on to meet the rest of the model in a shuffled join.
+    Ties go to the label named first; labels not in training never win.
     """
-    long = _words_of(docs, key, F.coalesce(text, F.lit(NO_TEXT)))
     scores = [_score(c) for c in labels]
-    hot, rest = model.filter("hot"), model.filter("not hot").select("word", *scores)
-    common = long.join(F.broadcast(hot.select("word", *scores)), "word")
-    rare = long.join(F.broadcast(hot.select("word")), "word", "left_anti").join(rest, "word")
-    sums = common.unionByName(rare).groupBy(key).agg(*[F.sum(s).alias(s) for s in scores])
+    hot = model.filter("hot").select(F.col("word").alias("hot_word"), *[F.col(s).alias(f"hot_{s}") for s in scores])
+    rest = model.filter("not hot").select("word", *scores)
+    looked_up = (_words_of(docs, key, F.coalesce(text, F.lit(NO_TEXT)))
+                 .join(F.broadcast(hot), F.col("word") == F.col("hot_word"), "left")
+                 .groupBy(key, F.when(F.col("hot_word").isNull(), F.col("word")).alias("word"))
+                 .agg(F.count("*").alias("n"), *[F.sum(f"hot_{s}").alias(f"hot_{s}") for s in scores]))
+    # A text's row without a word holds the sum of its hot words and finds no partner.
+    met = looked_up.join(rest, "word", "left")
+    sums = met.groupBy(key).agg(*[F.sum(F.when(F.col("word").isNull(), F.col(f"hot_{s}"))
+                                        .otherwise(F.col(s) * F.col("n"))).alias(s) for s in scores])
     prior = priors.select(F.struct(*scores)).scalar()
     full = docs.select(key).join(sums, key, "left").select(
         key, *[(F.coalesce(F.col(s), F.lit(0.0)) + prior[s]).alias(s) for s in scores])
@@ -106,7 +112,7 @@ def train_logistic(rows: DataFrame, label: str = "label", text: str = "descripti
         LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=iterations,
                            regParam=0.01, predictionCol="predicted_id"),
     ]
-    # The training set is a capped sample; every iteration reads it, so it is spread evenly.
+    # Every iteration reads the training set, so it is spread evenly; cap it before, if it is large.
     cores = rows.sparkSession.sparkContext.defaultParallelism
     used = rows.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label, text).repartition(cores)
     model = Pipeline(stages=stages).fit(used)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import strip
-from vacantia.functions.urls import capture_url
+from vacantia.functions.urls import capture_url, is_job_url
 
 
 def earliest_captures(captures: DataFrame) -> DataFrame:
@@ -48,3 +48,10 @@ def done_urls(stored: DataFrame, column: str = "wayback_url") -> DataFrame:
 def pending_captures(captures: DataFrame, stored: DataFrame, column: str = "wayback_url") -> DataFrame:
     """Captures whose address is not stored yet."""
     return captures.join(done_urls(stored, column), column, "left_anti")
+
+
+def pending_job_captures(captures: DataFrame, stored: DataFrame) -> DataFrame:
+    """What is still to be fetched: captures ``(board, original_url, timestamp)`` of job pages, the
+    earliest of each address, less those stored."""
+    jobs = captures.filter(is_job_url(F.col("original_url"), F.col("board")))
+    return pending_captures(earliest_captures(jobs), stored)

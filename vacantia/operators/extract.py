@@ -22,12 +22,16 @@ def _country(board: Column, found: Column, url: Column) -> Column:
     return F.when(board == "efinancialcareers", from_url).otherwise(F.coalesce(from_json, fixed))
 
 
-def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: bool = True) -> DataFrame:
+def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: bool = True,
+                     main_chars: int | None = None) -> DataFrame:
     """Pages ``(board, original_url, timestamp, html)`` to the 12 posting fields.
 
     JSON-LD wins when it has a title; else the board's selectors complete what it left.
     Pages with neither title nor description are dropped unless ``drop_empty`` is off.
-    ``keep`` names further page columns to carry.
+    ``keep`` names further page columns to carry.  ``main_chars`` cuts the page's main content,
+    where it stands in for a description (the collectors cut at ``rules.MAIN_CONTENT_CHARS``).
+    Boards' own limits, in ``rules``: the length of ids (``JOB_ID_PATTERNS``) and texts too long
+    for a company or employment type (``TOO_LONG``).
     """
     board, html, url = F.col("board"), F.col("html"), F.col("original_url")
     staged = pages.select(
@@ -46,7 +50,7 @@ def extract_postings(pages: DataFrame, keep: Sequence[str] = (), drop_empty: boo
     place = T.split_location(F.col("at_location"))
     located = F.col("at_location").isNotNull()
     second = F.size(F.split("at_location", ",")) > 1
-    main = F.substring("at_main", 1, rules.MAIN_CONTENT_CHARS)
+    main = F.substring("at_main", 1, main_chars) if main_chars else F.col("at_main")
     description = F.coalesce(F.nullif(pick("description"), F.lit("")), main, F.lit(""))
     country = F.when((board == "stackoverflow") & located & second, place["country"]).otherwise(
         _country(board, F.col("ld.country"), url))

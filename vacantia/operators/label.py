@@ -52,12 +52,13 @@ def cutoffs(rows: DataFrame, label: str, hashed: str, labels: Sequence[str],
 
 def _in_smallest(rows: DataFrame, label: str, key: str, seed: int, labels: Sequence[str],
                  quota: Callable[[Column, Column], Column]) -> DataFrame:
-    """Rows with a flag ``chosen``: among the quota of their label.  ``key`` must be unique."""
+    """Rows with a flag ``chosen``: among the quota of their label, null for labels not listed.
+    ``key`` must be unique."""
     hashed = rows.withColumn("_hash", sample_hash(key, seed))
     cut = cutoffs(hashed.select(label, "_hash"), label, "_hash", labels, quota)
     # One row per label of a closed list, so the broadcast is bounded.
-    joined = hashed.join(F.broadcast(cut), label)
-    chosen = F.when(F.col("quota") <= 0, False).when(F.col("pool") <= F.col("quota"), True).otherwise(
+    joined = hashed.join(F.broadcast(cut), label, "left")
+    chosen = F.when(F.col("quota").isNull(), None).when(F.col("quota") <= 0, False).when(F.col("pool") <= F.col("quota"), True).otherwise(
         F.col("_hash") <= F.col("cutoff"))
     return joined.withColumn("chosen", chosen).drop("_hash", "cutoff", "pool", "quota")
 
@@ -76,9 +77,10 @@ def stratified_sample(rows: DataFrame, label: str, key: str, caps: Mapping[str,
 
 def train_val_split(rows: DataFrame, label: str, key: str, labels: Sequence[str] = rules.LABELS,
                     share: float = 0.2, seed: int = rules.SAMPLE_SEED) -> DataFrame:
-    """Rows with ``split``: in each label round(share * n) rows are ``val``, the rest ``train``."""
+    """Rows with ``split``: in each of ``labels`` round(share * n) rows are ``val``, the rest
+    ``train``.  Every row is kept; one whose label is null or not listed has a null ``split``."""
     flagged = _in_smallest(rows, label, key, seed, labels, lambda _, pool: F.round(pool * share))
-    return flagged.withColumn("split", F.when(F.col("chosen"), "val").otherwise("train")).drop("chosen")
+    return flagged.withColumn("split", F.when(F.col("chosen"), "val").when(~F.col("chosen"), "train")).drop("chosen")
 
 
 def label_pools(corpus: DataFrame) -> DataFrame:

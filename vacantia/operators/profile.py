@@ -6,18 +6,15 @@ third of the corpus costs no more than a small one after the first stage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vacantia import rules
-from vacantia.functions.text import is_blank, parse_date
-
-
-def source_metadata(spark: SparkSession, rows=rules.SOURCE_META) -> DataFrame:
-    return spark.createDataFrame(list(rows), "source string, country string, sector string, region string")
+from vacantia.functions.text import date_column, description_column, is_blank, parse_date
 
 
 def with_metadata(table: DataFrame, meta: DataFrame) -> DataFrame:
@@ -56,6 +53,19 @@ def source_profile(corpus: DataFrame, description: str = "description", date: st
         .when(100 - missing >= rules.FILL_LOW, "moderate").otherwise("low").alias("fill_band"))
 
 
+def resolved(board: DataFrame, source: str) -> DataFrame:
+    """A board's ``source, description, date_posted``, its own columns found by their names; null
+    text where it has none."""
+    found = {"description": description_column(board.columns), "date_posted": date_column(board.columns)}
+    return board.select(F.lit(source).alias("source"), *[
+        (F.col(f"`{name}`") if name else F.lit(None)).cast("string").alias(column) for column, name in found.items()])
+
+
+def mixed_profile(boards: Mapping[str, DataFrame]) -> DataFrame:
+    """``source_profile`` of boards whose tables have different columns."""
+    return source_profile(reduce(DataFrame.unionByName, [resolved(table, name) for name, table in boards.items()]))
+
+
 def null_rates(table: DataFrame, columns: Sequence[str], by: str = "source") -> DataFrame:
     """Null share in percent of every column and source."""
     rates = table.groupBy(by).agg(*[

@@ -107,15 +107,19 @@ def _matches(docs: DataFrame, key: str, text: str, words: DataFrame, limit: int)
 
 
 def _leftmost_longest(found: Column) -> Column:
-    """Distinct skills of matches kept from left to right, sorted by name."""
+    """Distinct skills of matches kept from left to right, sorted by name.
+
+    A skill is kept once, so the array that grows is bounded by the text's distinct skills.
+    """
     start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("skills"))
 
     def step(acc: Column, match: Column) -> Column:
-        taken = F.struct((match["start"] - match["less"]).alias("end"),
-                         F.concat(acc["skills"], F.array(match["skill"])).alias("skills"))
+        known = F.array_contains(acc["skills"], match["skill"])
+        skills = F.when(known, acc["skills"]).otherwise(F.concat(acc["skills"], F.array(match["skill"])))
+        taken = F.struct((match["start"] - match["less"]).alias("end"), skills.alias("skills"))
         return F.when(match["start"] > acc["end"], taken).otherwise(acc)
 
-    return F.array_sort(F.array_distinct(F.aggregate(F.array_sort(found), start, step)["skills"]))
+    return F.array_sort(F.aggregate(F.array_sort(found), start, step)["skills"])
 
 
 def match_skills(docs: DataFrame, key: str, text: str, words: DataFrame,

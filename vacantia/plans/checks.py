@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from vacantia import rules
-from vacantia.functions.text import ENTITIES
 
 WS = (r"[\s\x0B\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 HARD = ("Ci", "De La", "For", "From", "Für", "In The", "Of The", "Que La", "To The")
@@ -39,8 +38,17 @@ def country_of_url(url: str) -> str:
     return f"CASE {branches} ELSE '' END"
 
 
+# Character references of the check, its own short list, Polish and Czech letters among them.
+CHECK_ENTITIES = (
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&auml;", "ä"), ("&szlig;", "ß"),
+    ("&eacute;", "é"), ("&aacute;", "á"), ("&iacute;", "í"), ("&lstrok;", "ł"), ("&sacute;", "ś"), ("&aogon;", "ą"),
+    ("&Scaron;", "Š"), ("&ccaron;", "č"), ("&rcaron;", "ř"), ("&frac12;", "½"), ("&mdash;", "—"),
+    ("&copy;", "©"), ("&middot;", "·"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&euro;", "€"), ("&hellip;", "…"),
+)
+
+
 def _decoded(text: str) -> str:
-    for name, char in (*ENTITIES, ("&amp;", "&")):
+    for name, char in (*CHECK_ENTITIES, ("&amp;", "&")):
         text = f"replace({text}, '{name}', {_quoted(char)})"
     return text
 
@@ -54,6 +62,12 @@ def _collapsed(text: str) -> str:
     return f"trim(regexp_replace({text}, '{WS}+', ' ', 'g'))"
 
 
+def marked_text(html: str, key: str) -> str:
+    """Markup with character references of the check before it."""
+    listed = " || ".join(f"CASE WHEN {key} % {n + 2} = 0 THEN '{name}x' ELSE ' ' END" for n, (name, _) in enumerate(CHECK_ENTITIES))
+    return f"'<p>Pr&aacute;ce ' || {listed} || '&unknown; &amp;lstrok;</p>' || {html}"
+
+
 def html_text(html: str) -> str:
     return _collapsed(_decoded(f"regexp_replace({_noise_free(html)}, '</?[a-zA-Z!?][^>]*>', ' ', 'g')"))
 
@@ -141,6 +155,11 @@ profile AS (SELECT s.*, coalesce(m.country, '?') AS country, coalesce(m.sector,
     count(DISTINCT year(d)) AS years_covered FROM base GROUP BY source) s LEFT JOIN v_source_meta m ON m.source = s.source)"""
 
 
+# Boards of three layouts: their description and date columns are named differently or absent.
+MIXED = PROFILE.replace("FROM v_postings)", """FROM (SELECT source, date_posted,
+  CASE WHEN source IN ('ch', 'monster') THEN NULL ELSE description END AS description FROM v_postings) b)""") + " SELECT * FROM profile"
+
+
 def null_rates(columns) -> str:
     return " UNION ALL ".join(
         f"SELECT source, '{c}' AS column_name, round(count(*) FILTER ({c} IS NULL) / count(*) * 100, 1) AS null_pct "
@@ -195,13 +214,13 @@ w AS (SELECT domain_label, unnest(regexp_extract_all(lower(description), '[\p{L}
 s AS (SELECT count(*) AS words, """ + _each("sum(n_{c}) AS t_{c}") + """ FROM c),
 model AS (SELECT c.*, """ + _each("ln((n_{c} + 1) / (s.t_{c} + s.words)) AS score_{c}") + " FROM c CROSS JOIN s)"
 
-NB_PREDICT = r""", d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(description, 'No description provided')), '[\p{L}\p{N}_]+')) AS word FROM v_postings),
+_NB_SCORES = r""", d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(description, 'No description provided')), '[\p{L}\p{N}_]+')) AS word FROM v_postings),
 """ + "q AS (SELECT d.doc_id, " + _each("sum(m.score_{c}) AS score_{c}") + """ FROM d JOIN model m ON m.word = d.word GROUP BY d.doc_id),
 pr AS (SELECT """ + _each("ln(count(*) FILTER (domain_label = '{c}') / count(*)) AS p_{c}") + """ FROM tr),
 z AS (SELECT v.doc_id, """ + _each("coalesce(q.score_{c}, 0) + pr.p_{c} AS score_{c}") + """
-  FROM v_postings v CROSS JOIN pr LEFT JOIN q ON q.doc_id = v.doc_id)
-SELECT doc_id, """ + _each("round(score_{c}, 4) AS score_{c}") + ", CASE greatest(" + _each("score_{c}") + ") " \
-    + _each("WHEN score_{c} THEN '{c}'", " ") + " END AS predicted_label FROM z"
+  FROM v_postings v CROSS JOIN pr LEFT JOIN q ON q.doc_id = v.doc_id)"""
+_NB_LABEL = "CASE greatest(" + _each("score_{c}") + ") " + _each("WHEN score_{c} THEN '{c}'", " ") + " END AS predicted_label"
+NB_PREDICT = _NB_SCORES + " SELECT doc_id, " + _each("round(score_{c}, 4) AS score_{c}") + f", {_NB_LABEL} FROM z"
 
 
 def language(text: str) -> str:
@@ -213,11 +232,11 @@ def language(text: str) -> str:
     return f"CASE WHEN {best} = 0 THEN 'Unknown' ELSE CASE {best} {cases} END END"
 
 
-def evaluation_by(*keys: str) -> str:
+def evaluation_by(*keys: str, table: str = "v_eval", after: str = "WITH") -> str:
     names = "".join(f"{k}, " for k in keys)
-    return f"""WITH x AS (SELECT {names}true_label AS label, 1 AS support, 0 AS predicted,
-  CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END AS hit FROM v_eval
-  UNION ALL SELECT {names}predicted_label, 0, 1, 0 FROM v_eval),
+    return f"""{after} x AS (SELECT {names}true_label AS label, 1 AS support, 0 AS predicted,
+  CASE WHEN true_label = predicted_label THEN 1 ELSE 0 END AS hit FROM {table}
+  UNION ALL SELECT {names}predicted_label, 0, 1, 0 FROM {table}),
 g AS (SELECT {names}label, sum(support) AS support, sum(predicted) AS predicted, sum(hit) AS hit FROM x GROUP BY {names}label),
 m AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0.0 END AS precision,
   CASE WHEN support > 0 THEN hit / support ELSE 0.0 END AS recall,
@@ -226,6 +245,14 @@ m AS (SELECT *, CASE WHEN predicted > 0 THEN hit / predicted ELSE 0.0 END AS pre
 
 EVALUATION = evaluation_by()
 
+NB_EVAL = (NB_MODEL + _NB_SCORES + f""", y AS (SELECT doc_id, {_NB_LABEL} FROM z),
+ev AS (SELECT domain_label AS true_label, predicted_label, {language('description')} AS language
+  FROM ranked JOIN y USING (doc_id) WHERE rn <= round(0.2 * n)),
+every AS (SELECT * FROM ev UNION ALL SELECT true_label, predicted_label, 'all' FROM ev)"""
+           + evaluation_by("language", table="every", after=",") + """ SELECT language,
+  round(sum(hit) / sum(support), 6) AS accuracy, round(sum(f1 * support) / sum(support), 6) AS weighted_f1,
+  CAST(sum(support) AS BIGINT) AS sample_size FROM m GROUP BY language""")
+
 
 def p_value(t: str, df: str) -> str:
     """Two-sided t tail: Simpson's rule in the angle atan(t / sqrt(df))."""

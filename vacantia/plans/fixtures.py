@@ -70,11 +70,11 @@ FROM pages p JOIN v_job_urls u ON u.page_id = p.page_id""",
  ELSE '<script type="application/ld+json">{broken</script>' END || p.html AS html
 FROM pages p JOIN v_job_urls u ON u.page_id = p.page_id""",
     "v_marked_pages": """SELECT p.page_id, u.board, u.url, '<html><body><!-- <h1>Old</h1> --><h1>Job <b>No</b> ' || CAST(p.page_id AS STRING) || ' &amp; Co</h1>'
- || '<div class="top company-box"> Acme <i>' || CAST(p.page_id % 3 AS STRING) || '</i> </div><span class="company">Firm ' || CAST(p.page_id % 3 AS STRING) || '</span>'
- || '<span class="Location">Bern , BE, CH</span><time datetime="2018-03-0' || CAST(1 + p.page_id % 9 AS STRING) || '">x</time>'
- || '<li class="employment">Full&nbsp;time</li><div class="job-description"> Do <div>this <p>and</p></div> that<script>var x=1;</script> ' || CAST(p.page_id AS STRING) || '</div><div>tail</div>'
+ || '<div class="top company-box"> Acme <i>' || CAST(p.page_id % 3 AS STRING) || '</i> </div><span class=' || q || 'company' || q || '>Firm ' || CAST(p.page_id % 3 AS STRING) || '</span>'
+ || '<span class=' || q || 'Location' || q || '>Bern , BE, CH</span><time datetime=' || q || '2018-03-0' || CAST(1 + p.page_id % 9 AS STRING) || q || '>x</time>'
+ || '<li class=' || q || 'employment' || q || '>Full&nbsp;time</li><div class=' || q || 'job-description' || q || '> Do <div>this <p>and</p></div> that<script>var x=1;</script> ' || CAST(p.page_id AS STRING) || '</div><div>tail</div>'
  || p.html AS html
-FROM pages p JOIN v_job_urls u ON u.page_id = p.page_id""",
+FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN '"' WHEN 1 THEN '''' ELSE '' END AS q FROM pages) p JOIN v_job_urls u ON u.page_id = p.page_id""",
     "v_gaps": """SELECT page_id, 'https://web.archive.org/web/20200101000000/' || CAST(page_id AS STRING) AS wayback_url,
   CASE page_id % 3 WHEN 0 THEN 'kept ' || CAST(page_id AS STRING) WHEN 1 THEN '  ' ELSE NULL END AS description
 FROM pages""",

@@ -36,14 +36,18 @@ def build_corpus(boards: Mapping[str, DataFrame], key: str = "posting_id") -> Da
 
 
 def label_corpus(corpus: DataFrame, key: str = "posting_id") -> DataFrame:
-    """The corpus with ``domain_label`` by a classifier trained on its weak labels."""
-    training = label.weak_labels(corpus, key)
-    labelled = training.withColumn("row_id", F.concat_ws(":", key, "label"))
-    used = label.train_val_split(labelled, "label", "row_id").filter("split = 'train'")
+    """The corpus with ``domain_label`` by a classifier trained on its weak labels.
+
+    The training set, capped per label, is stored before it is split; the corpus is then split
+    into words once, and only keys and labels are shuffled beside it.
+    """
+    training = stored(label.weak_labels(corpus, key).withColumn("row_id", F.concat_ws(":", key, "label"))
+                      .select("row_id", "label", "description"), "training")
+    used = label.train_val_split(training, "label", "row_id").filter("split = 'train'")
     model, priors = classify.train_naive_bayes(used)
-    predicted = classify.predict_naive_bayes(corpus, model, priors, key).select(
+    predicted = classify.predict_naive_bayes(corpus, stored(model, "word-model"), priors, key).select(
         key, F.col("predicted_label").alias("domain_label"))
-    return corpus.join(predicted, key)
+    return corpus.join(stored(predicted, "labels"), key)
 
 
 def target_postings(labelled: DataFrame) -> DataFrame:

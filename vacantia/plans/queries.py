@@ -63,7 +63,7 @@ def scan_csv_roundtrip(data):
     from vacantia.schema import text_schema
     path = shared_path(data.spark, "csv")
     tables.write_csv(data.postings().select(*CSV_COLUMNS), path)
-    return tables.read_csv(data.spark, path, text_schema(*CSV_COLUMNS))
+    return tables.read_csv(data.spark, path, text_schema(*CSV_COLUMNS), multi_line=True)
 
 
 @query("taxonomy_split", """SELECT CASE type_name WHEN 'Common Skill' THEN 'soft' ELSE 'hard' END AS kind, name
@@ -99,17 +99,15 @@ def capture_index(data):
     return tables.capture_index(data.view("v_captures"))
 
 
-@query("file_inventory")
+@query("file_inventory", "SELECT 'documents.parquet' AS file_name, count(*) > 0 AS has_size FROM documents")
 def file_inventory(data):
-    """Files behind the postings with their size and rows."""
-    found = data.table("documents").select(
-        T.file_name(F.col("_metadata.file_path")).alias("file_name"),
-        (F.col("_metadata.file_size") / 1024 / 1024).alias("size_mb"))
-    return found.groupBy("file_name", "size_mb").agg(F.count("*").alias("n_rows"))
+    """The files behind the documents; the check knows their name and that they aren't empty."""
+    files = tables.file_inventory(data.spark, data.path("documents")).select(
+        F.when(F.col("file_name").endswith(".parquet"), F.lit("documents.parquet")).alias("file_name"),
+        (F.col("size_mb") > 0).alias("has_size"))
+    return files.groupBy("file_name").agg(F.bool_and("has_size").alias("has_size"))
 
 
-# --- columns, filters, scalar functions ---------------------------------------------
-
 @query("standardize_columns", """SELECT doc_id, text AS description, 'board' AS source
 FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0""")
 def standardize_columns(data):
@@ -166,9 +164,12 @@ def clean_text(data):
         "doc_id", T.clean_text(F.concat(F.lit(PADDED[0]), "text", F.lit(PADDED[1]))).alias("cleaned"))
 
 
-@query("html_to_text", f"SELECT page_id, {checks.html_text('html')} AS body FROM pages")
+@query("html_to_text", f"""SELECT page_id, {checks.html_text('marked')} AS body
+FROM (SELECT page_id, {checks.marked_text('html', 'page_id')} AS marked FROM pages) p""")
 def html_to_text(data):
-    return data.texts("pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
+    """Pages with named references of several alphabets put before them."""
+    marked = data.texts("pages").selectExpr("page_id", f"{checks.marked_text('html', 'page_id')} AS marked")
+    return marked.select("page_id", T.html_to_text(F.col("marked")).alias("body"))
 
 
 @query("parse_dates", """SELECT doc_id, strftime(coalesce(try_strptime(trim(raw), '%Y-%m-%d'), try_strptime(raw, '%Y%m%d%H%M%S'),
@@ -210,6 +211,22 @@ def dedup_postings(data):
         "doc_id", "job_id", "title", "source", "original_url", "timestamp", "description")
 
 
+JOB_CAPTURES = """SELECT page_id, board, url AS original_url,
+  CAST(20160101000000 + ((page_id * 37 + k * 11) % 9) * 10000000000 AS STRING) AS timestamp
+FROM v_job_urls CROSS JOIN (VALUES (0), (1), (2)) t(k)"""
+
+
+@query("pending_job_captures", f"""WITH j AS ({JOB_CAPTURES}),
+e AS (SELECT original_url, min(timestamp) AS timestamp FROM j WHERE {checks.is_job_url('original_url', 'board')} GROUP BY original_url)
+SELECT original_url, timestamp FROM e WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.page_id % 3 = 0
+  AND j.original_url = e.original_url AND j.timestamp = e.timestamp)""")
+def pending_job_captures(data):
+    """Job pages only, the earliest capture of each, less those stored."""
+    captures = data.sql(JOB_CAPTURES)
+    stored = tables.capture_index(captures.filter("page_id % 3 = 0"))
+    return dedup.pending_job_captures(captures, stored).select("original_url", "timestamp")
+
+
 @query("resume_antijoin", """SELECT DISTINCT c.original_url, c.timestamp FROM v_captures c
 WHERE NOT EXISTS (SELECT 1 FROM v_captures d WHERE d.page_id % 3 = 0 AND d.original_url = c.original_url AND d.timestamp = c.timestamp)""")
 def resume_antijoin(data):
@@ -325,14 +342,24 @@ def ingest_outcomes(data):
 @query("incremental_ingest", f"""SELECT page_id, title FROM (SELECT p.page_id,
   {checks.run_together("regexp_extract(p.html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
   {checks.is_junk('p.html', "'stepstone'")} AS junk,
-  row_number() OVER (PARTITION BY p.url ORDER BY p.html, p.page_id) AS rn FROM pages p) x
+  row_number() OVER (PARTITION BY p.url ORDER BY {checks.is_junk('p.html', "'stepstone'")}, p.html NULLS LAST, p.page_id) AS rn
+  FROM (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000, url, NULL FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id + 2000000, url, 'too short' FROM pages WHERE page_id % 4 = 0) p) x
 WHERE rn = 1 AND NOT junk AND title <> ''""")
 def incremental_ingest(data):
-    """Stream the pages table into a new store, twice; the second run finds nothing new."""
+    """Stream pages into a new store, twice; the second run finds nothing new.
+
+    Some captures come as several copies, a good one among a missing and a short one.
+    """
+    folder = shared_path(data.spark, "captured")
+    given = data.table("pages")
+    missing = given.filter("page_id % 3 = 0").selectExpr("page_id + 1000000 AS page_id", "url", "CAST(NULL AS STRING) AS html")
+    short = given.filter("page_id % 4 = 0").selectExpr("page_id + 2000000 AS page_id", "url", "'too short' AS html")
+    given.unionByName(missing).unionByName(short).coalesce(1).write.parquet(folder)
     target, checkpoint = shared_path(data.spark, "ingested"), shared_path(data.spark, "ingest-progress")
-    schema = data.table("pages").schema
+    schema = given.schema
     # ``page_id`` rides along in the time stamp to show which capture was kept.
-    pages = (data.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(data.folder)
+    pages = (data.spark.readStream.schema(schema).parquet(folder)
              .select(F.lit("stepstone").alias("board"), F.col("url").alias("original_url"),
                      F.lit("20200101000000").alias("timestamp"), "html", "page_id"))
     for _ in range(2):
@@ -433,6 +460,21 @@ def source_profile(data):
     return corpus_profile(data)
 
 
+@query("profile_mixed_columns", checks.MIXED)
+def profile_mixed_columns(data):
+    """Boards of three layouts, the columns found by name."""
+    def board(source: str) -> DataFrame:
+        rows = data.postings().filter(F.col("source") == source).select("job_id", "description", "date_posted")
+        if source in ("pracuj", "dice"):
+            return rows.withColumnsRenamed({"description": "Job_Description", "date_posted": "Posting_Date"})
+        if source in ("ch", "monster"):
+            return rows.select("job_id", F.col("date_posted").alias("timestamp"))
+        return rows
+
+    found = profile.mixed_profile({source: board(source) for source in SOURCES})
+    return profile.with_metadata(found, data.view("v_source_meta"))
+
+
 @query("null_rates", checks.null_rates(("title", "job_id", "country", "date_posted", "description")))
 def null_rates(data):
     return profile.null_rates(data.postings(), ("title", "job_id", "country", "date_posted", "description"))
@@ -564,7 +606,33 @@ def nb_predict(data):
 def lr_domain(data):
     rows = label.train_val_split(data.postings(), "domain_label", "doc_id")
     model = classify.train_logistic(rows.filter("split = 'train'"), "domain_label")
-    return classify.predict_logistic(rows.filter("split = 'val'"), model)
+    return classify.predict_logistic(data.postings(), model)
+
+
+def scored(data, predicted: DataFrame) -> DataFrame:
+    """The validation rows with their label, a model's and their language."""
+    rows = label.train_val_split(data.postings(), "domain_label", "doc_id").filter("split = 'val'")
+    language = classify.detect_language(F.col("description")).alias("language")
+    return rows.select("doc_id", F.col("domain_label").alias("true_label"), language).join(
+        predicted.select("doc_id", "predicted_label"), "doc_id")
+
+
+@query("nb_eval", checks.NB_EVAL)
+def nb_eval(data):
+    """Accuracy and weighted F1 of Naive Bayes on the validation rows, overall and by language."""
+    model, priors = naive_bayes(data)
+    rows = tables.stored(scored(data, classify.predict_naive_bayes(
+        data.postings(), tables.stored(model, "word-model"), priors)), "nb-scored")
+    every = evaluate.summary(rows).withColumn("language", F.lit("all"))
+    return rounded(every.unionByName(evaluate.summary(rows, ["language"])), "accuracy", "weighted_f1")
+
+
+@query("lr_eval")
+def lr_eval(data):
+    """The same for the logistic regression."""
+    rows = tables.stored(scored(data, lr_domain(data)), "lr-scored")
+    every = evaluate.summary(rows).withColumn("language", F.lit("all"))
+    return rounded(every.unionByName(evaluate.summary(rows, ["language"])), "accuracy", "weighted_f1")
 
 
 @query("detect_language", f"SELECT doc_id, {checks.language('text')} AS language FROM documents")

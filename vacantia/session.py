@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def local_session(cores: str = "*", memory: str = "12g", app: str = "vacantia")
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="vacantia-")
+    folder = tempfile.mkdtemp(prefix="vacantia-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

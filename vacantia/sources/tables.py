@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,12 +22,12 @@ def missing_to_null(column: Column) -> Column:
     return F.when(~column.isin(*rules.NA_TEXTS), column)
 
 
-def read_csv(spark: SparkSession, path, schema: StructType, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: StructType, multi_line: bool = False) -> DataFrame:
     """CSV files with a header and an explicit schema.
 
-    A file with line breaks inside fields cannot be split, so ``multi_line`` reads each file in
-    one task: write interchange data as many files.  Collectors' files hold no line breaks
-    within fields (their texts are collapsed) and can be read with ``multi_line=False``.
+    Collectors' files hold no line breaks within fields (their texts are collapsed), so files are
+    split.  A file with line breaks inside fields cannot be: ``multi_line`` reads each file in
+    one task.
     """
     table = (spark.read.schema(schema).options(**CSV_DIALECT).option("multiLine", str(multi_line).lower())
              .csv(path))
@@ -39,7 +37,7 @@ def read_csv(spark: SparkSession, path, schema: StructType, multi_line: bool = T
 
 
 def read_board_files(spark: SparkSession, pattern: str, schema: StructType, exclude: str = "MASTER",
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = False) -> DataFrame:
     """Files matching a glob, with ``file_name``; names holding ``exclude`` are left out."""
     table = (spark.read.schema(schema).options(**CSV_DIALECT).option("multiLine", str(multi_line).lower())
              .csv(pattern).withColumn("file_name", file_name(F.col("_metadata.file_path"))))
@@ -61,19 +59,26 @@ def write_by(table: DataFrame, path: str, *keys: str, mode: str = "error") -> No
 def write_version(table: DataFrame, path: str) -> None:
     """Add a whole new version of a table.
 
-    Readers see a version only once its job has committed, and a table may be rewritten from
-    itself because the version being read is never touched.
+    A version counts only once the row that names it is appended to the table's list, which is
+    written after its job has committed.  A table may be rewritten from itself because the
+    version being read is never touched.
     """
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    table.write.parquet(f"{path.rstrip('/')}/version={version}")
+    root = path.rstrip("/")
+    table.write.parquet(f"{root}/version={version}")
+    table.sparkSession.createDataFrame([(version,)], "finished string").coalesce(1).write.mode("append").parquet(f"{root}.finished")
 
 
 def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest version written by ``write_version``."""
-    with_version = StructType([*schema.fields, StructField("version", StringType())])
-    versions = spark.read.schema(with_version).parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The newest finished version written by ``write_version``; only its files are listed."""
+    root = path.rstrip("/")
+    newest = spark.read.schema("finished string").parquet(f"{root}.finished").agg(F.max("finished")).first()[0]
+    return spark.read.schema(schema).parquet(f"{root}/version={newest}")
+
+
+def write_sorted(table: DataFrame, path: str, *order: str, mode: str = "error") -> None:
+    """A report as CSV files whose rows are sorted through all files."""
+    write_csv(table.orderBy(*order), path, mode)
 
 
 def stored(table: DataFrame, name: str) -> DataFrame:
@@ -110,9 +115,3 @@ def split_taxonomy(taxonomy: DataFrame) -> DataFrame:
     kind = (F.when(F.col("type_name").isin(*rules.HARD_TYPES), "hard")
             .when(F.col("type_name").isin(*rules.SOFT_TYPES), "soft"))
     return taxonomy.withColumn("kind", kind).filter("kind is not null")
-
-
-def columns_or_null(table: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named columns; those the table lacks as null text."""
-    return table.select(*[F.col(n) if n in table.columns else F.lit(None).cast("string").alias(n)
-                          for n in names])

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vacantia.functions.pages import is_junk
 from vacantia.functions.text import strip
 from vacantia.functions.urls import capture_url
 from vacantia.operators.dedup import pending_captures
@@ -36,18 +37,30 @@ def stored_postings(spark: SparkSession, target: str, keep: Mapping[str, str] =
         return spark.createDataFrame([], schema)
 
 
+def with_address(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("wayback_url", strip(capture_url(F.col("timestamp"), F.col("original_url"))))
+
+
 def one_per_capture(pages: DataFrame) -> DataFrame:
-    """Pages with ``wayback_url``, one row each: of several the smallest markup (map-side)."""
-    keyed = pages.withColumn("wayback_url", strip(capture_url(F.col("timestamp"), F.col("original_url"))))
+    """Pages with ``wayback_url``, one row each (map-side): of several copies one that is neither
+    missing nor junk, among these the smallest markup."""
+    keyed = pages if "wayback_url" in pages.columns else with_address(pages)
     rest = [c for c in keyed.columns if c not in ("wayback_url", "html")]
-    return (keyed.groupBy("wayback_url").agg(F.min(F.struct("html", *rest)).alias("p"))
-            .select("wayback_url", "p.*"))
+    ranked = F.struct(is_junk(F.col("html"), F.col("board")).alias("junk"), F.col("html").isNull().alias("missing"), "html", *rest)
+    best = keyed.groupBy("wayback_url").agg(F.min(ranked).alias("p"))
+    return best.select("wayback_url", *[F.col(f"p.{c}").alias(c) for c in ("html", *rest)])
 
 
 def ingest_batch(pages: DataFrame, batch: int, target: str, keep: Sequence[str] = ()) -> None:
-    """Write the postings of pages not stored by another batch."""
+    """Write the postings of pages not stored by another batch.
+
+    Addresses alone meet the store; of the pages only those still to be stored go on, and the
+    join shares its key with the choice of one page per capture.
+    """
     before = stored_postings(pages.sparkSession, target).filter(F.col("batch") != batch)
-    fresh = pending_captures(one_per_capture(pages), before).drop("wayback_url")
+    given = with_address(pages)
+    pending = pending_captures(given.select("wayback_url").distinct(), before)
+    fresh = one_per_capture(given.join(pending, "wayback_url", "left_semi")).drop("wayback_url")
     saved = page_outcomes(fresh, keep).filter("status = 'saved'").drop("status")
     saved.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch}")
 
