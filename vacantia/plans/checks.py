@@ -317,3 +317,20 @@ s AS (SELECT c.*, t.total_jobs, c.skill_count / t.total_jobs * 100 AS percentage
 SELECT s.year, s.country, s.skill, s.skill_count, s.total_jobs, round(s.percentage, 6) AS percentage,
   round(coalesce(u.percentage, 0.0), 6) AS base_percentage, round(s.percentage - coalesce(u.percentage, 0.0), 6) AS gap
 FROM s LEFT JOIN s u ON u.country = 'US' AND u.year = s.year AND u.skill = s.skill WHERE s.country IN ('CH', 'PL', 'DE')"""
+
+
+# Overlapping names: every place a name fits, then from left to right the longest; the token right
+# behind a match starts none.
+_PARTS = "regexp_extract_all(lower({}), '[a-z0-9_]+|[^a-z0-9_]')"
+OVERLAP = rf"""WITH RECURSIVE e AS (SELECT name, {_PARTS.format("name")} AS g FROM v_overlap_names),
+t AS (SELECT doc_id, {_PARTS.format("body")} AS p FROM v_overlap_texts),
+pos AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t),
+m AS (SELECT doc_id, i, len(g) AS n, name FROM pos JOIN e ON p[i] = g[1] AND p[i:i + len(g) - 1] = g
+  AND (regexp_matches(g[1], '^[a-z0-9_]') OR i = 1 OR NOT regexp_matches(p[i - 1], '^[a-z0-9_]'))
+  AND (regexp_matches(g[-1], '[a-z0-9_]$') OR i + len(g) - 1 = len(p) OR NOT regexp_matches(p[i + len(g)], '^[a-z0-9_]'))),
+b AS (SELECT doc_id, i, max(n) AS n, arg_max(name, n) AS name FROM m GROUP BY doc_id, i),
+r AS (SELECT doc_id, min(i) AS i FROM b GROUP BY doc_id UNION ALL
+  SELECT r.doc_id, min(b.i) FROM r JOIN b c ON c.doc_id = r.doc_id AND c.i = r.i JOIN b ON b.doc_id = r.doc_id AND b.i > c.i + c.n
+  GROUP BY r.doc_id),
+k AS (SELECT doc_id, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM r JOIN b USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(names, '') AS hard_skills FROM t LEFT JOIN k ON k.doc_id = t.doc_id"""

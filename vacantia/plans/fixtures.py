@@ -99,6 +99,14 @@ FROM documents""",
     "v_adverts": """SELECT doc_id, text || CASE doc_id % 9 WHEN 0 THEN ' Python3 und PL/SQL, k8s.' WHEN 1 THEN ' MS Excel, VLOOKUP; Java 11!' WHEN 2 THEN ' machine learning/ML on AWS'
     WHEN 3 THEN ' python4 sqlx notgit' WHEN 4 THEN ' US GAAP+IFRS (Bloomberg Terminal)' WHEN 5 THEN ' Scrum' WHEN 6 THEN ' talent acquisition with an applicant tracking system' ELSE '' END AS description
 FROM documents""",
+    "v_overlap_names": """SELECT * FROM (VALUES ('Java','Specialized Skill'), ('Java Script','Specialized Skill'), ('JavaScript','Specialized Skill'),
+ ('Script','Specialized Skill'), ('C','Specialized Skill'), ('C++','Specialized Skill'), ('C#','Specialized Skill'), ('.NET','Specialized Skill'),
+ ('ASP.NET','Certification'), ('Machine Learning','Specialized Skill'), ('Learning Data','Specialized Skill'), ('Data','Specialized Skill'),
+ ('Data Lake','Specialized Skill'), ('Lake','Specialized Skill'), ('SQL','Specialized Skill'), ('T-SQL','Certification')) t(name, type_name)""",
+    "v_overlap_texts": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'java script' WHEN 1 THEN 'C++/C#' WHEN 2 THEN 'asp.net' WHEN 3 THEN 'machine learning data lake' ELSE 'T-SQL' END
+ || CASE doc_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN ', ' WHEN 2 THEN '.' ELSE '' END
+ || CASE doc_id % 7 WHEN 0 THEN 'JAVASCRIPT' WHEN 1 THEN '.NET' WHEN 2 THEN 'c c++ c' WHEN 3 THEN 'data  lake' WHEN 4 THEN 'Java Java Script Script' WHEN 5 THEN 'learning data, sql' ELSE 'x.net' END
+ || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '-' END || text AS body FROM documents""",
     "v_places": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_name || ', ' || c_mktsegment WHEN 2 THEN '  ' || c_name || ' ,  ' || c_mktsegment || ', US ' ELSE NULL END AS location
 FROM customer""",
     "v_dates": """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN iso WHEN 1 THEN replace(iso, '-', '') || '134501' WHEN 2 THEN iso || 'T08:30:00Z' WHEN 3 THEN 'Posted 3 days ago'
@@ -129,6 +137,8 @@ def with_views(sql: str) -> str:
         return sql
     clause = ",\n".join(f"{name} AS (\n{VIEWS[name]}\n)" for name in views)
     body = sql.lstrip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {clause},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {clause},\n{body[5:]}"
     return f"WITH {clause}\n{body}"

@@ -391,6 +391,14 @@ def extract_skills_soft(data):
     return taxonomy_skills(data, "soft")
 
 
+@query("extract_skills_overlap", checks.OVERLAP)
+def extract_skills_overlap(data):
+    """Names that overlap, begin alike or hold punctuation."""
+    words = skills.vocabulary(skills.taxonomy_entries(data.view("v_overlap_names")))
+    out = skills.with_skills(data.view("v_overlap_texts"), "doc_id", "body", words, {"hard": "hard_skills"}, keep=["doc_id"])
+    return out.select("doc_id", *joined("hard_skills"))
+
+
 @query("domain_skills", f"""SELECT doc_id, domain_label, {checks.taxonomy('description', 'hard')} AS hard_skills,
   {checks.taxonomy('description', 'soft')} AS soft_skills FROM v_postings WHERE domain_label IN ('IT', 'Finance', 'HR')""")
 def domain_skills(data):
