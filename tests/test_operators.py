@@ -177,3 +177,15 @@ def test_sorted_report(spark, tmp_path):
     files = sorted((tmp_path / "r").glob("*.csv"))
     lines = [int(x) for f in files for x in f.read_text().split()[1:]]
     assert lines == sorted(lines) and len(lines) == 100
+
+
+def test_backfill_takes_the_longest_or_the_last_page(spark):
+    from vacantia.operators import extract
+    body = lambda word, n: f'<div itemprop="description">{(word + " ") * n}</div>' + "<p>filler</p>" * 60
+    pages = spark.createDataFrame([("w", body("long", 300), 1), ("w", body("last", 100), 2), ("w", "captcha", 3)],
+                                  "wayback_url string, html string, seen int")
+    postings = spark.createDataFrame([("w", None), ("w", "kept"), ("x", None)], "wayback_url string, description string")
+    first = lambda rows: sorted({r["description"].split()[0] for r in rows.collect() if r["description"]})
+    assert first(extract.backfill_descriptions(postings, pages)) == ["kept", "long"]
+    assert first(extract.backfill_descriptions(postings, pages, "seen")) == ["kept", "last"]
+    assert {r["status"]: r["n"] for r in extract.backfill_outcomes(postings, pages).collect()} == {"filled": 1, "missing": 1}

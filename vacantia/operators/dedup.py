@@ -34,11 +34,6 @@ def dedup_postings(postings: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"best.{c}").alias(c) for c in postings.columns])
 
 
-def in_capture_order(postings: DataFrame) -> DataFrame:
-    """Sorted by capture time over all partitions, for output."""
-    return postings.orderBy("timestamp", "original_url", "wayback_url")
-
-
 def done_urls(stored: DataFrame, column: str = "wayback_url") -> DataFrame:
     """Addresses already stored; blanks do not count."""
     url = strip(F.col(column))

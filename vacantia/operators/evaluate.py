@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions.text import strip
+from vacantia.functions.text import label_column, strip
+
+
+def with_true_label(rows: DataFrame) -> DataFrame:
+    """Hand-labelled rows whose label column has one of its usual names, as ``true_label``."""
+    return rows.withColumn("true_label", F.col(f"`{label_column(rows.columns)}`"))
 
 
 def confusion_matrix(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -118,25 +118,51 @@ def extract_archive_postings(pages: DataFrame, keep: Sequence[str] = ()) -> Data
         body.alias("description_preview"))
 
 
-def backfill_descriptions(postings: DataFrame, pages: DataFrame) -> DataFrame:
+def page_descriptions(pages: DataFrame, written: str | None = None) -> DataFrame:
+    """``(wayback_url, found, status)`` of stored pages ``(wayback_url, html)``, one row per address:
+    ``junk`` if all its pages are, ``empty`` without a description, else ``filled``.
+
+    Of several pages the longest description counts or, with ``written``, that of the page written
+    last (the largest value of that column) among those that are not junk.
+    """
+    kept = pages.filter("wayback_url is not null").withColumn("junk", P.is_junk(F.col("html")))
+    plain = T.drop_noise(F.when(~F.col("junk"), F.col("html")))
+    rows = kept.withColumn("plain", plain).select(T.settled(
+        F.col("wayback_url"), F.col("junk"), (F.col(written) if written else F.lit(None)).alias("written"),
+        F.when(~F.col("junk"), P.page_description(F.col("html"), F.col("plain"))).alias("found")))
+    rank = F.struct((~F.col("junk")).alias("good"), "written", F.length("found").alias("n"), "found")
+    best = rows.groupBy("wayback_url").agg(F.max(rank).alias("best"))
+    return best.select(
+        "wayback_url", F.coalesce("best.found", F.lit("")).alias("found"),
+        F.when(~F.col("best.good"), "junk").when(F.coalesce("best.found", F.lit("")) != "", "filled")
+        .otherwise("empty").alias("status"))
+
+
+def lacks_description() -> Column:
+    key = F.coalesce(T.strip(F.col("wayback_url")), F.lit(""))
+    return T.is_blank(F.col("description")) & (key != "")
+
+
+def backfill_descriptions(postings: DataFrame, pages: DataFrame, written: str | None = None) -> DataFrame:
     """Fill blank descriptions from stored pages ``(wayback_url, html)``; all else stays.
 
     Only rows that lack a description meet the pages, so the wide rows are not shuffled.
     Pages are reduced to one description per address first (map side), so a page captured
-    many times costs one row.  Of several the longest is taken.
+    many times costs one row; see ``page_descriptions`` for which one.
     """
-    key = F.coalesce(T.strip(F.col("wayback_url")), F.lit(""))
-    todo = T.is_blank(F.col("description")) & (key != "")
-    found = (
-        pages.filter(~P.is_junk(F.col("html")) & F.col("wayback_url").isNotNull())
-        .withColumn("plain", T.drop_noise(F.col("html")))
-        .select(T.settled(F.col("wayback_url"),
-                          P.page_description(F.col("html"), F.col("plain")).alias("found")))
-        .filter("found <> ''")
-        .groupBy("wayback_url").agg(F.max(F.struct(F.length("found"), "found")).alias("best"))
-        .select("wayback_url", F.col("best.found").alias("found")))
+    todo = lacks_description()
+    found = page_descriptions(pages, written).filter("status = 'filled'").select("wayback_url", "found")
     filled = (
         postings.filter(todo).join(found, "wayback_url", "left")
         .withColumn("description", F.coalesce("found", "description"))
         .select(*postings.columns))
     return postings.filter(~todo).unionByName(filled)
+
+
+def backfill_outcomes(postings: DataFrame, pages: DataFrame, written: str | None = None) -> DataFrame:
+    """How many of the postings that lack a description were filled, stayed empty, had only junk
+    pages or no page: ``(status, n)``."""
+    todo = postings.filter(lacks_description()).select("wayback_url")
+    status = page_descriptions(pages, written).select("wayback_url", "status")
+    return (todo.join(status, "wayback_url", "left").groupBy(F.coalesce("status", F.lit("missing")).alias("status"))
+            .agg(F.count("*").alias("n")))

@@ -268,6 +268,12 @@ def backfill_descriptions(data):
         "page_id", "description")
 
 
+@query("backfill_outcomes", """SELECT CASE page_id % 6 WHEN 4 THEN 'empty' WHEN 5 THEN 'junk' ELSE 'filled' END AS status, count(*) AS n
+FROM pages WHERE page_id % 3 <> 0 GROUP BY ALL""")
+def backfill_outcomes(data):
+    return extract.backfill_outcomes(data.view("v_gaps"), data.view("v_gap_pages"))
+
+
 @query("backfill_page_text", """SELECT wayback_url, CASE n % 6 WHEN 0 THEN 'From data ' || n
   WHEN 1 THEN 'Block ' || rtrim(repeat('word' || n || ' ', 60)) || ' end'
   WHEN 2 THEN 'One ' || repeat('rich' || n || ' ', 30) || 'Two ' || rtrim(repeat('text ', 30))
@@ -662,7 +668,9 @@ def confusion_matrix(data):
 @query("eval_overall", checks.EVALUATION + """ SELECT round(sum(hit) / sum(support), 6) AS accuracy,
   round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS sample_size FROM m""")
 def eval_overall(data):
-    return rounded(evaluate.summary(data.view("v_eval")), "accuracy", "weighted_f1")
+    """The hand-labelled rows name their label column in a way of their own."""
+    given = data.view("v_eval").withColumnRenamed("true_label", "label")
+    return rounded(evaluate.summary(evaluate.with_true_label(given)), "accuracy", "weighted_f1")
 
 
 @query("eval_report", checks.EVALUATION + """ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
