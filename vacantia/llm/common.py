@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def running(table: DataFrame, order: list[Column], name: str, **sums: Column) ->
             .drop("range_no", *[f"{c}_start" for c in sums]))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; a sort is several times faster here than numpy's hash table."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value among the sorted distinct ones, and how often each of these occurs."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, bool)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return place, np.diff(np.flatnonzero(first), append=len(values))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, component)``.
 

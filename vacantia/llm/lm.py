@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import text_of
+from vacantia.llm.common import distinct, numbered, text_of
 from vacantia.sources.tables import stored
 
 CHUNK_CHARS = 8_000_000
@@ -62,13 +62,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Non-negative integers as compressed planes of bytes, as many as the largest needs."""
     values = values.astype("<u8")
     width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
     head = np.array([len(values), width], "<u8").tobytes()
-    return head + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes).tobytes())
+    return head + zstandard.ZstdCompressor(level).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -102,7 +102,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         lengths = np.array([len(p) for p in parts], np.int64)
         train = int(lengths[~np.array(held, bool)].sum())
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        values = [TaskContext.get().partitionId() << 32 | made, keys, held, lengths, pack(np.concatenate(parts)),
+        values = [TaskContext.get().partitionId() << 32 | made, keys, held, lengths, pack(np.concatenate(parts), 3),
                   hashes.tobytes(), int(lengths.sum()), train]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CHUNKS)], schema=CHUNKS)
 
@@ -152,12 +152,13 @@ def word_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(hashes: np.ndarray, pairs: np.ndarray, vocabulary: int) -> np.ndarray:
+    """56 bits each; a byte less to send than for words, whose counts must be exact at any size."""
     first, second = pairs // np.uint64(vocabulary), pairs % np.uint64(vocabulary)
-    return mixed(mixed(hashes[first]) * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
+    return mixed(mixed(hashes[first]) * np.uint64(0x9E3779B97F4A7C15) + hashes[second]) >> np.uint64(8)
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+def part_of(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -171,11 +172,11 @@ def send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBat
             pairs = flagged >> np.uint64(1)
             first = np.flatnonzero(np.diff(pairs, prepend=pairs[0] + np.uint64(1)))
             pair_counts = np.add.reduceat((flagged & np.uint64(1)).astype(np.int64), first)
-            for shift, keys, n in ((0, word_keys(hashes), counts),
-                                   (parts, pair_keys(hashes, pairs[first], chunk.vocabulary), pair_counts)):
+            for shift, bits, keys, n in ((0, 64, word_keys(hashes), counts),
+                                         (parts, 56, pair_keys(hashes, pairs[first], chunk.vocabulary), pair_counts)):
                 order = np.argsort(keys)
                 keys, n = keys[order], n[order]
-                bounds = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+                bounds = np.searchsorted(part_of(keys, parts, bits), np.arange(parts + 1))
                 used = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
                 cuts = [(bounds[p], bounds[p + 1]) for p in used]
                 yield pa.RecordBatch.from_arrays([
@@ -191,8 +192,8 @@ def answer(table: pa.Table) -> pa.Table:
     """
     keys = [np.cumsum(unpack(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
     counts = np.concatenate([unpack(c.as_py()) for c in table.column("counts")]).astype(np.int64)
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    place, occurrences = numbered(np.concatenate(keys))
+    totals = np.bincount(place, counts, len(occurrences)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
     types = np.zeros(len(keys), np.int64)
     types[0] = np.count_nonzero(totals)
@@ -206,7 +207,7 @@ def settle(chunk_rows: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     """The chunk with the totals of its words, by number, and of its distinct pairs, by order."""
     row = next(rows_of(chunk_rows))
     chunk, hashes = Chunk(row), np.frombuffer(row["words"], np.uint64)
-    pairs = np.unique(chunk.pairs)
+    pairs = distinct(chunk.pairs)
     got = sorted(rows_of(answers), key=lambda r: r["part"])
     both = []
     for keys, low in ((word_keys(hashes), 0), (pair_keys(hashes, pairs, chunk.vocabulary), parts)):
@@ -233,7 +234,7 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
 def own_counts(of_doc: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
     """For each token how often its number occurs in its document."""
     keys = of_doc.astype(np.uint64) * np.uint64(size) + numbers
-    _, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    place, counts = numbered(keys)
     return counts[place]
 
 
@@ -241,8 +242,7 @@ def totals_of(chunk: Chunk, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Counts of each token, of its context and of the pair."""
     words = unpack(row["word_totals"]).astype(np.int64)
     pairs = unpack(row["pair_totals"]).astype(np.int64)
-    distinct = np.unique(chunk.pairs)
-    return words[chunk.tokens], words[chunk.before], pairs[np.searchsorted(distinct, chunk.pairs)]
+    return words[chunk.tokens], words[chunk.before], pairs[numbered(chunk.pairs)[0]]
 
 
 def ratio(count: np.ndarray, of: np.ndarray, types: int) -> np.ndarray:

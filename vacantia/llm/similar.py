@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import components, running, small, text_of
+from vacantia.llm.common import components, distinct, running, small, text_of
 from vacantia.sources.tables import stored
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def shingle_set(text: str) -> np.ndarray:
     rolled = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[i:n - size + 1 + i]
-    return np.unique(mixed(rolled))
+    return distinct(mixed(rolled))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -164,7 +164,7 @@ def signatures(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     dropped, of = deletions(weights, number, first, count, sums, band)
     offers = np.full(len(dropped), OFFERED, np.int64)
     if surplus < 0:
-        able = np.unique(of)
+        able = distinct(of)
         raised = able[np.argsort(count[able], kind="stable")[:-surplus]]
         roles[raised] |= RAISED
         offers[np.isin(of, raised)] |= DELETED
