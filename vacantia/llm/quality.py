@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.functions.text import settled
 from vacantia.llm.common import let, text_of, words_of
 from vacantia.sources.tables import stored
 
@@ -74,14 +75,14 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split("q_text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     line_counts = let(lines, lambda x: F.struct(
         F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
-    return split.withColumn("q_line_counts", line_counts).select(
-        *docs.columns,
+    # A generator: a filter on what it makes is not pushed below it, where it would measure again.
+    return split.withColumn("q_line_counts", line_counts).select(*docs.columns, settled(
         F.size("q_words").cast("long").alias("q_n_words"),
         F.length(F.array_join("q_words", "")).cast("long").alias("q_word_chars"),
         F.regexp_count("q_text", F.lit(SYMBOLS)).cast("long").alias("q_n_symbols"),
         F.col("q_line_counts.again").cast("long").alias("q_n_dup_lines"),
         F.col("q_line_counts.all").cast("long").alias("q_n_lines"),
-        repeat_words(F.col("q_words")).cast("long").alias("q_n_repeat_words"))
+        repeat_words(F.col("q_words")).cast("long").alias("q_n_repeat_words")))
 
 
 def base_failed() -> Column:
