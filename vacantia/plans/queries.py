@@ -211,9 +211,10 @@ def dedup_postings(data):
         "doc_id", "job_id", "title", "source", "original_url", "timestamp", "description")
 
 
-JOB_CAPTURES = """SELECT page_id, board, url AS original_url,
-  CAST(20160101000000 + ((page_id * 37 + k * 11) % 9) * 10000000000 AS STRING) AS timestamp
-FROM v_job_urls CROSS JOIN (VALUES (0), (1), (2)) t(k)"""
+JOB_CAPTURES = " UNION ALL ".join(
+    "SELECT page_id, board, url AS original_url, "
+    f"CAST(20160101000000 + ((page_id * 37 + {k * 11}) % 9) * 10000000000 AS STRING) AS timestamp FROM v_job_urls"
+    for k in range(3))
 
 
 @query("pending_job_captures", f"""WITH j AS ({JOB_CAPTURES}),
