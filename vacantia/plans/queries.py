@@ -305,7 +305,7 @@ SHOWN = ("page_id", "title", "company", "city", "region", "country", "employment
   CASE page_id % 5 WHEN 0 THEN 'FULL_TIME' ELSE '' END AS employment_type,
   CASE page_id % 5 WHEN 0 THEN '2020-01-02' WHEN 2 THEN '2019-05-06' ELSE '' END AS date_posted,
   CASE WHEN page_id % 5 = 0 THEN 'Text ' || page_id || ' &more'
-    WHEN board = 'jobs_cz' AND page_id % 5 IN (2, 4) THEN substr(body, 1, 3000) ELSE '' END AS description
+    WHEN board = 'jobs_cz' AND page_id % 5 IN (2, 4) THEN body ELSE '' END AS description
 FROM (SELECT l.page_id, l.board, {checks.run_together("regexp_extract(p.html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h1,
   {checks.html_text("regexp_extract(p.html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS body
   FROM v_ld_pages l JOIN pages p ON p.page_id = l.page_id) x""")
