@@ -56,13 +56,13 @@ SEGMENT_SHARE = 0.45  # segments of a band per element of its largest set
 LEAST_SEGMENTS = 16
 DELETABLE = 8  # segments with deletions in bands of large sets; in bands of small ones all
 SMALL_BAND = 5  # bands below this are of small sets
-WORDS_KEPT = 1_000_000  # word hashes that a worker remembers
+WORDS_KEPT = 300_000  # word hashes that a worker remembers
 FEW = 500_000  # keys or digests that may be broadcast
 STAR_ROUNDS = 1
 STAR = 4  # a pair of a star has more than this part of the surplus in lists
 COSTLY = 32  # rows of a list that is worth ignoring
-BLOCK_ELEMENTS = 1 << 19  # of a block of sets, and
-BLOCK_SETS = 1 << 12  # sets of it at most
+BLOCK_ELEMENTS = 1 << 18  # of a block of sets, and
+BLOCK_SETS = 1 << 11  # sets of it at most
 COLUMNS = 1024
 BLOCK = 500  # sets without a valuation in one pass
 

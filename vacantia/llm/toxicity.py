@@ -41,7 +41,7 @@ LEAST_Z = 4.0
 SAMPLE = 20_000
 ROUNDS = 800
 FEW = 500_000  # grades that may be broadcast
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 CHUNK_DOCS = 4_000
 
 
