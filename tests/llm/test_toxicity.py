@@ -38,7 +38,7 @@ def test_held_out_accuracy(spark, docs_of):
     table = spark.createDataFrame(grades, "doc_id long, grade int")
     rows = toxicity.graded(docs_of(*seen), table, "doc_id", "text", "grade")
     chosen = toxicity.choose(rows)
-    model = toxicity.train(rows, chosen, 3)
+    model = toxicity.train(toxicity.vectors(rows, chosen), chosen, 3)
     found = {r["key"]: r for r in toxicity.predict(docs_of(*unseen), model).collect()}
     wanted = dict(wanted)
     right = sum((found[i]["grade"] > 0) == (g > 0) for i, g in wanted.items())
@@ -56,7 +56,7 @@ def test_edge_cases(spark, docs_of):
     for labels in (none, some):
         rows = toxicity.graded(docs, labels, "doc_id", "text", "toxic")
         chosen = toxicity.choose(rows)
-        model = toxicity.train(rows, chosen, 3)
+        model = toxicity.train(toxicity.vectors(rows, chosen), chosen, 3)
         found = toxicity.predict(docs, model).collect()
         assert len(found) == 4 and all(r["expected_severity"] < 1e-6 and r["grade"] == 0 for r in found)
     assert toxicity.predict(docs.limit(0), model).count() == 0

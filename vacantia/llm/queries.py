@@ -125,6 +125,6 @@ def op3_toxicity_grades(spark, folder):
     documents = table(spark, folder, "documents")
     labelled = toxicity.graded(documents, table(spark, folder, "labels"), "doc_id", "text", "toxic")
     chosen = toxicity.choose(labelled)
-    model = toxicity.train(toxicity.split_severe(labelled, chosen), chosen, 3)
+    model = toxicity.train(toxicity.split_severe(toxicity.vectors(labelled, chosen)), chosen, 3)
     found = toxicity.predict(documents, model)
     return found.select(F.col("key").alias("doc_id"), "expected_severity", "grade", (F.col("grade") > 0).alias("toxic"))

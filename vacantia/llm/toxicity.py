@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import small, text_of
+from vacantia.llm.common import distinct, numbered, small, text_of
 from vacantia.sources.tables import stored
 
 BUCKETS = 1 << 22
@@ -39,7 +39,7 @@ MARKS = ".,;:!?\"'()[]{}|*_-"
 FEATURES = 4096
 LEAST_Z = 4.0
 SAMPLE = 20_000
-ROUNDS = 800
+ROUNDS = 500
 FEW = 500_000  # grades that may be broadcast
 WORDS_KEPT = 200_000
 CHUNK_DOCS = 4_000
@@ -47,40 +47,35 @@ CHUNK_DOCS = 4_000
 
 # --- features ----------------------------------------------------------------------
 
+def buckets_of(word: str) -> set[int]:
+    """Numbers of a word's features."""
+    stem = word.strip(MARKS)
+    names = [f"w{stem}", *[f"{n}{stem[:n]}" for n in PREFIXES if len(stem) >= n]] if stem else []
+    return {xxhash.xxh64_intdigest(name) % BUCKETS for name in names}
+
+
 class WordBuckets(dict):
-    """Numbers of a word's features, remembered per worker."""
+    """The same, remembered per worker."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        stem = word.strip(MARKS)
-        names = [f"w{stem}", *[f"{n}{stem[:n]}" for n in PREFIXES if len(stem) >= n]] if stem else []
-        value = self[word] = tuple({xxhash.xxh64_intdigest(name) % BUCKETS for name in names})
+        value = self[word] = tuple(buckets_of(word))
         return value
 
 
 WORD_BUCKETS = WordBuckets()
 
 
-def bucket_counts(text: str) -> tuple[Counter, int]:
-    """How often each number occurs in a text, and the text's words."""
-    words = text.lower().split()
-    counts: Counter = Counter()
-    for word, n in Counter(words).items():
-        for bucket in WORD_BUCKETS[word]:
-            counts[bucket] += n
-    return counts, len(words)
-
-
 def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents by feature number, and those graded above 0, summed over some documents."""
     def out(found):
         buckets = np.concatenate([b for b, _ in found])
         severe = np.repeat([s for _, s in found], [len(b) for b, _ in found])
-        distinct, place = np.unique(buckets, return_inverse=True)
+        place, n = numbered(buckets)
         return pa.RecordBatch.from_arrays([
-            pa.array(distinct.astype(np.int32)), pa.array(np.bincount(place).astype(np.int64)),
-            pa.array(np.bincount(place, severe, len(distinct)).astype(np.int64))], names=["bucket", "n", "severe"])
+            pa.array(distinct(buckets).astype(np.int32)), pa.array(n.astype(np.int64)),
+            pa.array(np.bincount(place, severe, len(n)).astype(np.int64))], names=["bucket", "n", "severe"])
 
     found = []
     for batch in batches:
@@ -108,12 +103,12 @@ class Vector:
             self.of_word.clear()
         counts: Counter = Counter()
         known = self.of_word
-        for word in words:
+        for word, n in Counter(words).items():
             places = known.get(word)
             if places is None:
-                places = known[word] = tuple(self.place[b] for b in WORD_BUCKETS[word] if b in self.place)
+                places = known[word] = tuple(self.place[b] for b in buckets_of(word) if b in self.place)
             for p in places:
-                counts[p] += 1
+                counts[p] += n
         return list(counts), [1 + float(np.log1p(100 * n / len(words))) for n in counts.values()]
 
 
@@ -204,10 +199,11 @@ def vectors(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
         make, "key long, grade int, places array<int>, values array<double>")
 
 
-def train(rows: DataFrame, chosen: np.ndarray, grades: int, sample: int = SAMPLE) -> Model:
+def train(made: DataFrame, chosen: np.ndarray, grades: int, sample: int = SAMPLE) -> Model:
+    """The model fitted to at most ``sample`` rows of ``vectors``."""
     if not len(chosen):
         return Model(chosen, np.zeros(0), np.full(grades - 1, 60.0))
-    some = vectors(rows, chosen).orderBy(F.xxhash64("key"), "key").limit(sample).collect()
+    some = made.orderBy(F.xxhash64("key"), "key").limit(sample).collect()
     weights, thresholds = fit_ordinal([(r["places"], r["values"], r["grade"]) for r in some], len(chosen), grades)
     return Model(chosen, weights, thresholds)
 
@@ -233,20 +229,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 # --- grades from two-valued labels -------------------------------------------------
 
-def split_severe(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """Graded rows with a two-valued label become three grades: of the documents labelled 1, those
-    with more than the median of chosen features per word are graded 2."""
-    def density(batches):
-        vector = Vector(chosen)
-        for batch in batches:
-            found = [sum(np.expm1(v - 1) for v in vector(t.as_py())[1]) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())],
-                                             names=["key", "grade", "text", "density"])
-
-    marked = rows.select(F.col("key").cast("long").alias("key"), "grade", "text").mapInArrow(
-        density, "key long, grade int, text string, density double")
-    narrow = stored(marked.filter("grade > 0").select("key", "density"), "densities")
-    middle = narrow.agg(F.percentile_approx("density", 0.5)).first()[0]
-    raised = narrow.filter(F.col("density") > F.lit(middle)).select("key", F.lit(1).alias("raise")).distinct()
-    return rows.join(small(raised, FEW), "key", "left").select(
-        "key", "text", (F.col("grade") + F.coalesce("raise", F.lit(0))).cast("int").alias("grade"))
+def split_severe(made: DataFrame) -> DataFrame:
+    """Rows of ``vectors`` with a two-valued label get three grades: of the documents labelled 1,
+    those with more than the median of chosen features per word are graded 2."""
+    density = F.aggregate("values", F.lit(0.0), lambda total, v: total + F.exp(v - 1) - 1)
+    marked = stored(made.withColumn("density", density), "feature-vectors")
+    middle = marked.filter("grade > 0").agg(F.percentile_approx("density", 0.5)).first()[0]
+    raised = F.coalesce((F.col("grade") > 0) & (F.col("density") > F.lit(middle).cast("double")), F.lit(False))
+    return marked.withColumn("grade", F.col("grade") + raised.cast("int")).drop("density")
