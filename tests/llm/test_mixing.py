@@ -89,3 +89,68 @@ def test_edge_cases(spark, docs_of):
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["copies"] for r in found)
     assert mixing.sample(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def taken_in_order(ranked, wanted):
+    """The keys taken of ``(q, key, words)``, in plain Python, and the number of rounds."""
+    order, taken, gap, at, rounds, best = sorted(ranked), set(), wanted, 0, 0, (float("inf"), set())
+    average = sum(words for _, _, words in order) / len(order)
+    while True:
+        limit, rounds = gap, rounds + 1
+        while at < len(order) and (order[at][2] <= gap or (rounds > 1 and order[at][2] > limit)):
+            if order[at][2] <= gap:
+                taken.add(order[at][1])
+                gap -= order[at][2]
+            at += 1
+        off, fillers = gap, set()
+        for last in (False, False, True):
+            left = [(abs(words - off), q, key) for q, key, words in order if key not in taken | fillers
+                    and (last or words <= off) and abs(words - off) < off]
+            if left:
+                off, _, key = min(left)
+                fillers.add(key)
+        best = min(best, (off, taken | fillers), key=lambda b: b[0])
+        if at == len(order) or off <= average:
+            return best[1], rounds
+        at += 1
+
+
+def test_one_document_with_a_third_of_the_words(docs_of):
+    """Whether the long document's copy is drawn or not, its source meets its target."""
+    docs = docs_of(*[(i, "w " * 20, "a") for i in range(200)], (200, "w " * 2000, "a"),
+                   *[(300 + i, "w " * 20, "b") for i in range(60)])
+    table = mixing.rows(docs, "doc_id", "text", "source").cache()
+    seed = mixing.SEED
+    try:
+        for k in range(4):
+            mixing.SEED = f"long {k}"
+            found = mixing.copies(table, mixing.plan(table, weights=(2, 1))).collect()
+            mine = [r for r in found if r["source"] == "a"]
+            off = sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]
+            assert abs(off) <= 0.01 * mine[0]["target"], (k, off)
+    finally:
+        mixing.SEED = seed
+
+
+def test_order_is_followed_further_down(docs_of):
+    """Against plain Python; some documents come twice and are taken or left as two."""
+    rng = random.Random(3)
+    rows = [(i, "w " * (3000 if i % 40 < 2 else 1200 if i % 20 == 2 else rng.randint(1, 30)), "abc"[i % 3]) for i in range(240)]
+    table = mixing.rows(docs_of(*rows, *rows[::3], *rows[:6]), "doc_id", "text", "source").cache()
+    seed, most = mixing.SEED, 0
+    try:
+        for k in range(2):
+            mixing.SEED = f"order {k}"
+            found = mixing.copies(table, mixing.plan(table)).collect()
+            for source in "abc":
+                mine = {r["key"]: r for r in found if r["source"] == source}
+                number = {i: sum(r["key"] == i for r in found) for i in mine}
+                wanted = next(iter(mine.values()))["target"] - sum(r["whole"] * r["size"] * number[i] for i, r in mine.items())
+                ranked = [(r["q"], i, r["size"] * number[i]) for i, r in mine.items() if r["q"] is not None]
+                taken, rounds = taken_in_order(ranked, wanted)
+                assert {i for i, r in mine.items() if r["copies"] > r["whole"]} == taken
+                assert len({(r["key"], r["copies"]) for r in found if r["source"] == source}) == len(mine)
+                most = max(most, rounds)
+    finally:
+        mixing.SEED = seed
+    assert most > 1

@@ -8,12 +8,16 @@ Pareto order sampling: documents are ranked by the odds u / (1 - u) of a random
 the inclusion odds p / (1 - p), and a sample of fixed size, in words, is the front of that order.
 The front ends before the document that would exceed the words still wanted.  Up to ``FILLS``
 documents behind it narrow the gap: the largest that fits, again, and at last the one whose size
-comes nearest to what remains.
+comes nearest to what remains.  Where they leave more than an average document of the source, they
+are put back, the document that did not fit is passed over and the order is followed further down
+to the next that does not fit, and so on, to its end if need be.  The round that comes nearest
+to the target counts.
 
 The random number is a hash of the key, so a rerun draws the same documents, whatever the
 partitions.  Nothing is ranked as a whole: sizes are summed by source and by 1/4096 of the range
-of the ranking variable, and only the piece in which the front ends is sorted.  What is joined to
-the documents is a table of at most 64 rows per source.
+of the ranking variable, and only the piece in which a round ends is sorted.  A document passed
+over is larger than the gap it leaves, and further down only those count that fit the gap, so the
+rounds are few.  What is joined to the documents is a table of at most 64 rows per source.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, the last;
 rows with equal key and text share their draw and are taken or left together; a null key draws
@@ -32,7 +36,8 @@ from vacantia.sources.tables import stored
 LIMIT = 3  # copies of a document, and a source's target in multiples of its size
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 PIECES = 4096
-FILLS = 3
+FILLS = 3  # that finish a round
+PLACE = "struct<q:double,tie:bigint>"  # in the order of a source
 SEED = "mix"
 
 
@@ -103,7 +108,7 @@ def odds(u: Column, p: Column) -> Column:
 
 
 def plan(table: DataFrame, limit: int = LIMIT, weights: tuple = WEIGHTS) -> DataFrame:
-    """Decisions per ``(source, grade)``: whole copies, ``p`` and where the sample's front ends.
+    """Decisions per ``(source, grade)``: whole copies, ``p`` and what the order takes.
 
     ``table`` is a stored table of ``rows``; the result is stored.
     """
@@ -113,39 +118,89 @@ def plan(table: DataFrame, limit: int = LIMIT, weights: tuple = WEIGHTS) -> Data
     wanted = graded.groupBy("source").agg((F.first("target") - F.sum(F.col("words") * F.col("whole"))).alias("wanted"))
 
     ranked = stored(with_plan(units.filter("size > 0"), graded).filter("p > 0").select(
-        "source", "tie", (F.col("size") * F.col("n")).alias("words"), odds(draw(F.col("key")), F.col("p")).alias("q"))
+        "source", "size", "tie", (F.col("size") * F.col("n")).alias("words"), odds(draw(F.col("key")), F.col("p")).alias("q"))
         .withColumn("piece", piece()), "mix-ranked")
-    pieces = ranked.groupBy("source", "piece").agg(F.sum("words").alias("words"))
+    per_source = followed(ranked, wanted)
+    # Repeated rows are taken or left together, but where they are taken only the size of one is known.
+    left_out = (ranked.join(same_source(per_source), F.col("source").eqNullSafe(F.col("s")))
+                .filter((F.col("size") <= limit_here()) & (F.col("words") > limit_here()))
+                .groupBy("source").agg(F.collect_list(F.struct("q", "tie")).alias("left_out")))
+    per_source = (per_source.join(same_source(left_out), F.col("source").eqNullSafe(F.col("s")), "left")
+                  .select("source", "steps", "fillers", F.coalesce("left_out", no_places()).alias("left_out")))
+    return stored(graded.join(same_source(per_source), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "words"),
+                  "mix-plan")
+
+
+def followed(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(source, steps, fillers)``: what the order of each source takes.
+
+    A step ``(to, most)`` says that rows before ``to`` (all, if null), and not before an earlier
+    step's, are taken if they have at most ``most`` words.
+    """
+    average = ranked.groupBy("source").agg(F.avg("words").alias("average"))
+    state = stored(wanted.join(same_source(average), F.col("source").eqNullSafe(F.col("s"))).select(
+        "source", "average", F.col("wanted").alias("gap"), F.lit(None).cast(PLACE).alias("start"),
+        F.array().cast(f"array<struct<to:{PLACE},most:double>>").alias("steps"), F.lit(None).cast(f"struct<off:double,steps:array<struct<to:{PLACE},most:double>>,fillers:array<{PLACE}>>").alias("best"),
+        F.lit(True).alias("open")), "mix-wanted")
+    while state.filter("open").limit(1).count():
+        further = stored(next_step(ranked, state.filter("open")), "mix-steps")
+        filled = fill(ranked, further)
+        this = F.struct("off", "steps", "fillers")
+        best = F.when(F.col("best").isNull() | (F.col("off") < F.col("best.off")), this).otherwise(F.col("best"))
+        tried = filled.select("source", "average", "gap", F.col("to").alias("start"), "steps", best.alias("best"),
+                              (F.col("to").isNotNull() & (F.col("off") > F.col("average"))).alias("open"))
+        state = stored(state.filter("NOT open").unionByName(tried), "mix-followed")
+    return state.select("source", "best.steps", "best.fillers")
+
+
+def next_step(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """One more step: on to the first row that would exceed the gap (``to``; null, if none would).
+
+    Rows that exceed it by themselves end the first step and are passed over by later ones.
+    """
+    here = F.struct("q", "tie")
+    left = (ranked.join(same_source(state.select("source", "gap", "start")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+            .filter(F.col("start").isNull() | ((here > F.col("start")) & (F.col("words") <= F.col("gap")))))
     along = Window.partitionBy("source").orderBy("piece")
-    ends = (pieces.withColumn("to_here", F.sum("words").over(along)).withColumn("before", F.col("to_here") - F.col("words"))
-            .join(same_source(wanted), F.col("source").eqNullSafe(F.col("s")))
-            .filter(F.col("to_here") > F.col("wanted")).groupBy("source", "wanted")
-            .agg(F.min(F.struct("piece", "before")).alias("e"))
-            .select("source", "wanted", F.col("e.piece").alias("end_piece"), F.col("e.before").alias("before")))
-    ends = stored(ends, "mix-ends")
-    inside = ranked.join(same_source(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("end_piece")))
+    before = F.col("to_here") - F.col("words")
+    ends = stored(left.groupBy("source", "gap", "piece").agg(F.sum("words").alias("words"))
+                  .withColumn("to_here", F.sum("words").over(along)).groupBy("source").agg(
+                      F.min(F.when(F.col("to_here") > F.col("gap"), F.struct("piece", before.alias("before")))).alias("end"),
+                      F.sum("words").alias("all_words")), "mix-ends")
+    inside = left.join(same_source(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("end.piece")))
     order = Window.partitionBy("source").orderBy("q", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    front = (inside.withColumn("taken", F.col("before") + F.sum("words").over(order))
-             .filter(F.col("taken") <= F.col("wanted"))
-             .groupBy("source").agg(F.max(F.struct("q", "tie")).alias("cut"), F.max("taken").alias("taken")))
-    cuts = stored(ends.join(same_source(front), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "end_piece", "cut", (F.col("wanted") - F.coalesce("taken", "before")).alias("gap")), "mix-cuts")
-    none = F.array().cast("array<struct<q:double,tie:bigint>>")
-    per_source = cuts.withColumn("fillers", none)
+    stops = (inside.withColumn("taken", F.col("end.before") + F.sum("words").over(order))
+             .filter(F.col("taken") > F.col("gap")).groupBy("source")
+             .agg(F.min(F.struct("q", "tie", (F.col("taken") - F.col("words")).alias("taken"))).alias("stop")))
+    steps = (ends.join(same_source(stops), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", F.when(F.col("stop").isNotNull(), F.struct("stop.q", "stop.tie")).alias("to"),
+        F.coalesce("stop.taken", "all_words").alias("taken")))
+    return state.join(same_source(steps), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "average", "best", "to", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"),
+        F.concat("steps", F.array(F.struct("to", F.col("gap").alias("most")))).alias("steps"))
+
+
+def fill(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` with up to ``FILLS`` rows not taken that narrow the gap, and ``off``, what they leave."""
+    per_source = state.withColumn("fillers", no_places()).withColumn("off", F.col("gap"))
     here = F.struct("q", "tie")
-    off = F.abs(F.col("words") - F.col("gap"))
-    for fill in range(FILLS):
+    off = F.abs(F.col("words") - F.col("off"))
+    for number in range(FILLS):
         left = (ranked.join(same_source(per_source), F.col("source").eqNullSafe(F.col("s")))
-                .filter(~in_front() & ~F.array_contains("fillers", here) & (off < F.col("gap"))))
-        if fill < FILLS - 1:  # the last may exceed the gap
-            left = left.filter(F.col("words") <= F.col("gap"))
+                .filter(~F.coalesce(F.col("words") <= limit_here(), F.lit(False))
+                        & ~F.array_contains("fillers", here) & (off < F.col("off"))))
+        if number < FILLS - 1:  # the last may exceed the gap
+            left = left.filter(F.col("words") <= F.col("off"))
         filler = left.groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "tie")).alias("f"))
         per_source = stored(per_source.join(same_source(filler), F.col("source").eqNullSafe(F.col("s")), "left").select(
-            "source", "end_piece", "cut", F.coalesce("f.off", "gap").alias("gap"),
+            *[c for c in state.columns], F.coalesce("f.off", "off").alias("off"),
             F.when(F.col("f").isNull(), F.col("fillers"))
             .otherwise(F.concat("fillers", F.array(F.struct("f.q", "f.tie")))).alias("fillers")), "mix-fill")
-    return stored(graded.join(same_source(per_source), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "words"),
-                  "mix-plan")
+    return per_source
+
+
+def no_places() -> Column:
+    return F.array().cast(f"array<{PLACE}>")
 
 
 def piece() -> Column:
@@ -156,11 +211,10 @@ def same_source(table: DataFrame) -> DataFrame:
     return table.withColumnRenamed("source", "s")
 
 
-def in_front() -> Column:
-    """Whether a ranked row lies in the front (all of it, if the sample takes every row)."""
+def limit_here() -> Column:
+    """The most words a ranked row may have to be taken at its place; null behind the last step."""
     here = F.struct("q", "tie")
-    return (F.col("end_piece").isNull() | (F.col("piece") < F.col("end_piece"))
-            | ((F.col("piece") == F.col("end_piece")) & F.coalesce(here <= F.col("cut"), F.lit(False))))
+    return F.get(F.filter("steps", lambda s: s["to"].isNull() | (here < s["to"])), F.lit(0))["most"]
 
 
 def with_plan(table: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -172,9 +226,11 @@ def with_plan(table: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def copies(table: DataFrame, decisions: DataFrame) -> DataFrame:
     """``table`` (as from ``rows``) with ``copies``, ``source_size`` and ``target``."""
-    ranked = (with_plan(table, decisions).withColumn("q", F.when(F.col("p") > 0, odds(draw(F.col("key")), F.col("p"))))
-              .withColumn("piece", piece()))
-    more = F.col("q").isNotNull() & (in_front() | F.coalesce(F.array_contains("fillers", F.struct("q", "tie")), F.lit(False)))
+    ranked = with_plan(table, decisions).withColumn("q", F.when(F.col("p") > 0, odds(draw(F.col("key")), F.col("p"))))
+    here = F.struct("q", "tie")
+    more = F.col("q").isNotNull() & (
+        F.coalesce((F.col("size") <= limit_here()) & ~F.array_contains("left_out", here), F.lit(False))
+        | F.coalesce(F.array_contains("fillers", here), F.lit(False)))
     return ranked.withColumn("copies", F.coalesce("whole", F.lit(0)) + F.coalesce(more.cast("long"), F.lit(0)))
 
 
