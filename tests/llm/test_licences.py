@@ -52,3 +52,22 @@ def test_every_sentence_has_an_anchor():
     assert all(any(a in text.split() for a in anchors) for text in licences.SENTENCES.values())
     used = {s for r in licences.RULES for s in r.sentences}
     assert used <= set(licences.SENTENCES)
+
+
+def test_every_sentence_of_a_stretch_counts(docs_of):
+    cases = {
+        1: ("Licensed under the Apache License, Version 2.0, or under the MIT License, at your option.",
+            ["apache_under", "mit_under"], ["Apache-2.0", "MIT"]),
+        2: ("Code is released under the MIT License\nText is released under CC BY-SA 4.0",
+            ["mit_under", "cc_by_sa_under"], ["MIT", "CC-BY-SA"]),
+        3: ("Text is under CC BY-SA 4.0\nPictures are under CC BY 4.0\nCode is under the MIT License",
+            ["cc_by_sa_under", "cc_by_under", "mit_under"], ["MIT", "CC-BY-SA", "CC-BY"]),
+        4: ("This is free and unencumbered software released into the public domain", ["unlicense"], ["Unlicense"]),
+        5: (MIT.replace(".", "").replace(":", ""), ["mit_grant", "mit_notice", "as_is", "mit_liability"], ["MIT"]),
+        6: ("May be used to endorse or promote products derived from this software is provided by the copyright holders"
+            " and contributors as is", ["bsd_endorse", "bsd_warranty"], []),
+        7: ("Under the MIT License\n" * 2, ["mit_under", "mit_under"], ["MIT"]),
+        8: ("thunder the mit licenses", [], []),
+    }
+    for r in licences.scan(docs_of(*[(k, c[0]) for k, c in cases.items()])).collect():
+        assert (r["sentences"], r["licences"]) == cases[r["key"]][1:], r["key"]

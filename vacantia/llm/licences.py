@@ -1,8 +1,8 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences; a normalised sentence (lower case, runs of other characters than
-letters and digits as one space) that holds a known licence sentence becomes that sentence's
-identifier, others are passed over.  The text's identifiers, in order, are then held against the
+letters and digits as one space) becomes the identifiers of the known licence sentences it holds,
+in the order of their places; one that lies inside a longer one does not count.  The text's identifiers, in order, are then held against the
 licence rules: in the order of the list, each rule whose identifiers occur in a row names its
 licence and takes those identifiers away, so that a whole licence goes before its parts.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.common import let, text_of
 
-# Normalised licence sentences.  The first that a sentence holds names it.
+# Normalised licence sentences.
 SENTENCES = {
     "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies",
@@ -117,19 +117,35 @@ def anchors(sentences: dict[str, str]) -> list[str]:
     return chosen
 
 
+def heads(sentences: dict[str, str]) -> dict[str, tuple[str, str]]:
+    """Each sentence as a head and a tail, the longest end with which another sentence begins.
+
+    Searching goes on behind the head, so that the other is found though it shares the tail.
+    """
+    def cut(words):
+        for n in range(1, len(words)):
+            tail = " ".join(words[n:])
+            if any(other.startswith(tail + " ") for other in sentences.values()):
+                return " ".join(words[:n]), tail
+        return " ".join(words), ""
+    return {name: cut(text.split()) for name, text in sentences.items()}
+
+
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """The identifiers of a text's known sentences, in order."""
     normal = F.transform(F.split(F.lower(text), BREAK, -1), lambda s: F.concat(
         F.lit(" "), F.regexp_replace(s, "[^a-z0-9]+", " "), F.lit(" ")))
-
-    def identifier(sentence):
-        known = F
-        for name, known_text in sentences.items():
-            known = known.when(sentence.contains(f" {known_text} "), name)
-        return known
+    parts = heads(sentences)
+    name_of = {head: name for name, (head, _) in parts.items()}
+    assert len(name_of) == len(sentences)
+    # Of those that begin at a place the longest is tried first.
+    longest_first = sorted(sentences, key=lambda name: -len(sentences[name]))
+    known = "|".join(parts[n][0] + (f"(?= {parts[n][1]} )" if parts[n][1] else "(?= )") for n in longest_first)
+    names = F.create_map(*[F.lit(x) for pair in name_of.items() for x in pair])
+    found = F.flatten(F.transform(normal, lambda s: F.regexp_extract_all(s, F.lit(f"(?<= )({known})"), F.lit(1))))
 
     held = reduce(Column.__or__, [F.lower(text).contains(a) for a in anchors(sentences)])
-    return F.when(held, F.array_compact(F.transform(normal, identifier))).otherwise(F.array().cast("array<string>"))
+    return F.when(held, F.transform(found, lambda s: names[s])).otherwise(F.array().cast("array<string>"))
 
 
 def named(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
