@@ -71,3 +71,16 @@ def test_every_sentence_of_a_stretch_counts(docs_of):
     }
     for r in licences.scan(docs_of(*[(k, c[0]) for k, c in cases.items()])).collect():
         assert (r["sentences"], r["licences"]) == cases[r["key"]][1:], r["key"]
+
+
+def test_spdx_tags(docs_of):
+    cases = {
+        1: ("// SPDX-License-Identifier: Apache-2.0\nint main() {}", ["spdx_apache_2_0"], ["Apache-2.0"]),
+        2: ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */\n# SPDX-License-Identifier: CC-BY-SA-4.0",
+            ["spdx_gpl_2_0_only", "spdx", "spdx_mit", "spdx_cc_by_sa_4_0"], ["MIT", "GPL-2.0", "CC-BY-SA"]),
+        3: ("SPDX-License-Identifier: MIT-0\nSPDX-License-Identifier:\n", ["spdx", "spdx"], []),
+        4: ("SPDX-License-Identifier: GPL-2.0+\nCopyright, all rights reserved", ["spdx_gpl_2_0", "reserved"], ["proprietary", "GPL-2.0"]),
+        5: ("this or mit and isc", [], []),
+    }
+    for r in licences.scan(docs_of(*[(k, c[0]) for k, c in cases.items()])).collect():
+        assert (r["sentences"], sorted(r["licences"])) == (cases[r["key"]][1], sorted(cases[r["key"]][2])), r["key"]

@@ -102,6 +102,22 @@ RULES = (
     Rule("proprietary", ("reserved",)),
 )
 
+# Licences by the ids of SPDX tags.
+SPDX = {
+    "mit": "MIT", "isc": "ISC", "apache-2.0": "Apache-2.0", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause",
+    "mpl-2.0": "MPL-2.0", "cc0-1.0": "CC0", "unlicense": "Unlicense",
+    **{f"{kind}gpl-{version}{end}": {"": f"GPL-{version}", "l": "LGPL", "a": "AGPL"}[kind]
+       for kind, versions in (("", ("2.0", "3.0")), ("l", ("2.0", "2.1", "3.0")), ("a", ("3.0",)))
+       for version in versions for end in ("", "-only", "-or-later")},
+    **{f"cc-{kind}-{version}": f"CC-{kind.upper()}" for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+       for version in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+}
+SPDX_SENTENCES = {"spdx_" + re.sub("[^a-z0-9]", "_", i): f"spdx license identifier {re.sub('[^a-z0-9]', ' ', i)} spdx" for i in SPDX}
+SPDX_RULES = tuple(Rule(licence, (name,)) for name, licence in zip(SPDX_SENTENCES, SPDX.values()))
+# Each id of a tag, also behind an operator, becomes a sentence of its own, closed by a word.
+TAG = r"(?:spdx-license-identifier[ \t]*:[ \t(]*|\G(?!^)[ \t()]+(?:or|and|with)[ \t()]+)([a-z0-9][a-z0-9.+-]*)"
+TAGGED = ". spdx-license-identifier $1 spdx. "
+
 BREAK = r"[.;:!?]+[ \t\r]*\n|[.;:!?]+[ \t]+|\n[ \t\r]*\n"
 
 
@@ -131,9 +147,9 @@ def heads(sentences: dict[str, str]) -> dict[str, tuple[str, str]]:
     return {name: cut(text.split()) for name, text in sentences.items()}
 
 
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def identifiers(text: Column, sentences: dict[str, str] = SENTENCES | SPDX_SENTENCES) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    normal = F.transform(F.split(F.lower(text), BREAK, -1), lambda s: F.concat(
+    normal = F.transform(F.split(F.regexp_replace(F.lower(text), TAG, TAGGED), BREAK, -1), lambda s: F.concat(
         F.lit(" "), F.regexp_replace(s, "[^a-z0-9]+", " "), F.lit(" ")))
     parts = heads(sentences)
     name_of = {head: name for name, (head, _) in parts.items()}
@@ -148,7 +164,7 @@ def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     return F.when(held, F.transform(found, lambda s: names[s])).otherwise(F.array().cast("array<string>"))
 
 
-def named(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def named(found: Column, rules: tuple[Rule, ...] = RULES + SPDX_RULES) -> Column:
     """Licences named by a sequence of identifiers, in the order of the rules."""
     for part in {s for r in rules for s in r.sentences}:
         assert re.fullmatch("[a-z0-9_]+", part)
