@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import (
-    checks, leaks, licences, lm, mixing, quality, secret_scan, similar, token_files, toxicity, url_lists,
+    checks, leaks, licences, lm, mixing, pieces, quality, secret_scan, similar, token_files, toxicity, url_lists,
 )
 from vacantia.sources.tables import stored
 
@@ -128,3 +128,12 @@ def op3_toxicity_grades(spark, folder):
     model = toxicity.train(toxicity.split_severe(toxicity.vectors(labelled, chosen)), chosen, 3)
     found = toxicity.predict(documents, model)
     return found.select(F.col("key").alias("doc_id"), "expected_severity", "grade", (F.col("grade") > 0).alias("toxic"))
+
+
+@query("op12_merge_pieces")
+def op12_merge_pieces(spark, folder):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, folder, "documents"), model), model)
+    numbers = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
