@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import (
-    checks, leaks, licences, lm, mixing, pieces, quality, secret_scan, similar, token_files, toxicity, url_lists,
+    checks, conversations, leaks, licences, lm, mixing, pieces, quality, secret_scan, similar, token_files, toxicity, url_lists,
 )
 from vacantia.sources.tables import stored
 
@@ -137,3 +137,28 @@ def op12_merge_pieces(spark, folder):
     numbers = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return found.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults that follow from a checksum of each row's place."""
+    blank = F.lit(" ")
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    kind = F.crc32(place) % 20
+    text = F.coalesce("text", blank)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(F.coalesce("role", blank))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("times"))
+    return rows.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "copy")
+
+
+@query("op13_conversation_auction")
+def op13_conversation_auction(spark, folder):
+    turns = table(spark, folder, "conversations")
+    repaired = stored(conversations.repair(damaged(turns)), "conversation-repairs")
+    found = conversations.report(repaired).join(conversations.digests(repaired), "conv_key").withColumnRenamed("conv_id", "id")
+    originals = turns.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return originals.join(found, originals.conv_id.eqNullSafe(found.id), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
