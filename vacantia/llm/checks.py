@@ -151,3 +151,25 @@ d AS (SELECT page_id, day, count(*) AS n_active, max({'n': length(pattern), 'b':
   FROM a GROUP BY page_id, day)
 SELECT c.page_id, c.day, coalesce(n_active, 0) AS n_active, m.p AS pattern, m.l AS list, coalesce(m.b, false) AS blocked
 FROM c LEFT JOIN d ON c.page_id = d.page_id"""
+
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) x),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v))::HUGEINT AS p
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(p.n) + 1) // (any_value(a.n) + any_value(v)))::HUGEINT AS q
+      FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) a USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+e AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM e)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o
+QUALIFY part = 'pair' OR rank <= 200"""

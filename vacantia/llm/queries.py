@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import (
-    checks, conversations, leaks, licences, lm, mixing, pieces, quality, secret_scan, similar, token_files, toxicity, url_lists,
+    checks, conversations, divergence, leaks, licences, lm, mixing, pieces, quality, secret_scan, similar, token_files, toxicity, url_lists,
 )
 from vacantia.sources.tables import stored
 
@@ -162,3 +162,8 @@ def op13_conversation_auction(spark, folder):
     return originals.join(found, originals.conv_id.eqNullSafe(found.id), "left").select(
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op11_source_divergence", checks.DIVERGENCE)
+def op11_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
