@@ -45,7 +45,8 @@ from vacantia.sources.tables import stored
 
 LEAST_DOCS = 3
 TOP = 200
-SHARD_TERMS = 1 << 15
+SHARD_TERMS = 1 << 13
+CELLS = 4_000_000  # sums by pair of sources that a task holds, besides one language's
 ENTRIES = 1_500_000  # (source, term) pairs or terms that a task counts before it passes them on
 UNIT_HIGH, UNIT_LOW = 100_000, 10_000  # their product is the unit of shares, 10^9
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -274,7 +275,16 @@ SCORED = "part string, lang string, source string, item string, place long, valu
 
 
 def scored(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
-    """Sums by pair of sources and each source's best terms, for each shard."""
+    """Sums by pair of sources, for all shards of a task together, and each source's best terms in
+    each shard."""
+    sums: dict[str, tuple[list[str], np.ndarray]] = {}
+
+    def flush():
+        for lang, (names, matrix) in sums.items():
+            one, two = np.nonzero(~np.eye(len(names), dtype=bool))
+            yield batch_of("pair", lang, [names[a] for a in one], [names[b] for b in two], None, matrix[one, two])
+        sums.clear()
+
     for batch in batches:
         for i in range(batch.num_rows):
             r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
@@ -287,9 +297,10 @@ def scored(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
                 of_source = np.array([number[s] for s in r["sources"]])[of_source]
             order = np.lexsort((of_term, of_source))
             of_term, of_source, counts = of_term[order], of_source[order], counts[order]
-            sums = pair_sums(r["n_terms"], of_term, of_source, counts, totals)
-            one, two = np.nonzero(~np.eye(len(names), dtype=bool))
-            yield batch_of("pair", r["lang"], [names[a] for a in one], [names[b] for b in two], None, sums[one, two])
+            matrix = pair_sums(r["n_terms"], of_term, of_source, counts, totals)
+            if r["lang"] not in sums and sum(m.size for _, m in sums.values()) + matrix.size > CELLS:
+                yield from flush()
+            sums[r["lang"]] = names, matrix + (sums[r["lang"]][1] if r["lang"] in sums else 0)
 
             whole = np.zeros(r["n_terms"], np.int64)
             np.add.at(whole, of_term, counts)
@@ -308,6 +319,7 @@ def scored(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBat
                 found += value[at].tolist()
             if found:
                 yield batch_of("term", r["lang"], source, item, place, found)
+    yield from flush()
 
 
 def batch_of(part, lang, source, item, place, value) -> pa.RecordBatch:
