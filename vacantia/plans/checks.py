@@ -232,6 +232,39 @@ def language(text: str) -> str:
     return f"CASE WHEN {best} = 0 THEN 'Unknown' ELSE CASE {best} {cases} END END"
 
 
+_TONGUES = ("de", "en", "es", "fr")
+
+
+def letters_of(text: str) -> str:
+    return rf"regexp_replace(' ' || lower(coalesce({text}, '')) || ' ', '[^\p{{L}}]+', ' ', 'g')"
+
+
+def _grams(text: str) -> str:
+    """All runs of one to three characters: runs side by side from each of the first places."""
+    runs = " || ".join(f"regexp_extract_all(substr(p, {place + 1}), '{'.' * n}')" for n in (1, 2, 3) for place in range(n))
+    return f"(SELECT {runs} FROM (SELECT {letters_of(text)} AS p))"
+
+
+def _tongues(form: str, separator: str = ", ") -> str:
+    return separator.join(form.format(t=t) for t in _TONGUES)
+
+
+LANGUAGE_SPLIT = """ranked_docs AS (SELECT *, count(*) OVER (PARTITION BY lang) AS n,
+  row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS STRING) || '-42')) AS rn FROM documents WHERE lang IS NOT NULL)"""
+GRAM_PROFILES = f"""WITH {LANGUAGE_SPLIT},
+gram_rows AS (SELECT lang, unnest({_grams("text")}) AS gram FROM ranked_docs WHERE rn > round(0.2 * n)),
+gram_counts AS (SELECT gram, {_tongues("count(*) FILTER (lang = '{t}') AS n_{t}")} FROM gram_rows GROUP BY gram),
+gram_ranks AS (SELECT *, count(*) OVER () AS v, {_tongues("sum(n_{t}) OVER () AS t_{t}")},
+  {_tongues("row_number() OVER (ORDER BY n_{t} DESC, gram) AS r_{t}")} FROM gram_counts),
+profiles AS (SELECT gram, {_tongues("round(1000000 * ln((n_{t} + 1) / (t_{t} + v)))::BIGINT AS w_{t}")} FROM gram_ranks
+  WHERE {_tongues("(r_{t} <= 3000 AND n_{t} > 0)", " OR ")})"""
+GRAM_SCORES = f""", text_grams AS (SELECT k, gram, count(*) AS times FROM (SELECT k, unnest({_grams("text")}) AS gram FROM texts) GROUP BY k, gram),
+gram_sums AS (SELECT k, {_tongues("sum(times * w_{t})::BIGINT AS score_{t}")} FROM text_grams JOIN profiles USING (gram) GROUP BY k),
+scored AS (SELECT texts.k, {_tongues("coalesce(score_{t}, 0) AS score_{t}")}, CASE WHEN s.k IS NULL THEN 'Unknown'
+  ELSE CASE greatest({_tongues("score_{t}")}) {_tongues("WHEN score_{t} THEN '{t}'", " ")} END END AS language
+  FROM texts LEFT JOIN gram_sums s ON s.k = texts.k)"""
+
+
 def evaluation_by(*keys: str, table: str = "v_eval", after: str = "WITH") -> str:
     names = "".join(f"{k}, " for k in keys)
     return f"""{after} x AS (SELECT {names}true_label AS label, 1 AS support, 0 AS predicted,
@@ -254,6 +287,18 @@ every AS (SELECT * FROM ev UNION ALL SELECT true_label, predicted_label, 'all' F
   CAST(sum(support) AS BIGINT) AS sample_size FROM m GROUP BY language""")
 
 
+LANGUAGE_EVAL = GRAM_PROFILES + rf""", held AS (SELECT doc_id, lang, text FROM ranked_docs WHERE rn <= round(0.2 * n)),
+trials AS (SELECT 'whole' AS kind, 'w' || doc_id AS k, lang, text FROM held
+  UNION ALL SELECT 'sentence', 's' || doc_id || '-' || no, lang, text FROM
+    (SELECT doc_id, lang, unnest(parts) AS text, unnest(range(len(parts))) AS no
+     FROM (SELECT doc_id, lang, string_split_regex(text, '[.!?\n]+') AS parts FROM held)) WHERE regexp_matches(text, '\p{{L}}')
+  UNION ALL SELECT 'mixed', 'm' || h.doc_id, CASE WHEN length({letters_of("h.text")}) >= length({letters_of("d.text")}) THEN h.lang ELSE d.lang END,
+    concat_ws(' ', h.text, d.text) FROM held h JOIN documents d ON d.doc_id = h.doc_id + 1 WHERE h.lang <> d.lang),
+texts AS (SELECT k, text FROM trials)""" + GRAM_SCORES + f""" SELECT kind, lang, count(*) AS n, count(*) FILTER (scored.language = lang) AS profiles_right,
+  count(*) FILTER ({language("trials.text")} = CASE lang WHEN 'en' THEN 'EN' WHEN 'de' THEN 'DE' ELSE 'Other_Lang' END) AS words_right
+FROM trials JOIN scored ON scored.k = trials.k GROUP BY kind, lang"""
+
+
 def p_value(t: str, df: str) -> str:
     """Two-sided t tail: Simpson's rule in the angle atan(t / sqrt(df))."""
     top = f"least(pi() / 2, 12 / sqrt({df}))"

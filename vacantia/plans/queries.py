@@ -12,7 +12,7 @@ from vacantia.functions import pages as P
 from vacantia.functions import text as T
 from vacantia.functions import urls as U
 from vacantia.operators import (
-    classify, dedup, evaluate, extract, label, merge, profile, skills, structure, trends,
+    classify, dedup, evaluate, extract, label, language, merge, profile, skills, structure, trends,
 )
 from vacantia.plans import checks, flows
 from vacantia.plans.fixtures import Inputs, with_views
@@ -661,6 +661,59 @@ def language_counts(data):
     return found.groupBy("language").agg(F.count("*").alias("n"))
 
 
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def language_split(data) -> DataFrame:
+    """The documents of known language, a fifth of each language's held out."""
+    return label.train_val_split(data.texts("documents"), "lang", "doc_id", LANGUAGES)
+
+
+def language_profiles(data) -> DataFrame:
+    return tables.stored(language.learn_profiles(language_split(data).filter("split = 'train'"), LANGUAGES), "language-profiles")
+
+
+@query("language_profile_table", checks.GRAM_PROFILES + " SELECT gram, w_de, w_en, w_es, w_fr FROM profiles")
+def language_profile_table(data):
+    return language.learn_profiles(language_split(data).filter("split = 'train'"), LANGUAGES)
+
+
+@query("detect_language_profiles", checks.GRAM_PROFILES + ", texts AS (SELECT doc_id AS k, text FROM documents)" + checks.GRAM_SCORES
+       + " SELECT k AS doc_id, score_de, score_en, score_es, score_fr, language FROM scored")
+def detect_language_profiles(data):
+    return language.detect_by_profiles(data.texts("documents"), language_profiles(data), LANGUAGES)
+
+
+def language_trials(data) -> DataFrame:
+    """Held-out texts of known language: whole, every sentence alone, and followed by the next
+    document where that is in another language; the longer one's language is then the right one."""
+    split = language_split(data)
+    held = split.filter("split = 'val'").select("doc_id", "lang", "text")
+    other = data.table("documents").selectExpr("doc_id - 1 AS doc_id", "lang AS next_lang", "text AS next_text")
+    size, next_size = (F.length(language.letters(F.col(c))) for c in ("text", "next_text"))
+    mixed = held.join(other, "doc_id").filter("lang != next_lang").select(
+        F.lit("mixed").alias("kind"), F.concat(F.lit("m"), "doc_id").alias("trial"),
+        F.when(size >= next_size, F.col("lang")).otherwise(F.col("next_lang")).alias("lang"),
+        F.concat_ws(" ", "text", "next_text").alias("text"))
+    sentences = held.select("doc_id", "lang", F.posexplode(F.split("text", r"[.!?\n]+")).alias("no", "text")).filter(
+        F.col("text").rlike(r"\p{L}")).select(F.lit("sentence").alias("kind"), F.concat(F.lit("s"), "doc_id", F.lit("-"), "no").alias("trial"), "lang", "text")
+    whole = held.select(F.lit("whole").alias("kind"), F.concat(F.lit("w"), "doc_id").alias("trial"), "lang", "text")
+    return whole.unionByName(sentences).unionByName(mixed)
+
+
+@query("language_profile_eval", checks.LANGUAGE_EVAL)
+def language_profile_eval(data):
+    """How many held-out texts each detector tells right, by kind of text and language."""
+    trials = tables.stored(language_trials(data), "language-trials")
+    found = language.detect_by_profiles(trials, language_profiles(data), LANGUAGES, key="trial").select("trial", "language")
+    by_words = classify.detect_language(F.col("text"))
+    wanted = F.when(F.col("lang") == "en", "EN").when(F.col("lang") == "de", "DE").otherwise("Other_Lang")
+    judged = trials.select("trial", "kind", "lang", (by_words == wanted).alias("words_right")).join(found, "trial")
+    return judged.groupBy("kind", "lang").agg(
+        F.count("*").alias("n"), F.count_if(F.col("language") == F.col("lang")).alias("profiles_right"),
+        F.count_if("words_right").alias("words_right"))
+
+
 @query("confusion_matrix", "SELECT true_label, predicted_label, count(*) AS n FROM v_eval GROUP BY ALL")
 def confusion_matrix(data):
     return evaluate.confusion_matrix(data.view("v_eval"))
