@@ -7,7 +7,20 @@ from vacantia.llm import licences, secret_scan
 SPACE = r"[\x20\x09-\x0D]"
 WORDS = rf"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '')"
 
-MIX = f"""WITH d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+_ROUND = "on to the row that does not fit, then up to three rows that narrow the gap"
+_STEP = """list_reduce(list_transform(range(start, len(sizes) + 1), lambda i: {'i': i::INT, 'w': coalesce(sizes[i], 0), 'acc': 0::DOUBLE,
+      'stop': 0, 'taken': []::INT[]}), lambda x, y: CASE WHEN x.stop > 0 OR (start > 0 AND y.w > gap) THEN x
+      WHEN x.acc + y.w > gap THEN {'i': x.i, 'w': x.w, 'acc': x.acc, 'stop': y.i, 'taken': x.taken}
+      ELSE {'i': x.i, 'w': x.w, 'acc': x.acc + y.w, 'stop': 0, 'taken': list_append(x.taken, y.i)} END)"""
+
+
+def _nearest(off: str, taken: str, fits: str) -> str:
+    """The row not taken that leaves least of the gap, the first of equals."""
+    return (f"list_min(list_transform(list_filter(range(1, len(sizes) + 1), lambda i: NOT list_contains({taken}, i::INT) AND sizes[i] > 0 AND {fits}),"
+            f" lambda i: {{'off': abs({off} - sizes[i]), 'i': i::INT}}))")
+
+
+MIX = f"""WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
 -- sharing in rounds: sources above their limit stay at it, the others share the rest
@@ -30,18 +43,21 @@ x AS (SELECT d.*, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p,
       FROM d LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND length(bin(d.size)) = e.grade),
 q AS (SELECT x.*, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q, wanted
       FROM x LEFT JOIN n ON x.source IS NOT DISTINCT FROM n.source),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q) AS upto FROM q WHERE q IS NOT NULL),
-a0 AS (SELECT source, any_value(wanted) - coalesce(sum(size) FILTER (WHERE upto <= wanted), 0) AS gap FROM o GROUP BY source),
-l0 AS (SELECT o.*, a0.gap FROM o JOIN a0 ON o.source IS NOT DISTINCT FROM a0.source WHERE upto > wanted),
-f1 AS (SELECT source, arg_min(doc_id, (gap - size, q)) AS pick, gap - max(size) AS left_gap FROM l0 WHERE size <= gap GROUP BY source, gap),
-l1 AS (SELECT l0.* EXCLUDE (gap), coalesce(left_gap, gap) AS gap FROM l0 LEFT JOIN f1 ON l0.source IS NOT DISTINCT FROM f1.source
-       WHERE doc_id IS DISTINCT FROM pick),
-f2 AS (SELECT source, arg_min(doc_id, (gap - size, q)) AS pick, gap - max(size) AS left_gap FROM l1 WHERE size <= gap GROUP BY source, gap),
-l2 AS (SELECT l1.* EXCLUDE (gap), coalesce(left_gap, gap) AS gap FROM l1 LEFT JOIN f2 ON l1.source IS NOT DISTINCT FROM f2.source
-       WHERE doc_id IS DISTINCT FROM pick),
-f3 AS (SELECT source, arg_min(doc_id, (abs(gap - size), q)) AS pick FROM l2 WHERE abs(gap - size) < gap GROUP BY source),
-more AS (SELECT doc_id FROM o WHERE upto <= wanted UNION ALL SELECT pick FROM f1 UNION ALL SELECT pick FROM f2
-         UNION ALL SELECT pick FROM f3)
+-- the order of each source, and rounds: {_ROUND}
+o AS (SELECT source, any_value(wanted) AS wanted, avg(size) AS average, list(size ORDER BY q) AS sizes, list(doc_id ORDER BY q) AS ids
+      FROM q WHERE q IS NOT NULL GROUP BY source),
+walk AS (SELECT source, sizes, average, wanted::DOUBLE AS gap, 0 AS start, []::INT[] AS taken, NULL::DOUBLE AS best_off, []::INT[] AS best, true AS open FROM o
+  UNION ALL SELECT source, sizes, average, gap, stop, taken, least(off, best_off), CASE WHEN off < best_off OR best_off IS NULL THEN filled ELSE best END,
+    stop > 0 AND off > average
+  FROM (SELECT *, coalesce(f.off, off2) AS off, CASE WHEN f IS NULL THEN filled2 ELSE list_append(filled2, f.i) END AS filled FROM (
+    SELECT *, {_nearest("off2", "filled2", "abs(sizes[i] - off2) < off2")} AS f FROM (
+    SELECT *, coalesce(f2.off, off1) AS off2, CASE WHEN f2 IS NULL THEN filled1 ELSE list_append(filled1, f2.i) END AS filled2 FROM (
+    SELECT *, {_nearest("off1", "filled1", "sizes[i] <= off1")} AS f2 FROM (
+    SELECT *, coalesce(f1.off, gap) AS off1, CASE WHEN f1 IS NULL THEN taken ELSE list_append(taken, f1.i) END AS filled1 FROM (
+    SELECT *, {_nearest("gap", "taken", "sizes[i] <= gap")} AS f1 FROM (
+    SELECT source, sizes, average, best_off, best, gap - step.acc AS gap, step.stop AS stop, taken || step.taken AS taken FROM (
+    SELECT *, {_STEP} AS step FROM walk WHERE open))))))))),
+more AS (SELECT unnest(list_transform(best, lambda i: ids[i])) AS doc_id FROM walk JOIN o ON walk.source IS NOT DISTINCT FROM o.source WHERE NOT open)
 SELECT x.doc_id, x.size, t.source_size::BIGINT AS source_size, t.target,
        x.size * (coalesce(whole, 0) + (x.doc_id IN (SELECT doc_id FROM more))::BIGINT) AS taken
 FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source"""
