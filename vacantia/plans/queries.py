@@ -17,7 +17,7 @@ from vacantia.operators import (
 from vacantia.plans import checks, flows
 from vacantia.plans.fixtures import Inputs, with_views
 from vacantia.session import shared_path
-from vacantia.sources import tables
+from vacantia.sources import csv_files, tables
 from vacantia.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +63,53 @@ def scan_csv_roundtrip(data):
     from vacantia.schema import text_schema
     path = shared_path(data.spark, "csv")
     tables.write_csv(data.postings().select(*CSV_COLUMNS), path)
-    return tables.read_csv(data.spark, path, text_schema(*CSV_COLUMNS), multi_line=True)
+    return csv_files.read_ranges(data.spark, path, text_schema(*CSV_COLUMNS)).drop("file")
+
+
+def board_files(data) -> str:
+    """Boards' files of uneven quality: one has no description column, one is missing, some have
+    records that are cut short; headers differ in order and names."""
+    given = data.postings().select("doc_id", "source", "title", "description")
+    quoted = {c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in given.columns}
+    full = F.when(F.col("source") == "pracuj", F.concat_ws(",", quoted["title"], quoted["doc_id"], quoted["description"])).when(
+        F.col("source") == "dice", F.concat_ws(",", quoted["doc_id"], quoted["title"])).otherwise(
+        F.concat_ws(",", quoted["doc_id"], quoted["title"], quoted["description"]))
+    line = F.when((F.col("source") != "dice") & (F.col("doc_id") % 23 == 0), F.concat(quoted["doc_id"], F.lit(',"short"'))).otherwise(full)
+    rows = given.filter("source != 'monster'").select("source", F.lit(1).alias("no"), line.alias("value"))
+    names = {"pracuj": "title,doc_id,Job_Description", "dice": "doc_id,title"}
+    heads = data.spark.createDataFrame([(s, 0, names.get(s, "doc_id,title,description")) for s in SOURCES if s != "monster"],
+                                       "source string, no int, value string")
+    path = shared_path(data.spark, "boards")
+    (heads.unionByName(rows).repartition("source").sortWithinPartitions("source", "no")
+     .select("source", "value").write.partitionBy("source").text(path))
+    return path
+
+
+def source_in(path):
+    return F.regexp_extract(path, "source=([^/]+)/", 1)
+
+
+BOARD_ROWS = """WITH r AS (SELECT source, doc_id, title, description, source <> 'dice' AND doc_id % 23 = 0 AS bad FROM v_postings WHERE source <> 'monster')"""
+
+
+@query("source_file_report", BOARD_ROWS + """ SELECT source, CASE WHEN source = 'dice' THEN 'no description' WHEN count(*) FILTER (bad) > 0 THEN 'partly read'
+  ELSE 'read' END AS status, count(*) AS n_records, count(*) FILTER (bad) AS n_bad FROM r GROUP BY source
+  UNION ALL SELECT 'monster', 'empty', 0, 0""")
+def source_file_report(data):
+    path = board_files(data)
+    rows = csv_files.by_header(data.spark, f"{path}/*", ("doc_id", "title"))
+    return csv_files.file_report(data.spark, f"{path}/*", rows, SOURCES, source_in).withColumnRenamed("name", "source")
+
+
+@query("merge_readable_files", BOARD_ROWS + """ SELECT doc_id, source, title, description FROM r
+  WHERE NOT bad AND source <> 'dice' AND description IS NOT NULL""")
+def merge_readable_files(data):
+    """The good records of all files that have a description, whatever it is called."""
+    path = board_files(data)
+    rows = csv_files.by_header(data.spark, f"{path}/*", ("doc_id", "title", "description", "Job_Description"))
+    text = F.coalesce("description", "Job_Description")
+    return rows.filter("NOT bad").select(F.col("doc_id").cast("long").alias("doc_id"), source_in(F.col("file")).alias("source"), "title", text.alias("description")).filter(
+        "description IS NOT NULL AND source != 'dice'")
 
 
 @query("taxonomy_split", """SELECT CASE type_name WHEN 'Common Skill' THEN 'soft' ELSE 'hard' END AS kind, name
