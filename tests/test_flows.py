@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import classify, extract
 from vacantia.plans import flows
-from vacantia.sources import tables
+from vacantia.sources import versions
 
 FILL = "<p>" + "filler " * 100 + "</p>"
 
@@ -38,11 +38,11 @@ def test_labels_to_trends(spark, data):
 def test_rewriting_a_table_from_itself(spark, tmp_path):
     path = str(tmp_path / "postings")
     first = spark.createDataFrame([("u", None), ("v", "own")], "wayback_url string, description string")
-    tables.write_version(first, path)
+    versions.write_version(first, path)
     pages = spark.createDataFrame([("u", f"<section itemprop='description'>{'word ' * 60}</section>" + FILL)],
                                   "wayback_url string, html string")
-    tables.write_version(extract.backfill_descriptions(tables.read_latest(spark, path, first.schema), pages), path)
-    found = {r[0]: r[1] for r in tables.read_latest(spark, path, first.schema).collect()}
+    versions.update(spark, path, first.schema, lambda table: extract.backfill_descriptions(table, pages))
+    found = {r[0]: r[1] for r in versions.read_version(spark, path, first.schema)[1].collect()}
     assert found == {"u": ("word " * 60).strip(), "v": "own"}
 
 

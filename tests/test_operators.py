@@ -164,14 +164,6 @@ def test_split_keeps_rows_of_other_labels(spark):
     assert {r["split"] for r in out if r["label"] != "IT"} == {None}
 
 
-def test_versions_count_once_finished(spark, tmp_path):
-    path, schema = str(tmp_path / "table"), spark.range(1).schema
-    tables.write_version(spark.range(1), path)
-    tables.write_version(spark.range(2), path)
-    spark.range(9).write.parquet(f"{path}/version=99999999999999999999-dead")  # a job that died before its list row
-    assert tables.read_latest(spark, path, schema).count() == 2
-
-
 def test_sorted_report(spark, tmp_path):
     tables.write_sorted(spark.range(100).selectExpr("id * 37 % 100 AS id"), str(tmp_path / "r"), "id")
     files = sorted((tmp_path / "r").glob("*.csv"))

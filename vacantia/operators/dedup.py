@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vacantia.functions.text import strip
 from vacantia.functions.urls import capture_url, is_job_url
+from vacantia.sources import versions
+from vacantia.sources.tables import stored
 
 
 def earliest_captures(captures: DataFrame) -> DataFrame:
@@ -34,6 +37,37 @@ def dedup_postings(postings: DataFrame) -> DataFrame:
     return best.select(*[F.col(f"best.{c}").alias(c) for c in postings.columns])
 
 
+# --- kept up to date -----------------------------------------------------------------
+
+def merge_captures(captures: DataFrame, root: str, buckets: int = versions.BUCKETS) -> int:
+    """Merge a batch of captures into the stored table of earliest ones at ``root``.
+
+    Any split into batches, in any order, gives the table that one batch gives; only the buckets
+    that hold the batch's addresses are read and written.
+    """
+    least = captures.groupBy("original_url").agg(F.min("timestamp").alias("timestamp"))
+    return versions.upsert(stored(least, "captures"), root, "original_url", lambda both: both.groupBy("original_url").agg(
+        F.min("timestamp").alias("timestamp")), buckets)
+
+
+def merged_captures(spark: SparkSession, root: str) -> DataFrame:
+    """The table that ``merge_captures`` keeps, as ``earliest_captures`` gives it."""
+    return earliest_captures(versions.read_version(spark, root, "original_url string, timestamp string")[1])
+
+
+def merge_postings(postings: DataFrame, root: str, buckets: int = versions.BUCKETS) -> int:
+    """Merge a batch of postings into the stored table of deduplicated ones at ``root``."""
+    def kept(rows: DataFrame) -> DataFrame:
+        return dedup_postings(rows).withColumn("posting_key", posting_key())
+
+    return versions.upsert(stored(kept(postings), "postings"), root, "posting_key", lambda both: kept(both.drop("posting_key")), buckets)
+
+
+def merged_postings(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The table that ``merge_postings`` keeps."""
+    return versions.read_version(spark, root, schema)[1]
+
+
 def done_urls(stored: DataFrame, column: str = "wayback_url") -> DataFrame:
     """Addresses already stored; blanks do not count."""
     url = strip(F.col(column))

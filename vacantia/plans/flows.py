@@ -1,6 +1,6 @@
 """The stages from captured pages to reports, each a function of DataFrames.
 
-Stages meet in stored tables (``sources.tables.write_by`` and ``write_version``), so a later
+Stages meet in stored tables (``sources.tables.write_by``, ``sources.versions``), so a later
 stage reads columns and partitions it needs and a failed one is simply run again.
 """
 

@@ -257,6 +257,28 @@ def dedup_postings(data):
         "doc_id", "job_id", "title", "source", "original_url", "timestamp", "description")
 
 
+@query("earliest_capture_batches", """SELECT original_url, min(timestamp) AS timestamp,
+  'https://web.archive.org/web/' || min(timestamp) || '/' || original_url AS wayback_url FROM v_captures GROUP BY original_url""")
+def earliest_capture_batches(data):
+    """The same table kept up to date: captures come in three batches, some of the earliest last."""
+    root, captures = shared_path(data.spark, "kept-captures"), data.view("v_captures")
+    for batch in range(3):
+        dedup.merge_captures(captures.filter(F.pmod(F.xxhash64("original_url", "timestamp"), F.lit(3)) == batch), root, 16)
+    return dedup.merged_captures(data.spark, root)
+
+
+@query("dedup_postings_batches", f"""SELECT doc_id, job_id, title, source, original_url, timestamp, description FROM (
+  SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(trim(job_id), ''), original_url)
+    ORDER BY timestamp, original_url, wayback_url, doc_id) AS rn FROM ({WITH_CAPTURE}) c) r WHERE rn = 1""")
+def dedup_postings_batches(data):
+    """Postings deduplicated as they come, in two batches."""
+    root, postings = shared_path(data.spark, "kept-postings"), data.sql(WITH_CAPTURE)
+    for batch in range(2):
+        dedup.merge_postings(postings.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == batch), root, 16)
+    return dedup.merged_postings(data.spark, root, postings.schema).select(
+        "doc_id", "job_id", "title", "source", "original_url", "timestamp", "description")
+
+
 JOB_CAPTURES = " UNION ALL ".join(
     "SELECT page_id, board, url AS original_url, "
     f"CAST(20160101000000 + ((page_id * 37 + {k * 11}) % 9) * 10000000000 AS STRING) AS timestamp FROM v_job_urls"
@@ -400,7 +422,7 @@ def ingest_outcomes(data):
     UNION ALL SELECT page_id + 2000000, url, 'too short' FROM pages WHERE page_id % 4 = 0) p) x
 WHERE rn = 1 AND NOT junk AND title <> ''""")
 def incremental_ingest(data):
-    """Stream pages into a new store, twice; the second run finds nothing new.
+    """Stream pages into a new store in two batches, twice; the second run finds nothing new.
 
     Some captures come as several copies, a good one among a missing and a short one.
     """
@@ -408,11 +430,11 @@ def incremental_ingest(data):
     given = data.table("pages")
     missing = given.filter("page_id % 3 = 0").selectExpr("page_id + 1000000 AS page_id", "url", "CAST(NULL AS STRING) AS html")
     short = given.filter("page_id % 4 = 0").selectExpr("page_id + 2000000 AS page_id", "url", "'too short' AS html")
-    given.unionByName(missing).unionByName(short).coalesce(1).write.parquet(folder)
+    given.unionByName(missing).unionByName(short).repartition(4, "url").write.parquet(folder)
     target, checkpoint = shared_path(data.spark, "ingested"), shared_path(data.spark, "ingest-progress")
     schema = given.schema
     # ``page_id`` rides along in the time stamp to show which capture was kept.
-    pages = (data.spark.readStream.schema(schema).parquet(folder)
+    pages = (data.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
              .select(F.lit("stepstone").alias("board"), F.col("url").alias("original_url"),
                      F.lit("20200101000000").alias("timestamp"), "html", "page_id"))
     for _ in range(2):

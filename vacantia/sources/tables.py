@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -56,26 +54,6 @@ def write_by(table: DataFrame, path: str, *keys: str, mode: str = "error") -> No
     table.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
-def write_version(table: DataFrame, path: str) -> None:
-    """Add a whole new version of a table.
-
-    A version counts only once the row that names it is appended to the table's list, which is
-    written after its job has committed.  A table may be rewritten from itself because the
-    version being read is never touched.
-    """
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    root = path.rstrip("/")
-    table.write.parquet(f"{root}/version={version}")
-    table.sparkSession.createDataFrame([(version,)], "finished string").coalesce(1).write.mode("append").parquet(f"{root}.finished")
-
-
-def read_latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest finished version written by ``write_version``; only its files are listed."""
-    root = path.rstrip("/")
-    newest = spark.read.schema("finished string").parquet(f"{root}.finished").agg(F.max("finished")).first()[0]
-    return spark.read.schema(schema).parquet(f"{root}/version={newest}")
-
-
 def write_sorted(table: DataFrame, path: str, *order: str, mode: str = "error") -> None:
     """A report as CSV files whose rows are sorted through all files."""
     write_csv(table.orderBy(*order), path, mode)

@@ -2,8 +2,12 @@
 
 Each batch takes new page files, drops junk and pages already stored, extracts postings and
 writes them to a folder of its own (``batch=<id>``).  A batch repeated after a failure
-overwrites its own folder, so postings are neither lost nor doubled.  What is stored is the
-state: nothing else grows with the stream.
+overwrites its own folder, so postings are neither lost nor doubled.
+
+An index of the stored addresses, ``<target>.index``, is kept in buckets by their hash.  A batch
+reads the buckets its own addresses fall into and no others, and merges what it has stored into
+these.  The postings are written first: if the index is behind, it is by the batch that is repeated.
+``sources.versions.vacuum`` removes the buckets' former versions.
 """
 
 from __future__ import annotations
@@ -20,6 +24,11 @@ from vacantia.functions.urls import capture_url
 from vacantia.operators.dedup import pending_captures
 from vacantia.operators.extract import page_outcomes
 from vacantia.rules import POSTING_FIELDS
+from vacantia.sources import versions
+from vacantia.sources.tables import stored
+
+BUCKETS = versions.BUCKETS
+INDEX = "wayback_url string, batch bigint"
 
 
 def stored_postings(spark: SparkSession, target: str, keep: Mapping[str, str] = {}) -> DataFrame:
@@ -51,18 +60,39 @@ def one_per_capture(pages: DataFrame) -> DataFrame:
     return best.select("wayback_url", *[F.col(f"p.{c}").alias(c) for c in ("html", *rest)])
 
 
-def ingest_batch(pages: DataFrame, batch: int, target: str, keep: Sequence[str] = ()) -> None:
+def index_of(target: str) -> str:
+    return f"{target.rstrip('/')}.index"
+
+
+def stored_addresses(spark: SparkSession, target: str, asked: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(wayback_url, batch)`` of the buckets into which the addresses ``asked`` fall."""
+    touched = [r[0] for r in asked.select(versions.bucket_of(F.col("wayback_url"), buckets)).distinct().collect()]
+    return versions.read_version(spark, index_of(target), INDEX, touched)[1]
+
+
+def index_postings(postings: DataFrame, target: str, buckets: int = BUCKETS) -> None:
+    """Merge the addresses of ``postings(wayback_url, batch)`` into the index; an index that is
+    lost is made anew from ``stored_postings``."""
+    rows = postings.select(strip(F.col("wayback_url")).alias("wayback_url"), "batch").filter("wayback_url != ''")
+    first = rows.groupBy("wayback_url").agg(F.min("batch").alias("batch"))
+    versions.upsert(stored(first, "addresses"), index_of(target), "wayback_url",
+                    lambda both: both.groupBy("wayback_url").agg(F.min("batch").alias("batch")), buckets)
+
+
+def ingest_batch(pages: DataFrame, batch: int, target: str, keep: Sequence[str] = (), buckets: int = BUCKETS) -> None:
     """Write the postings of pages not stored by another batch.
 
-    Addresses alone meet the store; of the pages only those still to be stored go on, and the
+    Addresses alone meet the index; of the pages only those still to be stored go on, and the
     join shares its key with the choice of one page per capture.
     """
-    before = stored_postings(pages.sparkSession, target).filter(F.col("batch") != batch)
+    spark = pages.sparkSession
     given = with_address(pages)
-    pending = pending_captures(given.select("wayback_url").distinct(), before)
-    fresh = one_per_capture(given.join(pending, "wayback_url", "left_semi")).drop("wayback_url")
+    asked = stored(given.select("wayback_url").distinct(), "asked")
+    before = stored_addresses(spark, target, asked, buckets).filter(F.col("batch") != batch)
+    fresh = one_per_capture(given.join(pending_captures(asked, before), "wayback_url", "left_semi")).drop("wayback_url")
     saved = page_outcomes(fresh, keep).filter("status = 'saved'").drop("status")
     saved.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={batch}")
+    index_postings(stored_postings(spark, target).filter(F.col("batch") == batch), target, buckets)
 
 
 def incremental_ingest(pages: DataFrame, target: str, checkpoint: str, keep: Sequence[str] = ()):
