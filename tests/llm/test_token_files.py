@@ -50,6 +50,23 @@ def test_grammar_round_trip(kind):
     assert (lengths == [len(T.decode(base, rules, lengths, np.array([base + i], np.uint32))) for i in range(len(rules))]).all()
 
 
+def pair_counts(symbols):
+    pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
+    return np.unique(pairs, return_counts=True)[1]
+
+
+@pytest.mark.parametrize("kind", ["skewed", "few", "colliding"])
+def test_no_frequent_pair_is_left(monkeypatch, kind):
+    rng = np.random.default_rng(12)
+    if kind == "colliding":  # every pair falls into one of two slots
+        monkeypatch.setattr(T, "SLOT_BITS", 1)
+    ids = {"skewed": rng.zipf(1.2, 200_000) % 30_000, "few": rng.integers(0, 12, 50_000),
+           "colliding": rng.zipf(1.3, 30_000) % 500}[kind].astype(np.uint32)
+    base, rules, lengths, symbols = T.compress(ids)
+    assert pair_counts(symbols).max() < T.LEAST
+    assert np.array_equal(T.decode(base, rules, lengths, symbols), ids)
+
+
 def test_files(spark, docs_of, encoder):
     rng = random.Random(11)
     texts = {i: " ".join(rng.choice(["alpha", "Beta,", "γάμμα", "\n", "x y z"]) for _ in range(rng.randrange(200)))

@@ -3,9 +3,9 @@
 Documents are dealt by ranges of their key and encoded in key order; the ids of consecutive
 documents, each with an end id, form shards of about ``SHARD_IDS`` ids.  A shard is compressed by
 itself: in each round the most frequent pairs of neighbouring symbols are replaced by new symbols
-(nonterminals), until no pair is frequent enough or ``ROUNDS`` rounds are done.  Pairs that would
-overlap are taken from left to right; several pairs are replaced in one round, which differs from
-one pair at a time only in the order of the rules.
+(nonterminals), until no pair occurs ``LEAST`` times.  Pairs that would overlap are taken from left
+to right; several pairs are replaced in one round, which differs from one pair at a time only in
+the order of the rules.
 
 A file is a Parquet file with one row per shard:
 
@@ -50,8 +50,7 @@ from vacantia.session import shared_path
 
 END = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 3
-RULES_PER_ROUND = 2048
+RULES_PER_ROUND = 4096
 LEAST = 8  # occurrences of a pair that becomes a rule
 SLOT_BITS = 18
 PIECES = 1_500_000  # distinct pieces that a worker remembers
@@ -67,12 +66,12 @@ FILE_SCHEMA = ("shard struct<range_no:int,shard_no:int>, keys array<long>, n_tok
 
 # --- grammar -----------------------------------------------------------------------
 
-def replace_round(symbols: np.ndarray, first: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """``symbols`` with up to ``most`` frequent pairs replaced by ``first`` and the numbers after
-    it, and those pairs as ``left << 32 | right``.
+def frequent(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``most`` of the pairs of neighbours that occur ``least`` times or more, the most
+    frequent ones, as ``left << 32 | right``; where they stand, and which each is.
 
-    Neighbours are counted by a hash slot; where that count is high, one pair stands for its slot
-    and is counted exactly.  A pair that shares its slot with another waits for a later round.
+    Neighbours are counted by a hash slot first, which counts no pair too low; the pairs of slots
+    that count high are sorted and counted exactly.  If no pair is found, none is there.
     """
     left, right = symbols[:-1], symbols[1:]
     mixed = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)
@@ -81,42 +80,52 @@ def replace_round(symbols: np.ndarray, first: int, most: int, least: int) -> tup
     # The least count at which no more than twice the slots wanted are left.
     slots_above = np.cumsum(np.bincount(np.minimum(rough, len(symbols) >> 8))[::-1])[::-1]
     bound = max(least, int(np.searchsorted(-slots_above, -2 * most)))
-    at = np.flatnonzero((rough >= bound)[slots])
-    slots = slots[at]
-    pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-    stands = np.zeros(1 << SLOT_BITS, np.uint64)
-    stands[slots] = pairs
-    own = stands[slots] == pairs
-    at, slots = at[own], slots[own]
-    counts = np.bincount(slots, minlength=1 << SLOT_BITS)
-    good = np.flatnonzero(counts >= least)
-    good = good[np.argsort(-counts[good], kind="stable")[:most]]
-    rule = np.full(1 << SLOT_BITS, -1, np.int32)
-    rule[good] = np.arange(len(good), dtype=np.int32)
-    rule = rule[slots]
-    at, rule = at[rule >= 0], rule[rule >= 0]
-    if not len(at):
-        return symbols, stands[:0]
+    while True:
+        at = np.flatnonzero((rough >= bound)[slots])
+        pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
+        ordered = np.sort(pairs)
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        counts = np.diff(begins, append=len(ordered))
+        good = np.flatnonzero(counts >= least)
+        if len(good) or bound == least:
+            break
+        bound = least
+    good = np.sort(good[np.argsort(-counts[good], kind="stable")[:most]])
+    chosen = ordered[begins[good]]
+    if not len(chosen):
+        return chosen, at[:0], at[:0]
+    which = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+    own = chosen[which] == pairs
+    return chosen, at[own], which[own]
+
+
+def replace_round(symbols: np.ndarray, first: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``symbols`` with frequent pairs replaced by ``first`` and the numbers after it, and those
+    pairs; none, if no pair occurs ``least`` times or more."""
+    pairs, at, rule = frequent(symbols, most, least)
+    if not len(pairs):
+        return symbols, pairs
     # In a run of overlapping pairs every second one, from the left, is replaced.
     starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
     offset = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
     chosen = offset % 2 == 0
     at, rule = at[chosen], rule[chosen]
+    # A pair that others left no place gets no rule this time.
+    used, rule = np.unique(rule, return_inverse=True)
     out = symbols.copy()
-    out[at] = first + rule
+    out[at] = (first + rule).astype(np.uint32)
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
-    return out[keep], stands[good]
+    return out[keep], pairs[used]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST):
-    """``(base, rules, lengths, symbols)`` of a sequence of ids."""
+def compress(ids: np.ndarray, per_round: int = RULES_PER_ROUND, least: int = LEAST):
+    """``(base, rules, lengths, symbols)`` of a sequence of ids, in which no pair of neighbours
+    occurs ``least`` times or more."""
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols, rules, lengths = ids.astype(np.uint32), [], [np.ones(base, np.uint32)]
     first = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         symbols, pairs = replace_round(symbols, first, per_round, least)
         if not len(pairs):
             break
