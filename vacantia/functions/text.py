@@ -24,6 +24,13 @@ ENTITIES = "".join(f"\x01&{name}\x02{char}" for name, char in sorted(html5.items
                    if name.endswith(";") and name != "amp;") + "\x01"
 NOISE = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
 TAG = r"</?[a-zA-Z!?][^>]*>"
+# An attribute value that holds < or >, as far as a quick look can tell.
+MARKS_IN_VALUE = r"""=\s*(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])"""
+# Markup piece by piece from the left: what begins first decides what a < or > inside it means.  A
+# quote opens a value only behind an equals sign; one that is never closed is an ordinary character.
+_INSIDE = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>"""
+PIECES = (rf"(?is)<!--.*?-->|<(script|style|template)\b{_INSIDE}.*?</\1\s*>|</?[a-z!?]{_INSIDE}|[^<]++|<")
+VALUES = r"""(?s)=\s*"[^"]*"|=\s*'[^']*'|[^=]++|="""
 # Possessive, so that long runs of tags are matched in a loop and not by recursion.
 PIECE_GAP = rf"(?U){SPACE}*+(?:{TAG}{SPACE}*+)++"
 
@@ -97,8 +104,22 @@ def decode_entities(text: Column) -> Column:
 
 
 def drop_noise(html: Column) -> Column:
-    """Without comments, scripts, styles and templates."""
-    return F.regexp_replace(html, NOISE, " ")
+    """Without comments, scripts, styles and templates; in the tags that are left every < and >
+    inside a value is written as a character reference, so that a tag ends at its first >."""
+    return F.when(html.rlike(MARKS_IN_VALUE), _piece_by_piece(html)).otherwise(F.regexp_replace(html, NOISE, " "))
+
+
+def _piece_by_piece(html: Column) -> Column:
+    def sheltered(tag: Column) -> Column:
+        values = F.transform(F.regexp_extract_all(tag, F.lit(VALUES), F.lit(0)), lambda v: F.when(
+            v.rlike("(?s)^=.*[<>]"), F.replace(F.replace(v, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))).otherwise(v))
+        return F.array_join(values, "")
+
+    def cleaned(piece: Column) -> Column:
+        return (F.when(piece.rlike(r"(?i)^<(?:!--|(?:script|style|template)\b)") & piece.rlike(r"(?is)(?:-->|</(?:script|style|template)\s*>)$"), " ")
+                .when(piece.rlike(r"(?s)^</?[a-zA-Z!?].*[<>].*>$"), sheltered(piece)).otherwise(piece))
+
+    return F.array_join(F.transform(F.regexp_extract_all(html, F.lit(PIECES), F.lit(0)), cleaned), "")
 
 
 def tags_to_spaces(markup: Column) -> Column:
