@@ -205,9 +205,46 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+# A list of texts as Python writes it.  Neighbouring literals are one text.
+_LITERAL = r"""(?:'(?:[^'\\\r\n]++|\\(?s:.))*+'|"(?:[^"\\\r\n]++|\\(?s:.))*+")"""
+_ITEM = rf"(?:{_LITERAL}(?:\s*+{_LITERAL})*+|None)"
+_LIST = rf"^\s*+\[\s*+(?:{_ITEM}\s*+(?:,\s*+{_ITEM}\s*+)*+(?:,\s*+)?+)?+\]\s*+$"
+_ESCAPE = r"(?s)\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)|[^\\]++"
+# Not a character: a number beyond the last, half a pair, or an escape cut short.
+_NO_TEXT = (r"(?s)(?<!\\)(?:\\\\)*+\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N|u[dD][89a-fA-F]"
+            r"|U0000[dD][89a-fA-F]|U(?!00(?:0|10)))")
+_LETTERS = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f", "v": "\x0b", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+
+
+def _unescaped(body: Column) -> Column:
+    def one(part: Column) -> Column:
+        second = F.substring(part, 2, 1)
+        octal = F.conv(F.substring(part, 2, 3), 8, 16)
+        point = F.when(second.isin("x", "u", "U"), F.substring(part, 3, 8)).otherwise(octal)
+        char = F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")
+        named = part
+        for letter, value in _LETTERS.items():
+            named = F.when(part == "\\" + letter, F.lit(value)).otherwise(named)
+        return F.when(~part.startswith("\\"), part).when(second.rlike("^[xuU0-7]"), char).otherwise(named)
+
+    parts = F.regexp_extract_all(body, F.lit(_ESCAPE), F.lit(0))
+    return F.when(body.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(body)
+
+
 def parse_list(text: Column) -> Column:
-    """``['a', "b's"]`` as written by list columns in CSV becomes an array."""
-    return F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
+    """``['a', "b's", None]`` as written by list columns in CSV becomes an array of texts.
+
+    Escapes, both quotes, neighbouring literals and a comma at the end are read as Python reads
+    them, also with line breaks between items; None becomes null.  Anything that is not a list of
+    texts, literals with a prefix among them, gives null.
+    """
+    def item(found: Column) -> Column:
+        literals = F.regexp_extract_all(found, F.lit(_LITERAL), F.lit(0))
+        texts = F.transform(literals, lambda x: _unescaped(F.substring(x, F.lit(2), F.length(x) - 2)))
+        return F.when(found != "None", F.array_join(texts, ""))
+
+    items = F.transform(F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)), item)
+    return F.when(text.rlike(_LIST) & ~text.rlike(_NO_TEXT), items)
 
 
 # --- choice of columns by name; runs on the schema only ---
