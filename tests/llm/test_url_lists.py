@@ -62,3 +62,12 @@ def test_border_days_repeats_and_no_rows(spark):
     assert sorted((r["id"], r["blocked"]) for r in found) == sorted([(0, False), (1, True), (2, True), (3, False), (4, False)] * 2)
     assert url_lists.judged(table.limit(0), listed, ["bad"]).count() == 0
     assert [r["blocked"] for r in url_lists.judged(table, listed.limit(0), ["bad"]).collect()] == [False] * 10
+
+
+def test_an_entry_never_removed_holds_for_ever(spark):
+    days = [datetime.date(2020, 1, 1), datetime.date(2099, 12, 31), datetime.date(2150, 6, 1)]
+    captures = spark.createDataFrame([(i, "http://a.com/x", d) for i, d in enumerate(days)], CAPTURES)
+    entries = spark.createDataFrame([("spam", "a.com", datetime.date(2020, 1, 2), True), ("ads", "a.com", days[0], True),
+                                     ("ads", "a.com", datetime.date(2100, 1, 1), False)], ENTRIES)
+    found = {r["id"]: (r["n_active"], r["blocked"]) for r in url_lists.judged(captures, entries, ["spam"]).collect()}
+    assert found == {0: (1, False), 1: (2, True), 2: (1, True)}

@@ -14,7 +14,7 @@ and days, and only those with an active entry come back to the captures.
 Defined cases: a null or unparsable URL and a null day match nothing; of several entries for one
 pattern on one day a removal wins; an entry without a day or pattern is ignored; the day an entry
 is added counts, the day it is removed doesn't; repeated captures give a row each; empty lists
-block nothing; an empty table gives an empty result; ``blocked`` adds its columns to the captures'
+block nothing; an empty table gives an empty result; ``judged`` adds its columns to the captures'
 own and needs their names to be free.
 """
 
@@ -27,7 +27,6 @@ from vacantia.sources.tables import stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-LAST_DAY = "2100-01-01"
 
 
 def host_of(url: Column) -> Column:
@@ -45,11 +44,12 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """``(list, pattern, valid_from, valid_to)`` from ``(list, pattern, day, added boolean)``."""
+    """``(list, pattern, valid_from, valid_to)`` from ``(list, pattern, day, added boolean)``; an
+    entry that nothing follows is open, its ``valid_to`` null."""
     dated = entries.filter("day is not null and pattern is not null")
     daily = dated.groupBy("list", "pattern", "day").agg(F.min("added").alias("added"))
     following = F.lead("day").over(Window.partitionBy("list", "pattern").orderBy("day"))
-    return (daily.withColumn("valid_to", F.coalesce(following, F.lit(LAST_DAY).cast("date"))).filter("added")
+    return (daily.withColumn("valid_to", following).filter("added")
             .select("list", "pattern", F.col("day").alias("valid_from"), "valid_to"))
 
 
@@ -65,14 +65,15 @@ def decisions(captures: DataFrame, entries: DataFrame, blocking: list[str], url:
     # Months after the last capture need no piece.
     first, last = distinct.agg(F.min(month(F.col("day"))), F.max(month(F.col("day")))).first()
     end = F.date_sub("valid_to", 1)
-    pieces = (intervals(entries).filter(F.col("valid_from") < F.col("valid_to"))
+    pieces = (intervals(entries).filter(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
               .withColumn("low", F.greatest(month(F.col("valid_from")), F.lit(first or 0)))
-              .withColumn("high", F.least(month(end), F.lit(last or 0))).filter("low <= high")
+              .withColumn("high", F.least(month(end), F.lit(last or 0)))  # least passes over the null of an open one
+              .filter("low <= high")
               .select("list", "pattern", "valid_from", "valid_to", F.explode(F.sequence("low", "high")).alias("month")))
     asked = distinct.select("url", "day", month(F.col("day")).alias("month"),
                             F.explode(F.array_distinct(keys_of(F.col("url")))).alias("pattern"))
     active = (asked.join(pieces, ["pattern", "month"])
-              .filter((F.col("valid_from") <= F.col("day")) & (F.col("day") < F.col("valid_to"))))
+              .filter((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))))
     blocks = F.col("list").isin(blocking)
     best = F.max(F.struct(F.length("pattern").alias("n"), blocks.alias("blocked"), "pattern", "list")).alias("best")
     return (active.groupBy("url", "day").agg(F.count("*").alias("n_active"), best)
