@@ -123,14 +123,9 @@ SELECT g.doc_id, len(sh) AS n_shingles, c.component_id FROM g
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
 
 
-def _licence_id() -> str:
-    cases = " ".join(f"WHEN contains(s, ' {text} ') THEN '{name}'" for name, text in licences.SENTENCES.items())
-    return f"CASE {cases} END"
-
-
 def _licence_steps() -> str:
     """Rules one after the other, each on what the one before left."""
-    steps = ["r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda s: '<' || s || '>'), 'string_agg', '') AS rest,"
+    steps = ["r0 AS (SELECT doc_id, ids, coalesce(list_aggregate(list_transform(ids, lambda s: '<' || s || '>'), 'string_agg', ''), '') AS rest,"
              " []::VARCHAR[] AS found FROM i)"]
     for n, rule in enumerate(licences.RULES):
         row = "".join(f"<{s}>" for s in rule.sentences)
@@ -140,11 +135,20 @@ def _licence_steps() -> str:
     return ",\n".join(steps)
 
 
-LICENCES = rf"""WITH s AS (SELECT doc_id, list_transform(string_split_regex(lower(coalesce(text, '')), '{licences.BREAK}'),
-  lambda x: ' ' || regexp_replace(x, '[^a-z0-9]+', ' ', 'g') || ' ') AS ss FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: {_licence_id()}), lambda x: x IS NOT NULL) AS ids FROM s),
+_KNOWN = ", ".join(f"('{name}', ' {text.replace(' ', '  ')} ')" for name, text in licences.SENTENCES.items())
+# Every place of every known sentence (spaces are doubled, so that neighbours share none), but those
+# inside a longer one.
+LICENCES = rf"""WITH k(name, t) AS (VALUES {_KNOWN}),
+s AS (SELECT doc_id, string_split_regex(regexp_replace(lower(coalesce(text, '')), '{licences.ALONE[0]}', '\1\2 \3', 'g'), '{licences.BREAK}') AS ss
+  FROM documents),
+p AS (SELECT doc_id, unnest(range(len(ss))) AS no, unnest(list_transform(ss, lambda x: replace(' ' || regexp_replace(x, '[^a-z0-9]+', ' ', 'g') || ' ', ' ', '  '))) AS s FROM s),
+c AS (SELECT doc_id, no, name, length(t) AS n, unnest(range(1, len(string_split(s, t)))) AS nth, string_split(s, t) AS parts FROM p JOIN k ON contains(s, t)),
+h AS (SELECT doc_id, no, name, n, (list_sum(list_transform(parts[1:nth], lambda x: length(x))) + (nth - 1) * n)::BIGINT AS b FROM c),
+f AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.doc_id = a.doc_id AND z.no = a.no AND z.n > a.n AND z.b <= a.b AND z.b + z.n >= a.b + a.n)),
+i AS (SELECT s.doc_id, list(name ORDER BY no, b) FILTER (name IS NOT NULL) AS ids FROM s LEFT JOIN f USING (doc_id) GROUP BY s.doc_id),
 {_licence_steps()}
-SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(found, ','), '') AS licences
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences, coalesce(array_to_string(
+  CASE WHEN len(found) > 1 THEN list_filter(found, lambda x: x <> '{licences.LAST_RESORT}') ELSE found END, ','), '') AS licences
 FROM r{len(licences.RULES)}"""
 
 URLS = r"""WITH c AS (SELECT page_id, url, DATE '2021-01-01' + (page_id * 37 % 1461)::INT AS day,
