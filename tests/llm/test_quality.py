@@ -59,3 +59,12 @@ def test_repeats_empty_and_other_columns(spark, docs_of):
     left = quality.keep_good(docs)
     assert [r["doc_id"] for r in left.collect()] == [1, 1] and left.columns == docs.columns
     assert quality.assess(docs.limit(0)).count() == 0
+
+
+def test_columns_named_like_the_measures(docs_of):
+    from pyspark.sql import functions as F
+    names = ("q_text", "q_n_words", "q_kept", "q_host", "q_document", "q_words", "host", "a.b")
+    docs = docs_of(*[(i, clean(i)) for i in range(10)], (20, "x"), (21, None)).withColumns({c: F.lit(c + "!") for c in names})
+    left = quality.keep_good(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] < 10)

@@ -153,5 +153,8 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", worst: float = WORST) -> DataFrame:
     """The documents kept, with their own columns.  Texts are read twice (hosts, then verdicts)
     instead of being shuffled or written."""
-    rejected = rejected_hosts(measures(docs.select(host, text), text).drop(text), host, worst)
-    return judged(measures(docs, text), rejected, host).filter("q_kept").select(*docs.columns)
+    rejected = rejected_hosts(measures(docs.select(F.col(host).alias("host"), F.col(text).alias("text"))).drop("text"), "host", worst)
+    # The document travels as one column, so that its own names cannot clash.
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("q_document"),
+                         F.col(text).alias("text"), F.col(host).alias("host"))
+    return judged(measures(packed), rejected, "host").filter("q_kept").select("q_document.*")
