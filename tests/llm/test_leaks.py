@@ -82,3 +82,56 @@ def test_hits_in_pieces(monkeypatch):
     monkeypatch.setattr(leaks, "EXPAND", 7)
     for a, b in zip(whole, patterns.bands(codes, 200)):
         assert np.array_equal(np.sort(a), np.sort(b))
+
+
+def test_short_windows_against_full_alignment():
+    """Every window of the short kind within one edit of a text is found, and no other."""
+    rng = random.Random(9)
+    items = [(0, prose(rng, 14)[:77]), (1, prose(rng, 30)[:140])]
+    patterns = leaks.Patterns(items, cuts=(leaks.LONG, leaks.SHORT))
+    for _ in range(40):
+        item, text = rng.choice(items)
+        begin = rng.randrange(len(text) - 50)
+        piece = edited(rng, text[begin:begin + 50], rng.randrange(4))
+        whole = leaks.normal(prose(rng, rng.randrange(8)) + piece + prose(rng, rng.randrange(8)))
+        found = leaks.search([0], [whole], patterns)
+        want = sorted((patterns.items[w], patterns.starts[w], edits) for w, codes in enumerate(patterns.codes)
+                      if (edits := least_edits(list(map(chr, codes)), whole)) <= patterns.edits[w])
+        assert sorted(zip(found["item"], found["window"], found["edits"])) == want
+
+
+def found_keys(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["key"], r["item"]) for r in leaks.leaks(docs, bench).select("key", "item").distinct().collect()}
+
+
+def test_recall_of_excerpts(spark):
+    """Excerpts of 13 words and more are all found, of 8 and 10 nearly all, clean texts never."""
+    rng = random.Random(10)
+    words = [[rng.choice(WORDS) + rng.choice(WORDS)[:rng.randrange(5)] for _ in range(120)] for _ in range(20)]
+    texts, where = [], []
+    for n in (8, 10, 13, 15):
+        for i in range(100):
+            item = i % 20
+            begin = rng.randrange(121 - n)
+            texts.append(" ".join([prose(rng, 40), *words[item][begin:begin + n], prose(rng, 40)]))
+            where.append((n, item))
+    texts += [prose(rng, 100) for _ in range(200)]
+    found = found_keys(spark, texts, [(i, " ".join(w)) for i, w in enumerate(words)])
+    assert found <= {(k, item) for k, (_, item) in enumerate(where)}
+    share = {n: sum((k, item) in found for k, (size, item) in enumerate(where) if size == n) / 100 for n in (8, 10, 13, 15)}
+    assert share[13] == share[15] == 1 and share[10] >= 0.98 and share[8] >= 0.75, share
+
+
+def test_one_replaced_word_in_a_short_item(spark):
+    rng = random.Random(11)
+    items, texts = [], []
+    for i in range(100):
+        words = prose(rng, 60)[:rng.choice((45, 60, 80, 99))].split()
+        items.append((i, " ".join(words)))
+        words[rng.randrange(len(words))] = "qu" + "".join(rng.choice("xyzw") for _ in range(4))
+        texts.append(" ".join([prose(rng, 30), *words, prose(rng, 30)]))
+    texts += [prose(rng, 100) for _ in range(100)]
+    found = found_keys(spark, texts, items)
+    assert found <= {(i, i) for i in range(100)} and len(found) >= 98

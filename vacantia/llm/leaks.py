@@ -1,14 +1,20 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping windows of ``WINDOW`` characters (a shorter item is one
-window).  A text leaks a window if some stretch of it is within the window's edit budget,
-``BUDGET`` of its length.  One edit destroys at most q of a window's q-grams, so a leak shares at
+A benchmark item is cut into overlapping windows (an item that is shorter is one window) of two
+kinds: long ones with an edit budget of 5 per cent, which meet edits spread over a passage, and short
+ones of about seven words with one edit, which meet excerpts and what is left of a passage
+between heavier edits.  A text leaks a window if some stretch of it is within the window's budget.
+One edit destroys at most q of a window's q-grams, so a leak shares at
 least ``length - q + 1 - q * budget`` of them with the text, and, as each edit moves the alignment
 by one at most, all of these lie within ``budget + 1`` neighbouring diagonals (place in the text
 less place in the window).  Shared q-grams are therefore counted in bands of ``2 * budget + 1``
 diagonals that begin every ``budget + 1``, so that one band holds any such group; bands that reach
 the bound are verified by an alignment confined to their diagonals.
 
+An item shorter than a long window is also looked for with one stretch replaced, such as a word, of
+up to a sixth of it and ``STRETCH`` characters.  The q-grams that such a stretch destroys lie side by
+side: at most its length and q - 1 of them, so the bound is ``length - q + 1`` less that.
+
 Both sides are compared in lower case with every run of white space as one space.  Texts are
 searched whole, batch by batch, in Arrow with array operations; hits are expanded in pieces of
 bounded size.  The benchmark is a query set held against all documents: it is sent to the tasks
@@ -24,7 +30,8 @@ items give a row each; repeated documents give rows each; an empty table gives a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,11 +42,22 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import running, text_of
 from vacantia.sources.tables import stored
 
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Windows of ``window`` characters that begin every ``step``: any stretch of
+    ``window + step - 1`` characters of an item holds one.  ``budget``: edits per character."""
+    window: int
+    step: int
+    budget: float
+
+
 Q = 16
-WINDOW = 100
-STEP = 20  # so any stretch of 119 characters of an item holds a window
-BUDGET = 0.05  # edits per character of a window
-BLOCK = 1_000_000  # characters of the benchmark in one pass
+LONG = Cut(100, 20, 0.05)
+SHORT = Cut(40, 4, 0.025)
+STRETCH = 12
+BLOCK = 500_000  # characters of the benchmark in one pass
 BATCH_CHARS = 1 << 21
 EXPAND = 1 << 21  # hits held at a time
 ROWS = 4096  # alignments side by side
@@ -69,33 +87,42 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 class Patterns:
     """The windows of a block of the benchmark and the index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, step: int = STEP,
-                 budget: float = BUDGET):
-        self.q, self.items, self.codes, self.starts, self.edits = q, [], [], [], []
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, cuts: Sequence[Cut] = (LONG,), stretch: int = 0):
+        self.q, self.items, self.codes, self.starts, self.edits, self.needed = q, [], [], [], [], []
+
+        def add(item, codes, begin, edits, destroyed):
+            self.items.append(item)
+            self.starts.append(begin)
+            self.codes.append(codes)
+            self.edits.append(edits)
+            self.needed.append(len(codes) - q + 1 - destroyed)
+
         for item, raw in items:
             codes = code_points(normal(raw))
-            if not len(codes):
-                continue
-            size = min(window, len(codes))
-            begins = list(range(0, len(codes) - size + 1, step))
-            if begins[-1] != len(codes) - size:
-                begins.append(len(codes) - size)
-            for begin in begins:
-                self.items.append(item)
-                self.starts.append(begin)
-                self.codes.append(codes[begin:begin + size])
+            for i, cut in enumerate(cuts):
+                size = min(cut.window, len(codes))
+                if not size or any(size == min(c.window, len(codes)) for c in cuts[:i]):
+                    continue
+                begins = list(range(0, len(codes) - size + 1, cut.step))
+                if begins[-1] != len(codes) - size:
+                    begins.append(len(codes) - size)
                 # The lemma says something only while the bound stays positive.
-                self.edits.append(max(0, min(int(size * budget), (size - q) // q)))
+                edits = max(0, min(int(size * cut.budget), (size - q) // q))
+                for begin in begins:
+                    add(item, codes[begin:begin + size], begin, edits, q * edits)
+            edits = min(stretch, len(codes) // 6)
+            if len(codes) < max(c.window for c in cuts) and edits and len(codes) - q + 1 > edits + q - 1:
+                add(item, codes, 0, edits, edits + q - 1)
         self.sizes = np.array([len(c) for c in self.codes], np.int64)
         self.edits = np.array(self.edits, np.int64)
+        self.needed = np.array(self.needed, np.int64)
         self.short = [i for i, c in enumerate(self.codes) if len(c) < q]
-        self.needed = self.sizes - q + 1 - q * self.edits
         hashes = [grams(c, q) for c in self.codes]
         every = np.concatenate([np.zeros(0, np.uint64), *hashes])
         window_of = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
         order = np.argsort(every, kind="stable")
-        self.window_of, self.place = window_of[order].astype(np.int64), place[order].astype(np.int64)
+        self.window_of, self.place = window_of[order].astype(np.int32), place[order].astype(np.int32)
         self.known, self.first = np.unique(every[order], return_index=True)
         self.count = np.diff(self.first, append=len(every))
         self.bits = max(16, int(np.ceil(np.log2(16 * max(1, len(self.known))))))
@@ -123,7 +150,7 @@ class Patterns:
             n = counts[begin:end]
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             entry = np.repeat(self.first[index[begin:end]], n) + offset
-            yield self.window_of[entry], self.place[entry], np.repeat(at[begin:end], n)
+            yield self.window_of[entry].astype(np.int64), self.place[entry].astype(np.int64), np.repeat(at[begin:end], n)
             begin = end
 
     def bands(self, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +222,12 @@ def search(key: list, texts: list[str], patterns: Patterns) -> dict:
     end = ends[doc] - patterns.q if len(doc) else doc
     begin = end - np.array([len(c) for c in codes], np.int64)[doc] if len(doc) else doc
     best: dict = {}
-    for size in np.unique(patterns.sizes[window]):
-        of_size = np.flatnonzero(patterns.sizes[window] == size)
-        for some in np.array_split(of_size, len(of_size) // ROWS + 1):
+    kinds = np.stack([patterns.sizes[window], patterns.edits[window]], axis=1)
+    for kind in np.unique(kinds, axis=0):
+        alike = np.flatnonzero((kinds == kind).all(axis=1))
+        budget = int(kind[1])
+        for some in np.array_split(alike, len(alike) // ROWS + 1):
             chosen = window[some]
-            budget = int(patterns.edits[chosen[0]])  # follows from the size
             edits, stops = align(np.stack([patterns.codes[w] for w in chosen]), joined, begin[some], end[some],
                                  low[some], 2 * budget + 1)
             for d, w, e, stop in zip(doc[some].tolist(), chosen.tolist(), edits.tolist(), stops.tolist()):
@@ -250,24 +278,25 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[t
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-          item_text: str = "text", block: int = BLOCK, **settings) -> DataFrame:
+          item_text: str = "text", block: int = BLOCK, cuts: Sequence[Cut] = (LONG, SHORT), stretch: int = STRETCH,
+          **settings) -> DataFrame:
     """``(key, item, window, stop, edits)``: windows of items found in documents.
 
     ``window`` is the window's start in the normalised item, ``stop`` the end of the stretch in
-    the normalised text.
+    the normalised text.  Windows of several cuts may begin at the same place.
     """
     schema = "key long, item long, window long, stop long, edits long"
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text")).filter("text != ''")
     found = []
     for part in blocks(benchmark, item, item_text, block):
-        patterns = docs.sparkSession.sparkContext.broadcast(Patterns(part, **settings))
+        patterns = docs.sparkSession.sparkContext.broadcast(Patterns(part, cuts=cuts, stretch=stretch, **settings))
         found.append(rows.mapInArrow(lambda batches, p=patterns: scan(batches, p.value), schema))
     empty = rows.select("key", *[F.lit(0).cast("long").alias(c) for c in ("item", "window", "stop", "edits")]).filter("false")
     return reduce(DataFrame.unionByName, found, empty)
 
 
 def leaked_items(found: DataFrame) -> DataFrame:
-    """One row per document and item: ``key, item, windows, edits`` (the least of a window)."""
+    """One row per document and item: ``key, item, windows, edits`` (places of windows, the least edits)."""
     return found.groupBy("key", "item").agg(F.countDistinct("window").alias("windows"), F.min("edits").alias("edits"))
 
 
