@@ -6,9 +6,12 @@ these probabilities.
 
 Features are a text's words (lower case, without marks at their ends) and the first 3 to 6
 characters of them, hashed to ``BUCKETS`` numbers.  In how many graded documents each number
-occurs, and in how many of a grade above 0, is counted over all of them by a shuffle of sums; the
-numbers that are most surely more frequent above grade 0, at most ``FEATURES``, become features,
-valued 1 + log(1 + occurrences per hundred words).  The regression is fitted on the driver to at
+occurs, and in how many of a grade above 0, is counted over all of them by a shuffle of sums.  A
+number becomes a feature, valued 1 + log(1 + occurrences per hundred words), if it occurs in at least
+``LEAST_SHARE`` of the documents above grade 0 (and in 3 of them), if its odds there are at least
+``LEAST_ODDS`` times those at grade 0, and if chance alone is unlikely (``LEAST_Z``).  As a document
+holds a bounded number of distinct words on average, the share bounds the features by a figure that
+does not move with the input: 1 / ``LEAST_SHARE`` times that number.  The regression is fitted on the driver to at
 most ``SAMPLE`` graded documents (those with the smallest hash of their key), a few numbers each.
 Scoring reads every text once and sends nothing but the model.
 
@@ -36,7 +39,8 @@ from vacantia.sources.tables import stored
 BUCKETS = 1 << 22
 PREFIXES = (3, 4, 5, 6)
 MARKS = ".,;:!?\"'()[]{}|*_-"
-FEATURES = 4096
+LEAST_SHARE = 1 / 2000
+LEAST_ODDS = 2
 LEAST_Z = 4.0
 SAMPLE = 20_000
 ROUNDS = 500
@@ -173,7 +177,7 @@ def graded(docs: DataFrame, grades: DataFrame, key: str, text: str, grade: str)
 
 
 def choose(rows: DataFrame) -> np.ndarray:
-    """The feature numbers that are most surely more frequent above grade 0."""
+    """The feature numbers that are more frequent above grade 0, those most surely so first."""
     sums = rows.select("text", "grade").mapInArrow(presence, "bucket int, n long, severe long")
     counts = stored(sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("severe").alias("severe")), "feature-counts")
     total, severe = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0))).first()
@@ -181,8 +185,10 @@ def choose(rows: DataFrame) -> np.ndarray:
         return np.zeros(0, np.int64)
     rate = severe / total
     z = (F.col("severe") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = counts.filter("severe >= 3").withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket")
-    return np.array([r["bucket"] for r in best.limit(FEATURES).collect()], np.int64)
+    common = F.col("severe") >= max(3, severe * LEAST_SHARE)
+    odds = F.col("severe") * (total - severe) >= LEAST_ODDS * severe * (F.col("n") - F.col("severe"))
+    best = counts.filter(common & odds).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket")
+    return np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64)
 
 
 def vectors(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
