@@ -275,11 +275,19 @@ class Encoder:
     def slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
 
+    @staticmethod
+    def powers_of(factor: int, size: int) -> np.ndarray:
+        """``factor`` to the power of 0, 1, 2 and so on, modulo 2 to the 64th."""
+        out = np.full(size, factor, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out, out=out)
+
     def hashed(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        while len(self.powers) < len(codes) + 1:
-            self.powers, self.inverses = (
-                np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * len(codes) + 1, f, np.uint64)]))
-                for f in (FACTOR, pow(FACTOR, -1, 2**64)))
+        if len(self.powers) < len(codes) + 1:
+            # An eighth more than asked for: workers keep these between stages.
+            size = len(codes) + len(codes) // 8 + 2
+            self.powers = self.inverses = np.ones(1, np.uint64)
+            self.powers, self.inverses = (self.powers_of(f, size) for f in (FACTOR, pow(FACTOR, -1, 2**64)))
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(self.of_byte[codes] * self.powers[:len(codes)], out=sums[1:])
         out = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64)
