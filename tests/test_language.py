@@ -1,6 +1,7 @@
 """Language profiles against plain counting, and how often they are right."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -68,3 +69,40 @@ def test_profiles_tell_more_than_stop_words(spark):
     for r in rows:
         if r["kind"] == "sentence":
             assert r["profiles_right"] >= 0.9 * r["n"]
+
+
+def test_no_gram_becomes_a_row(spark, capsys, monkeypatch):
+    """Texts meet the table where they stand: no n-gram is a row that is joined or shuffled."""
+    plans = []
+    monkeypatch.setattr(L, "stored", lambda table, name: plans.append(table) or table)
+    rows = spark.createDataFrame(TRAINING, "lang string, text string")
+    table = spark.createDataFrame(L.learn_profiles(rows, ("en", "de")).collect())
+    docs = spark.createDataFrame(list(enumerate(ASKED)), "doc_id long, text string")
+    for plan in (*plans, L.detect_by_profiles(docs, table, ("en", "de"))):
+        plan.explain()
+        said = capsys.readouterr().out
+        assert "Aggregate" in said and "Generate" not in said and "Join" not in said
+
+
+@pytest.mark.parametrize("sizes", [(1, 2, 3), (2,), (1, 4, 30)])
+@pytest.mark.parametrize("letters", ["abc", "".join(map(chr, range(0x4E00, 0x4E00 + 3000))) + "\U00020000"])
+@pytest.mark.parametrize("table", [L.TABLE, 0])
+def test_counts_and_sums_of_any_size(monkeypatch, sizes, letters, table):
+    draw = random.Random(7)
+    texts = [" ".join(["", *("".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(draw.randint(0, 40))), ""]) for _ in range(60)]
+    texts = [text if text else " " for text in texts]
+
+    def plain(text):
+        return [text[i:i + n] for n in sizes for i in range(len(text) - n + 1)]
+
+    monkeypatch.setattr(L, "PIECE", 500)
+    monkeypatch.setattr(L, "WINDOW", 37)
+    monkeypatch.setattr(L, "TABLE", table)
+    counts = Counter()
+    for codes, _ in L.pieces(texts):
+        counts.update(L.tally(codes, sizes))
+    assert counts == Counter(g for text in texts for g in plain(text) if "  " not in g)
+    kept = {g: (draw.randint(-9, 9), draw.randint(-9, 9)) for g in sorted(counts)[::3]}
+    lookup = L.Lookup([(g, *w) for g, w in kept.items()], 2, sizes)
+    found = [row for codes, starts in L.pieces(texts) for row in lookup(codes, starts).T.tolist()]
+    assert found == [[sum(c) for c in zip((0, 0, 0), *[(1, *kept[g]) for g in plain(text) if g in kept])] for text in texts]
