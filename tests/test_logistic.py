@@ -90,3 +90,24 @@ def test_a_model_that_stopped_early_is_told(fitted):
     early = classify.train_logistic(rows, features=FEATURES, iterations=2)
     worst = lambda m: classify.optimality(rows, m).agg(F.max("gradient")).first()[0]
     assert worst(early) > 1e-3 > 1e-4 > worst(model)
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """Words hashed beforehand give the same model and labels, and no step of ``lr_domain`` reads texts again."""
+    given = corpus(120, 3) + [(900, "a", None)]
+    rows = spark.createDataFrame(given, "doc_id long, label string, description string")
+    hashed = classify.hash_words(rows, features=FEATURES)
+    assert "description" not in hashed.columns and hashed.count() == len(given)
+    known = rows.filter("description is not null").select("doc_id")
+    models = [classify.train_logistic(r, features=FEATURES) for r in (rows, hashed.join(known, "doc_id"))]
+    assert np.allclose(*[m.stages[-2].coefficientMatrix.toArray() for m in models], atol=1e-6)
+    by_text = {tuple(r) for r in classify.predict_logistic(rows, models[0]).collect()}
+    assert by_text == {tuple(r) for r in classify.predict_logistic(hashed, models[0]).collect()} and len(by_text) == len(given)
+
+    from conftest import FOLDER
+    from vacantia.plans.queries import QUERIES
+    calls = []
+    split = classify.RegexTokenizer._transform
+    monkeypatch.setattr(classify.RegexTokenizer, "_transform", lambda self, table: calls.append(self) or split(self, table))
+    assert QUERIES["lr_domain"](spark, FOLDER).count() > 0
+    assert len(calls) == 1

@@ -26,6 +26,7 @@ WORDS = r"[\p{L}\p{N}_]+"
 NO_TEXT = "No description provided"
 HOT_SHARE = 1e-4
 PENALTY = 0.01
+FEATURES = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -104,32 +105,48 @@ def predict_naive_bayes(docs: DataFrame, model: DataFrame, priors: DataFrame, ke
     return full.withColumn("predicted_label", predicted)
 
 
+def _hashing(text: str, features: int) -> list:
+    return [RegexTokenizer(inputCol=text, outputCol="words", pattern=WORDS, gaps=False),
+            HashingTF(inputCol="words", outputCol="tf", numFeatures=features)]
+
+
+def hash_words(rows: DataFrame, text: str = "description", features: int = FEATURES) -> DataFrame:
+    """The rows with ``tf``, how often each hashed word occurs in a text, in place of the text; stored,
+    so that texts are split once for training and prediction.  They are spread evenly."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    filled = rows.withColumn(text, F.coalesce(text, F.lit(NO_TEXT))).repartition(cores)
+    return stored(PipelineModel(_hashing(text, features)).transform(filled).drop(text, "words"), "hashed-words")
+
+
 def train_logistic(rows: DataFrame, label: str = "label", text: str = "description",
-                   features: int = 1 << 16, iterations: int = 20, tolerance: float = 1e-6,
+                   features: int = FEATURES, iterations: int = 20, tolerance: float = 1e-6,
                    penalty: float = PENALTY) -> PipelineModel:
     """Hashed TF-IDF with multinomial logistic regression, fitted until the penalised likelihood
     changes by less than ``tolerance`` of itself or for ``iterations``.  ``optimality`` measures how
-    near its top that is."""
-    stages = [
+    near its top that is.  Rows of ``hash_words``, of as many features, are taken as they are."""
+    hashing = _hashing(text, features)
+    known = rows.filter(F.col(label).isNotNull())
+    if "tf" not in rows.columns:
+        known = hash_words(known.filter(F.col(text).isNotNull()).select(label, text), text, features)
+    # Every iteration reads the training set and adds up vectors as long as the model, one per task.
+    used = known.select(label, "tf").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    model = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_id", stringOrderType="alphabetAsc",
                       handleInvalid="skip"),
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=WORDS, gaps=False),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_id", maxIter=iterations,
                            tol=tolerance, regParam=penalty, predictionCol="predicted_id"),
-    ]
-    # Every iteration reads the training set, so it is spread evenly; cap it before, if it is large.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    used = rows.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label, text).repartition(cores)
-    model = Pipeline(stages=stages).fit(used)
+    ]).fit(used)
     back = IndexToString(inputCol="predicted_id", outputCol="predicted_label",
                          labels=model.stages[0].labels)
-    return PipelineModel(model.stages[1:] + [back])
+    return PipelineModel(hashing + model.stages[1:] + [back])
 
 
 def predict_logistic(docs: DataFrame, model: PipelineModel, key: str = "doc_id",
                      text: str = "description") -> DataFrame:
+    """``(key, predicted_label)``; rows of ``hash_words`` are taken as they are."""
+    if "tf" in docs.columns:
+        return PipelineModel(model.stages[2:]).transform(docs).select(key, "predicted_label")
     filled = docs.withColumn(text, F.coalesce(text, F.lit(NO_TEXT)))
     return model.transform(filled).select(key, "predicted_label")
 

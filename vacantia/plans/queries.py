@@ -688,8 +688,9 @@ def nb_predict(data):
 @query("lr_domain")
 def lr_domain(data):
     rows = label.train_val_split(data.postings(), "domain_label", "doc_id")
-    model = classify.train_logistic(rows.filter("split = 'train'"), "domain_label")
-    return classify.predict_logistic(data.postings(), model)
+    rows = classify.hash_words(rows.select("doc_id", "domain_label", "split", F.col("description").isNotNull().alias("has_text"), "description"))
+    model = classify.train_logistic(rows.filter("split = 'train' AND has_text"), "domain_label")
+    return classify.predict_logistic(rows, model)
 
 
 @query("lr_optimum", checks.LR_OPTIMUM)
