@@ -89,3 +89,19 @@ def test_repeated_null_and_no_rows(spark, docs_of):
     found = T.token_files(docs_of((3, "a b"), (3, "a b"), (None, "c"), (1, None)), VOCABULARY).collect()
     assert sorted((r["start"], r["key"], r["n_tokens"]) for r in found) == [(0, None, 2), (2, 1, 1), (3, 3, 3), (6, 3, 3)]
     assert T.token_files(docs_of((1, "x")).limit(0), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("bits", [3, T.SLOT_BITS])
+def test_chosen_pairs_are_found_by_slot(monkeypatch, bits):
+    """Places of frequent pairs, also of those that share a slot; with enough slots hardly any is searched for."""
+    symbols = np.random.default_rng(3).integers(0, 60, 40_000).astype(np.uint32)
+    plain, searched, search = {}, [], np.searchsorted
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+        plain.setdefault(pair[0] << 32 | pair[1], []).append(i)
+    monkeypatch.setattr(T, "SLOT_BITS", bits)
+    monkeypatch.setattr(T.np, "searchsorted", lambda a, v, **how: searched.append(np.size(v)) or search(a, v, **how))
+    chosen, at, which = T.frequent(symbols, 500, 8)
+    found = {pair: at[which == i].tolist() for i, pair in enumerate(chosen.tolist())}
+    assert len(found) == 500 and found == {pair: plain[pair] for pair in found}
+    assert min(map(len, found.values())) >= max(len(v) for k, v in plain.items() if k not in found)
+    assert bits == 3 or sum(searched) < len(at) / 10

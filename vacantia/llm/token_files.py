@@ -66,6 +66,11 @@ FILE_SCHEMA = ("shard struct<range_no:int,shard_no:int>, keys array<long>, n_tok
 
 # --- grammar -----------------------------------------------------------------------
 
+def slots_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)
+    return (mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOT_BITS)
+
+
 def frequent(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Up to ``most`` of the pairs of neighbours that occur ``least`` times or more, the most
     frequent ones, as ``left << 32 | right``; where they stand, and which each is.
@@ -74,8 +79,7 @@ def frequent(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np
     that count high are sorted and counted exactly.  If no pair is found, none is there.
     """
     left, right = symbols[:-1], symbols[1:]
-    mixed = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)
-    slots = (mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - SLOT_BITS)
+    slots = slots_of(left, right)
     rough = np.bincount(slots, minlength=1 << SLOT_BITS)
     # The least count at which no more than twice the slots wanted are left.
     slots_above = np.cumsum(np.bincount(np.minimum(rough, len(symbols) >> 8))[::-1])[::-1]
@@ -94,8 +98,16 @@ def frequent(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np
     chosen = ordered[begins[good]]
     if not len(chosen):
         return chosen, at[:0], at[:0]
-    which = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+    # Chosen pairs are found by their slot; the few that share one with another are searched for.
+    homes = slots_of((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))
+    number, shared = np.zeros(1 << SLOT_BITS, np.int32), np.bincount(homes, minlength=1 << SLOT_BITS) > 1
+    number[homes] = np.arange(len(homes))
+    slots = slots[at]
+    which = number[slots]
     own = chosen[which] == pairs
+    rest = np.flatnonzero(shared[slots] & ~own)
+    which[rest] = np.minimum(np.searchsorted(chosen, pairs[rest]), len(chosen) - 1)
+    own[rest] = chosen[which[rest]] == pairs[rest]
     return chosen, at[own], which[own]
 
 
@@ -111,7 +123,8 @@ def replace_round(symbols: np.ndarray, first: int, most: int, least: int) -> tup
     chosen = offset % 2 == 0
     at, rule = at[chosen], rule[chosen]
     # A pair that others left no place gets no rule this time.
-    used, rule = np.unique(rule, return_inverse=True)
+    placed = np.bincount(rule, minlength=len(pairs)) > 0
+    used, rule = np.flatnonzero(placed), (np.cumsum(placed) - 1)[rule]
     out = symbols.copy()
     out[at] = (first + rule).astype(np.uint32)
     keep = np.ones(len(symbols), bool)
